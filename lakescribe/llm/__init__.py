@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, prefix_bpe, quality_rules, simhash, token_counts
+from . import language_id, packing, prefix_bpe, pu_quality, quality_rules, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,9 @@ def queries() -> dict:
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_byte_bpe": prefix_bpe.op4_byte_bpe,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_pu_quality": pu_quality.op6_pu_quality,
+        "op7_language_id": language_id.op7_language_id,
+        "op8_toxicity": toxicity.op8_toxicity,
     }
 
 
