@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, held_out, table
@@ -112,14 +112,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     return Model(idf, np.concatenate(centres), langs, least)
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, distance, rejected of each row of docs. No shuffle.
-
-    A text that is null or has no letter is und, with score 0 and distance 1, and rejected; so is every text without a
-    model. score: the language's share of all languages, by the cosines of the nearest centroids. rejected: the cosine
-    is below half the least of the texts learned from (their 0.1 % quantile). Null ids stay null, repeated rows are each
-    predicted, other columns are dropped whatever their names; an empty table gives an empty one.
-    """
+def prediction(model: Model | None, text: Column) -> Column:
+    """A struct of lang_pred, score, distance and rejected."""
 
     @F.pandas_udf("lang_pred string, score double, distance double, rejected boolean")
     def language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -127,25 +121,33 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         of = [np.flatnonzero(np.array(model.langs, object) == x) for x in names]
         for texts in batches:
             found = []
-            texts = texts.tolist()
             for k in range(0, len(texts), 256):
-                some = texts[k : k + 256]
+                some = texts.iloc[k : k + 256].tolist()
                 known = np.array([model is not None and x is not None and LETTER.search(x) is not None for x in some], bool)
-                rows = pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0, "distance": 1.0, "rejected": True}, index=range(len(some)))
+                rows = {"lang_pred": np.full(len(some), UNKNOWN, object), "score": np.zeros(len(some)), "distance": np.ones(len(some)), "rejected": np.ones(len(some), bool)}
                 if known.any():
                     cosines = vectors([x for x, y in zip(some, known, strict=True) if y], model.idf) @ model.centroids.T
                     best = np.stack([cosines[:, x].max(axis=1) for x in of], axis=1).astype(np.float64)
-                    first = best.argmax(axis=1)
-                    shares = np.exp(SHARPNESS * (best - best.max(axis=1, keepdims=True)))
-                    top = best[np.arange(len(best)), first]
-                    rows.loc[known, "lang_pred"] = names[first]
-                    rows.loc[known, "score"] = np.clip(1 / shares.sum(axis=1), 0, 1)
-                    rows.loc[known, "distance"] = 1 - top
-                    rows.loc[known, "rejected"] = top < model.least
-                found.append(rows)
+                    top = best.max(axis=1)
+                    rows["lang_pred"][known] = names[best.argmax(axis=1)]
+                    rows["score"][known] = 1 / np.exp(SHARPNESS * (best - top[:, None])).sum(axis=1)
+                    rows["distance"][known] = 1 - top
+                    rows["rejected"][known] = top < model.least
+                found.append(pd.DataFrame(rows))
             yield pd.concat(found, ignore_index=True) if found else pd.DataFrame({"lang_pred": [], "score": [], "distance": [], "rejected": []})
 
-    return docs.select(F.col(id_col).alias("doc_id"), language(F.col(text_col).cast("string")).alias("x")).select("doc_id", "x.*")
+    return language(text.cast("string"))
+
+
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score, distance, rejected of each row of docs. No shuffle.
+
+    A text that is null or has no letter is und, with score 0 and distance 1, and rejected; so is every text without a
+    model. score: the language's share of all languages, by the cosines of the nearest centroids. rejected: the cosine
+    is below half the least of the texts learned from (their 0.1 % quantile). Null ids stay null, repeated rows are each
+    predicted, other columns are dropped whatever their names; an empty table gives an empty one.
+    """
+    return docs.select(F.col(id_col).alias("doc_id"), prediction(model, F.col(text_col)).alias("x")).select("doc_id", "x.*")
 
 
 def learnable(docs: DataFrame) -> DataFrame:

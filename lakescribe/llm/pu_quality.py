@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, held_out, table
@@ -148,20 +148,23 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     return train(p, u) if len(p) and len(u) else None
 
 
+def score(model: Model | None, text: Column) -> Column:
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            rows = np.array([features(x) for x in texts]).reshape(-1, len(_KINDS) + 10)
+            yield pd.Series(_sigmoid(_forward(_scaled(rows, model.mean, model.scale), model.weights)[1]) if model else np.full(len(rows), 0.5))
+
+    return scores(text.cast("string"))
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of each row of docs: how likely its quality is 1. No shuffle.
 
     Null text counts as empty and is scored like any. Without a model every score is 0.5. Null ids stay null, repeated
     rows are each scored, other columns are dropped whatever their names; an empty table gives an empty one.
     """
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            rows = np.array([features(x) for x in texts]).reshape(-1, len(_KINDS) + 10)
-            yield pd.Series(_sigmoid(_forward(_scaled(rows, model.mean, model.scale), model.weights)[1]) if model else np.full(len(rows), 0.5))
-
-    scored = docs.select(F.col(id_col).alias("doc_id"), score(F.col(text_col).cast("string")).alias("score"))
+    scored = docs.select(F.col(id_col).alias("doc_id"), score(model, F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

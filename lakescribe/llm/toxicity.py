@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, cut_lineage, held_out, table
@@ -112,20 +112,23 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLE
     return Model(numbers, weights * ratio, bias)
 
 
+def score(model: Model | None, text: Column) -> Column:
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = [model.bias + model.weights[_present(x, model.numbers)].sum() if model else -np.inf for x in texts]
+            yield pd.Series(0.5 * (1 + np.tanh(0.5 * np.array(out, np.float64))))
+
+    return scores(text.cast("string"))
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of each row of docs: how likely the text is toxic. No shuffle.
 
     Null text counts as empty and is scored like any. Without a model every score is 0. Null ids stay null, repeated
     rows are each scored, other columns are dropped whatever their names; an empty table gives an empty one.
     """
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = [model.bias + model.weights[_present(x, model.numbers)].sum() if model else -np.inf for x in texts]
-            yield pd.Series(0.5 * (1 + np.tanh(0.5 * np.array(out, np.float64))))
-
-    scored = docs.select(F.col(id_col).alias("doc_id"), score(F.col(text_col).cast("string")).alias("score"))
+    scored = docs.select(F.col(id_col).alias("doc_id"), score(model, F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
