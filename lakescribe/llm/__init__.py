@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, media, packing, prefix_bpe, pu_quality, quality_rules, simhash, token_counts, toxicity
+from . import html_extract, language_id, media, packing, prefix_bpe, pu_quality, quality_rules, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_language_id": language_id.op7_language_id,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_lossless_webp": media.op9_lossless_webp,
+        "op10_html_extraction": html_extract.op10_html_extraction,
     }
 
 
