@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Queries over the given tables, each beside the SQL that gives the same rows."""

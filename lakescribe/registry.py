@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 FLAGSHIP = "lexical_topk"
+AREAS = ("ingest",)
+
+
+def _all() -> dict:
+    found: dict = {}
+    for area in AREAS:
+        found |= import_module(f".plans.{area}", __package__).QUERIES
+    return found
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
