@@ -25,17 +25,24 @@ def identifier_phrases(question: Column) -> Column:
     return F.filter(F.transform(identifiers(question), normalize), lambda p: p != "")
 
 
-def has_identifier(question: Column, content: Column) -> Column:
-    text = normalize(content)
-    return F.exists(identifier_phrases(question), lambda p: F.contains(text, p))
+def with_boost(df: DataFrame, question: str = "question", filename: str = "filename", content: str = "content") -> DataFrame:
+    """df with boost and bears_identifier. boost: 1 if the chunk has an identifier of the question; else 0.7 for the file's name in it and 0.15 for a long term of it.
 
-
-def boost(question: Column, filename: Column, content: Column) -> Column:
-    """1 if the chunk has an identifier of the question; else 0.7 for the file's name in it and 0.15 for a long term of it."""
-    asked, name, text = normalize(expand_roles(question)), normalize(filename), normalize(content)
-    named = F.when((F.length(name) > 2) & F.contains(asked, name), 0.7).otherwise(0.0)
-    rare = F.when(F.exists(useful(tokens(expand_roles(question)), STOP_WORDS), lambda t: (F.length(t) >= 6) & F.contains(text, t)), 0.15).otherwise(0.0)
-    return F.when(has_identifier(question, content), 1.0).otherwise(F.least(F.lit(1.0), named + rare))
+    Normalised texts are columns of a projection of their own: within the lambdas they would be computed for each term.
+    """
+    asked = expand_roles(F.col(question))
+    out = df.select(
+        "*",
+        normalize(asked).alias("_asked"),
+        normalize(F.col(filename)).alias("_name"),
+        normalize(F.col(content)).alias("_text"),
+        identifier_phrases(F.col(question)).alias("_ids"),
+        useful(tokens(asked), STOP_WORDS).alias("_rare"),
+    )
+    named = F.when((F.length("_name") > 2) & F.contains("_asked", "_name"), 0.7).otherwise(0.0)
+    rare = F.when(F.exists("_rare", lambda t: (F.length(t) >= 6) & F.contains(F.col("_text"), t)), 0.15).otherwise(0.0)
+    out = out.withColumn("bears_identifier", F.exists("_ids", lambda p: F.contains(F.col("_text"), p)))
+    return out.withColumn("boost", F.when(F.col("bears_identifier"), 1.0).otherwise(F.least(F.lit(1.0), named + rare))).drop("_asked", "_name", "_text", "_ids", "_rare")
 
 
 def _mode() -> Column:

@@ -48,13 +48,16 @@ def score(candidates: DataFrame, content: str = "content", question: str = "ques
 
 
 def candidates(questions: DataFrame, chunks: DataFrame, scope: list[str], keys: list[str], content: str = "content") -> DataFrame:
-    """query_id, question, chunks' columns: chunks in scope that share the start of a word with a term of the question.
+    """query_id, question, chunks' columns: chunks in scope that can score for a question.
 
-    Everything that scores above 0 does; the rest is never paired with the question.
+    A form of a term that occurs in a text, or a word that begins with one or that one begins with, has the form's first
+    three letters in some word. So a join on these three letters finds each pair that scores above 0, and no others
+    are scored.
     """
-    start = lambda x: F.substring(x, 1, 3)
-    wanted = questions.select("query_id", *scope, F.explode(F.array_distinct(F.flatten(F.transform(search_terms(F.col("question")), lambda t: F.transform(term_variants(t), start))))).alias("_s"))
-    had = chunks.select(*scope, *keys, F.explode(F.array_distinct(F.transform(tokens(F.col(content)), start))).alias("_s"))
+    thirds = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3)))
+    forms = F.flatten(F.transform(search_terms(F.col("question")), lambda t: F.transform(term_variants(t), lambda v: F.substring(v, 1, 3))))
+    wanted = questions.select("query_id", *scope, F.explode(F.array_distinct(forms)).alias("_s"))
+    had = chunks.select(*scope, *keys, F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens(F.col(content))), thirds)))).alias("_s"))
     pairs = wanted.join(had, [*scope, "_s"]).select("query_id", *scope, *keys).distinct()
     return pairs.join(chunks, [*scope, *keys]).join(questions, ["query_id", *scope])
 

@@ -110,11 +110,11 @@ WITH {_UNITS} SELECT document_id, count(*) AS n_units, sum(length(text))::BIGINT
 def table_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's lines as a table."""
     rows = table(spark, sf_dir, "lineitem")
-    return units.table_units(rows, ["l_orderkey"], ["l_linenumber"], ["l_linenumber", "l_partkey", "l_returnflag", "l_quantity"], per_unit=2, most=3)
+    return units.table_units(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], ["l_linenumber", "l_partkey", "l_returnflag", "l_quantity"], per_unit=2, most=3)
 
 
 TABLE_UNITS = """
-WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n,
+WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n,
   'l_linenumber: ' || l_linenumber || '; l_partkey: ' || l_partkey || '; l_returnflag: ' || coalesce(nullif(trim(l_returnflag), ''), '[blank]') || '; l_quantity: ' || l_quantity AS c FROM lineitem),
 p AS (SELECT l_orderkey, ((r - 1) // CASE WHEN ceil(n / 2) > 3 THEN ceil(n / 3)::BIGINT ELSE 2 END)::INTEGER AS unit_index, (r + 1)::INTEGER AS row, c FROM r)
 SELECT l_orderkey, unit_index, min(row) AS row_start, max(row) AS row_end, string_agg('Row ' || row || ': ' || c, chr(10) ORDER BY row) AS text FROM p GROUP BY ALL
