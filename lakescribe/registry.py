@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "lexical_topk"
-AREAS = ("ingest", "retrieval", "operations")
+AREAS = ("ingest", "retrieval", "operations", "evidence")
 
 
 def _all() -> dict:
