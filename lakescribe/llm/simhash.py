@@ -159,38 +159,31 @@ def _keyed(fps: DataFrame, masks: Column) -> DataFrame:
 def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, most: int = BUCKET) -> DataFrame:
     """a, b: edges that connect just the distinct fingerprints fp that are within distance of each other.
 
-    A bucket over most is split by finer masks until it fits. A bucket whose mask lacks r bits holds 2^r fingerprints at
-    most, so this ends: after the second split about 22 bits are free, after the fourth about 12.
+    A bucket over most is split by finer masks until it fits, or until its mask lacks so few bits (r) that it can't hold
+    more than most (2^r): with the usual most, after four splits. Which masks have such buckets is all the driver hears of.
     """
-    levels = [first_masks(distance, blocks)]
-    while 64 - levels[-1][0].bit_count() > most.bit_length() - 1:
-        levels.append(sorted({y for x in levels[-1] for y in finer_masks(x, distance)}))
-    rows, out = _keyed(fps, F.array(*[F.lit(_signed(x)) for x in levels[0]])), None
-    spark = fps.sparkSession
-    for level in range(len(levels)):
+    whole = 64 - (most.bit_length() - 1)
+    rows, out = _keyed(fps, F.array(*[F.lit(_signed(x)) for x in first_masks(distance, blocks)])), None
+    while True:
         counts = rows.groupBy("mask", "key").count().where("count > 1")
         rows = cut_lineage(rows.join(counts, ["mask", "key"]))  # most keys have one row and go here
-        fit = rows.where(F.col("count") <= most) if level + 1 < len(levels) else rows
-        fit = fit.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
-        edges = fit.mapInPandas(lambda x: _edges(x, distance), "a long, b long")
+        fits = (F.col("count") <= most) | (F.bit_count("mask") >= whole)
+        sorted_rows = rows.where(fits).select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
+        edges = sorted_rows.mapInPandas(lambda x: _edges(x, distance), "a long, b long")
         out = edges if out is None else out.unionByName(edges)
-        if level + 1 == len(levels) or rows.where(F.col("count") > most).isEmpty():
-            break
-        finer = F.create_map(*[x for m in levels[level] for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in finer_masks(m, distance)]))]) if level == 0 else None
-        hot = rows.where(F.col("count") > most)
-        if finer is None:
-            known = spark.createDataFrame([(_signed(m), [_signed(y) for y in finer_masks(m, distance)]) for m in levels[level]], "mask long, finer array<long>")
-            rows = _keyed(hot.join(known, "mask"), F.col("finer")).distinct()
-        else:
-            rows = _keyed(hot, finer[F.col("mask")]).distinct()
-    return out.distinct()
+        masks = [r["mask"] for r in rows.where(~fits).select("mask").distinct().collect()]
+        if not masks:
+            return out.distinct()
+        finer = [(m, [_signed(y) for y in finer_masks(m & ((1 << 64) - 1), distance)]) for m in masks]
+        known = fps.sparkSession.createDataFrame(finer, "mask long, finer array<long>")
+        rows = _keyed(rows.where(~fits).join(F.broadcast(known), "mask"), F.col("finer")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of the edges (a, b) the least node that it is connected with.
 
-    Each round gives each node its least neighbour or itself, follows that twice, and contracts: only edges between
-    different such nodes are left, so their number falls fast also for long chains. Rounds end when no edge is left.
+    Each round gives each node its least neighbour or itself, follows that to the end (each step doubles the way), and
+    contracts: only edges between different ends are left, and at most half of the nodes. Rounds end when no edge is left.
     """
     edges = cut_lineage(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = None
@@ -198,10 +191,12 @@ def components(edges: DataFrame) -> DataFrame:
         up = edges.groupBy("b").agg(F.min("a").alias("up")).withColumnRenamed("b", "node")
         up = edges.select(F.col("a").alias("node")).distinct().join(up, "node", "full_outer").select("node", F.coalesce("up", "node").alias("up"))
         up = cut_lineage(up)
-        for _ in range(2):
+        while True:
             over = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
-            up = up.join(over, "up", "left").select("node", F.coalesce("over", "up").alias("up"))
-        up = cut_lineage(up)
+            further = cut_lineage(up.join(over, "up").select("node", F.col("over").alias("up"), (F.col("over") != F.col("up")).alias("moved")))
+            up = further.select("node", "up")
+            if further.where("moved").isEmpty():
+                break
         roots = up.withColumnRenamed("up", "root") if roots is None else cut_lineage(
             roots.join(up.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
         )
@@ -239,8 +234,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id stay only where their class has no other, and then one of them.
     """
     found = classes(docs, id_col, text_col, distance)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("same"))
-    chosen = cut_lineage(chosen.select(F.col("doc_id").alias("_chosen_id"), F.col("same").alias("_same")))
-    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_chosen_id")))
-    once, often = kept.where("_same = 1"), kept.where("_same > 1")
+    own, same = (f"{x}_{'_'.join(docs.columns)}" for x in ("chosen", "same"))  # names that docs can't have
+    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(same))
+    chosen = cut_lineage(chosen)
+    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col(own)))
+    once, often = kept.where(F.col(same) == 1), kept.where(F.col(same) > 1)
     return once.unionByName(often.dropDuplicates([id_col])).select(*docs.columns)
