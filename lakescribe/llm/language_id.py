@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, table
+from .common import held_out, table
 from .ngrams import hashed, parts
 
 BITS, SIZES, CENTROIDS = 11, (2, 3), 4
@@ -99,15 +99,20 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
         for frame in batches:
             yield pd.DataFrame({"lang": frame["lang"], "v": [x.tobytes() for x in vectors(frame["text"], idf)]})
 
+    # one pass for all languages: a row's hash against its language's share
+    shares = labelled.sparkSession.createDataFrame([(lang, min(1_000_000, int(1_000_000 * sample / n) + 1)) for lang, n in by_lang.items()], "lang string, share int")
+    chosen = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.col("share")).limit(2 * sample * len(by_lang))
+    rows: dict[str, list[np.ndarray]] = {}
+    for r in chosen.select("text", "lang").mapInPandas(vectorise, "lang string, v binary").collect():
+        rows.setdefault(r["lang"], []).append(np.frombuffer(r["v"], np.float32))
     centres, langs, nearest = [], [], []
-    for lang in sorted(by_lang):
-        some = bounded_sample(labelled.where(F.col("lang") == lang), sample, "doc_id", by_lang[lang])
-        rows = [np.frombuffer(r["v"], np.float32) for r in some.select("text", "lang").mapInPandas(vectorise, "lang string, v binary").collect()]
-        if rows:
-            own = k_means(np.array(rows), centroids)
-            centres.append(own)
-            langs += [lang] * len(own)
-            nearest.append((np.array(rows) @ own.T).max(axis=1))
+    for lang in sorted(rows):
+        own = k_means(np.array(rows[lang]), centroids)
+        centres.append(own)
+        langs += [lang] * len(own)
+        nearest.append((np.array(rows[lang]) @ own.T).max(axis=1))
+    if not centres:
+        return None
     least = 0.5 * float(np.quantile(np.concatenate(nearest), 0.001))
     return Model(idf, np.concatenate(centres), langs, least)
 
