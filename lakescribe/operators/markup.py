@@ -200,7 +200,7 @@ def parse_csv(docs: DataFrame, keys: list[str], column: str = "text") -> DataFra
     """keys, row_index, cells (array of string): quoted and doubled quotes, any line ends, trimmed cells, blank rows left out."""
 
     def rows(text: str) -> list[list[str]]:
-        read = csv.reader(io.StringIO(text.lstrip("﻿"), newline=""))
+        read = csv.reader(io.StringIO(text.lstrip("﻿"), newline=""), skipinitialspace=True)
         return [r for r in ([c.strip() for c in row] for row in read) if any(r)]
 
     @F.pandas_udf("array<array<string>>")
