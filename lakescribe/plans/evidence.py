@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import files
 from ..functions import text as t
-from ..operators import charts, citations, context, embed, evaluate, evidence, jobs, markup, pii, reports, semantic
+from ..operators import charts, citations, context, embed, evaluate, evidence, jobs, markup, pii, reports, semantic, topk
 from ..streaming import limits
-from .common import CHUNKS, QUESTIONS, chunks, documents, questions, table, tokens
+from . import retrieval
+from .common import CHUNKS, chunks, documents, questions, table, tokens
 from .operations import _EVENTS, _events
 
 SECRET = "a secret of thirty-two characters, for tests only"
@@ -204,31 +205,38 @@ SELECT l_orderkey AS query_id, row, 'p' || l_partkey AS x, 'Q' AS series, l_quan
 """
 
 
+def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """query_id, chunk_id, rank: the best chunks of each question by words."""
+    found = retrieval.lexical_ranks(spark, sf_dir)
+    return topk.per_group(found, ["query_id"], [F.desc("rank_score"), F.col("document_id"), F.col("chunk_index")], k).select("query_id", "chunk_id", "rank")
+
+
 def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark's questions against the first chunk of three documents of their collections each."""
+    """The benchmark's questions against their five best chunks by words."""
     q = questions(spark, sf_dir).withColumn("retrieval_reason", F.when(F.col("query_id") % 9 == 0, "broad_context_fallback").otherwise("hybrid_match"))
-    first = chunks(spark, sf_dir).where("chunk_index = 0 and document_id < 60")
-    s = q.join(first, "collection_id").select("query_id", "document_id", F.substring("content", 1, 2900).alias("content"), F.lit("keyword").alias("retrieval_mode"), F.lit(1.0).alias("relevance_score"), F.lit(1).alias("keyword_score"), F.lit(None).cast("double").alias("semantic_similarity"))
+    s = _best(spark, sf_dir, 5).join(chunks(spark, sf_dir), "chunk_id").select("query_id", "document_id", "content", F.lit("keyword").alias("retrieval_mode"), F.lit(1.0).alias("relevance_score"), F.lit(1).alias("keyword_score"), F.lit(None).cast("double").alias("semantic_similarity"))
     return evidence.assess(q, s)
 
 
+_STOPS = ", ".join(repr(x) for x in evidence.STOP_WORDS)
 EVIDENCE_GATE = f"""
-WITH {CHUNKS}, {QUESTIONS}, w AS (SELECT query_id, collection_id, unnest({tokens('question')}) AS t, unnest(range(len({tokens('question')}))) AS p FROM questions),
-d AS (SELECT query_id, collection_id, t, row_number() OVER (PARTITION BY query_id ORDER BY min(p)) AS k FROM w WHERE length(t) >= 4 AND t NOT IN ({', '.join(repr(x) for x in evidence.STOP_WORDS)}) GROUP BY query_id, collection_id, t),
-qt AS (SELECT * FROM d WHERE k <= 12), n AS (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id),
-s AS (SELECT query_id, document_id, {tokens('content[1:2900]')} AS words FROM questions JOIN chunks USING (collection_id) WHERE chunk_index = 0 AND document_id < 60),
-ok AS (SELECT * FROM s WHERE length(array_to_string(words, ' ')) >= 24), c AS (SELECT query_id, count(*) AS all_n FROM s GROUP BY query_id), m AS (SELECT query_id, count(*) AS n_meaningful FROM ok GROUP BY query_id),
-h AS (SELECT qt.query_id, count(DISTINCT t) AS n_matched FROM qt JOIN ok USING (query_id) WHERE list_contains(words, t) OR len(list_filter(words, lambda x: length(x) >= 5 AND (starts_with(x, t) OR starts_with(t, x)))) > 0 GROUP BY qt.query_id),
-j AS (SELECT q.query_id, coalesce(n_meaningful, 0) AS n_meaningful, coalesce(n_matched, 0)::INTEGER AS n_matched, CASE WHEN n >= 4 THEN 2 WHEN n > 0 THEN 1 ELSE 0 END AS n_needed, coalesce(all_n, 0) AS all_n FROM questions q LEFT JOIN n USING (query_id) LEFT JOIN c USING (query_id) LEFT JOIN m USING (query_id) LEFT JOIN h USING (query_id)),
-r AS (SELECT *, CASE WHEN all_n NOT BETWEEN 1 AND 10 THEN 'out_of_bounds' WHEN n_meaningful = 0 THEN 'no_meaningful_source' WHEN query_id % 9 = 0 THEN 'broad_or_empty_retrieval' WHEN NOT (n_needed > 0 AND n_matched >= n_needed) THEN 'too_little_support' ELSE 'sufficient' END AS reason FROM j)
-SELECT query_id, n_meaningful, n_matched, n_needed, CASE WHEN reason = 'sufficient' THEN 'strong' WHEN n_meaningful > 0 THEN 'weak' ELSE 'none' END AS status, reason = 'sufficient' AS sufficient, reason FROM r
+WITH {retrieval.RANKED}, rk AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, document_id, chunk_index) AS k FROM s) WHERE k <= 5),
+s0 AS (SELECT query_id, content, {tokens('content')} AS words FROM rk JOIN chunks USING (chunk_id)),
+ew AS (SELECT query_id, unnest({tokens('question')}) AS t, unnest(range(len({tokens('question')}))) AS p FROM questions),
+ed AS (SELECT query_id, t, row_number() OVER (PARTITION BY query_id ORDER BY min(p)) AS k FROM ew WHERE length(t) >= 4 AND t NOT IN ({_STOPS}) GROUP BY query_id, t),
+et AS (SELECT * FROM ed WHERE k <= 12), en AS (SELECT query_id, count(*) AS n FROM et GROUP BY query_id),
+ok AS (SELECT * FROM s0 WHERE length(array_to_string(words, ' ')) >= 24), ec AS (SELECT query_id, count(*) AS all_n, bool_or(length(content) > 3000) AS long FROM s0 GROUP BY query_id), em AS (SELECT query_id, count(*) AS n_meaningful FROM ok GROUP BY query_id),
+eh AS (SELECT et.query_id, count(DISTINCT t) AS n_matched FROM et JOIN ok USING (query_id) WHERE list_contains(words, t) OR len(list_filter(words, lambda x: length(x) >= 5 AND (starts_with(x, t) OR starts_with(t, x)))) > 0 GROUP BY et.query_id),
+ej AS (SELECT q.query_id, coalesce(n_meaningful, 0) AS n_meaningful, coalesce(n_matched, 0)::INTEGER AS n_matched, CASE WHEN n >= 4 THEN 2 WHEN n > 0 THEN 1 ELSE 0 END AS n_needed, coalesce(all_n, 0) AS all_n, coalesce(long, false) AS long
+  FROM questions q LEFT JOIN en USING (query_id) LEFT JOIN ec USING (query_id) LEFT JOIN em USING (query_id) LEFT JOIN eh USING (query_id)),
+er AS (SELECT *, CASE WHEN all_n NOT BETWEEN 1 AND 10 OR long THEN 'out_of_bounds' WHEN n_meaningful = 0 THEN 'no_meaningful_source' WHEN query_id % 9 = 0 THEN 'broad_or_empty_retrieval' WHEN NOT (n_needed > 0 AND n_matched >= n_needed) THEN 'too_little_support' ELSE 'sufficient' END AS reason FROM ej)
+SELECT query_id, n_meaningful, n_matched, n_needed, CASE WHEN reason = 'sufficient' THEN 'strong' WHEN n_meaningful > 0 THEN 'weak' ELSE 'none' END AS status, reason = 'sufficient' AS sufficient, reason FROM er
 """
 
 
 def prompt_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of each question's collection, by id, within the budget."""
-    c = chunks(spark, sf_dir).where("document_id < 100")
-    ranked = questions(spark, sf_dir).join(c, "collection_id").select("query_id", "question", "chunk_id", "content", F.col("chunk_id").alias("rank"))
+    """The ten best chunks of each question by words, within the budget."""
+    ranked = _best(spark, sf_dir, 10).join(chunks(spark, sf_dir), "chunk_id").join(questions(spark, sf_dir).select("query_id", "question"), "query_id")
     return context.select_prompt_chunks(ranked, per_chunk=700, in_all=2000).select("query_id", "chunk_id", F.md5("content").alias("content_md5"), F.length("content").alias("n"))
 
 
@@ -250,8 +258,6 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2, V3: five chunks of each question by how much they hold of it, against all that hold 0.7."""
     p = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "passage_id")
     held = evaluate.passage_support(chunks(spark, sf_dir), p, 0.5).withColumnRenamed("passage_id", "query_id")
-    from ..operators import topk
-
     ranked = topk.per_group(held, ["query_id"], [F.desc(F.round("overlap", 9)), F.desc("chunk_id")], 5)
     relevant = held.where("overlap >= 0.7").select("query_id", "chunk_id", F.when(F.col("overlap") > 0.9, 2).otherwise(1).alias("grade"))
     m = evaluate.metrics(evaluate.grades(ranked, relevant), relevant)

@@ -137,12 +137,12 @@ SELECT p_brand, unit_index, min(row) AS row_start, max(row) AS row_end, string_a
 def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as blocks; system turns are headings of level 1, users' of level 2."""
     talk = table(spark, sf_dir, "conversations").withColumn("level", F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2))
-    path = units.heading_path(talk.withColumn("text", F.substring("text", 1, 20)), ["conv_id"], "turn")
+    path = units.heading_path(talk, ["conv_id"], "turn")
     return path.select("conv_id", "turn", F.array_join("heading_path", " > ").alias("heading_path"))
 
 
 HEADING_PATHS = """
-WITH h AS (SELECT conv_id, turn, last_value(CASE WHEN role = 'system' THEN {'at': turn, 't': text[:20]} END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN role = 'user' THEN {'at': turn, 't': text[:20]} END IGNORE NULLS) OVER w AS b
+WITH h AS (SELECT conv_id, turn, last_value(CASE WHEN role = 'system' THEN {'at': turn, 't': text} END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN role = 'user' THEN {'at': turn, 't': text} END IGNORE NULLS) OVER w AS b
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT conv_id, turn, concat_ws(' > ', a.t, CASE WHEN a IS NULL OR b.at > a.at THEN b.t END) AS heading_path FROM h
 """

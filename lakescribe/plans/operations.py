@@ -377,11 +377,11 @@ SPARSE_PAGES = r"SELECT conv_id, turn FROM conversations WHERE length(trim(regex
 
 def low_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B11."""
-    return quality.low_text_documents(table(spark, sf_dir, "conversations").withColumn("text", F.substring("text", 1, 90)), ["conv_id"]).select("conv_id", "n_pages", "characters", "words")
+    return quality.low_text_documents(table(spark, sf_dir, "conversations"), ["conv_id"]).select("conv_id", "n_pages", "characters", "words")
 
 
 LOW_TEXT = r"""
-WITH p AS (SELECT conv_id, trim(regexp_replace(text[:90], '\s+', ' ', 'g')) AS t FROM conversations),
+WITH p AS (SELECT conv_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations),
 s AS (SELECT conv_id, count(*) AS n_pages, sum(length(t))::BIGINT AS characters, sum(len(list_filter(string_split(t, ' '), lambda x: x <> '')))::BIGINT AS words FROM p GROUP BY conv_id)
 SELECT * FROM s WHERE characters < 80 OR words < 20 OR (n_pages > 3 AND characters / n_pages < 100)
 """

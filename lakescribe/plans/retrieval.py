@@ -18,10 +18,14 @@ def _lexical(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
     return lexical.search(lexical.question_clauses(asked, SCOPE), rows, SCOPE, KEYS)
 
 
+def lexical_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk that a question of the benchmark matches, with rank_score."""
+    return _lexical(spark, sf_dir, questions(spark, sf_dir)).withColumn("rank_score", F.round("rank", 6)).drop("rank")
+
+
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best chunks of each question."""
-    found = _lexical(spark, sf_dir, questions(spark, sf_dir)).withColumn("rank_score", F.round("rank", 6)).drop("rank")
-    best = topk.per_group(found, ["query_id"], [F.desc("rank_score"), F.col("document_id"), F.col("chunk_index")], 5)
+    best = topk.per_group(lexical_ranks(spark, sf_dir), ["query_id"], [F.desc("rank_score"), F.col("document_id"), F.col("chunk_index")], 5)
     return best.select("query_id", "chunk_id", "rank_score", "rank")
 
 
@@ -29,10 +33,12 @@ _POST = f"""{CHUNKS}, {QUESTIONS},
 post AS (SELECT chunk_id, document_id, collection_id, filename, chunk_index, 0 AS named, 0.2::DOUBLE AS w, unnest({tokens("content")}) AS term, unnest(range(len({tokens("content")}))) AS pos FROM chunks
   UNION ALL SELECT chunk_id, document_id, collection_id, filename, chunk_index, 1, 1.0, unnest({tokens("filename")}), unnest(range(len({tokens("filename")}))) FROM chunks)"""
 _QT = f"qt AS (SELECT query_id, collection_id, unnest({useful(tokens('question[1:500]'))}) AS term FROM questions)"
-LEXICAL_TOPK = f"""
-WITH {_POST}, {_QT},
+#: SQL of lexical_ranks(), as s.
+RANKED = f"""{_POST}, {_QT},
 r AS (SELECT query_id, chunk_id, document_id, chunk_index, sum(w) AS r, max(named) AS named FROM qt JOIN post USING (collection_id, term) GROUP BY ALL),
-s AS (SELECT query_id, chunk_id, document_id, chunk_index, round(r / (r + 1) + 0.25 * named, 6) AS rank_score FROM r)
+s AS (SELECT query_id, chunk_id, document_id, chunk_index, round(r / (r + 1) + 0.25 * named, 6) AS rank_score FROM r)"""
+LEXICAL_TOPK = f"""
+WITH {RANKED}
 SELECT query_id, chunk_id, rank_score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, document_id, chunk_index) AS rank FROM s) WHERE rank <= 5
 """
 
