@@ -85,6 +85,35 @@ def test_pii(spark):
     assert m["k"].startswith("[EMAIL_")
 
 
+@pytest.mark.parametrize(
+    ("rule", "text"),
+    [
+        ("sensitive_url", "see https://u:p@host/x"),
+        ("email", "mail a@b.org"),
+        ("payment_card_luhn", "card 4111111111111111"),
+        ("payment_card_luhn", "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"),
+        ("ipv4", "at 1.2.3.4"),
+        ("ipv6", "at ab:cd:ef:ab"),
+        ("india_pan_format", "tax ABCDE1234F"),
+        ("aadhaar_verhoeff", "id 2341 2341 2346"),
+        ("india_ifsc_format", "Branch code HDFC0CADARS please"),
+        ("bank_account_context", "account 12  34  56  78  9"),
+        ("international_phone", "call +44 20 79 46 095"),
+        ("phone_context", "phone 12\t34\t56\t78\t90"),
+        ("phone_context", "phone 12)(34)(56)(78)(90"),
+    ],
+)
+def test_pii_hint(spark, rule, text):
+    """Each rule on a text that holds its value alone: what find() sees is also found where Spark tests texts first."""
+    assert rule in [f[5] for f in pii.find(text)]
+    assert rule in [x["rule_id"] for x in one(spark, pii.detect(F.col("t")), t=text)]
+    assert one(spark, pii.mask(F.col("t"), F.lit("a"), "s" * 32), t=text) != text
+
+
+def test_pii_needs():
+    assert set(pii.NEEDS) == {r.rule_id for r in pii.RULES}
+
+
 def test_sequential_and_back(spark):
     rows = [("s", "email", "b@x.org", "b@x.org", 9), ("s", "email", "a@x.org", "A@x.org", 3), ("s", "email", "a@x.org", "a@x.org", 20), ("t", "email", "a@x.org", "a@x.org", 1)]
     d = spark.createDataFrame(rows, "scope_id string, type string, normalized string, value string, start int")
