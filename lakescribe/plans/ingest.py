@@ -75,6 +75,16 @@ SELECT document_id, chunk_index, unit_index + 1 AS page_number, chunk_part, md5(
 """
 
 
+def chunk_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X10, X11 without a limit: all chunks of each document."""
+    pages = units.from_text(documents(spark, sf_dir), ["document_id", "filename"]).withColumn("page_number", F.col("unit_index") + 1)
+    cut = chunking.with_metadata(chunking.chunk_units(pages, ["document_id"], "page_number"))
+    return cut.select("document_id", "chunk_index", "page_number", "chunk_part", F.md5("content").alias("content_md5"), F.col("metadata")["line_start"].alias("line_start"))
+
+
+CHUNK_PAGES_WHOLE = CHUNK_PAGES.removesuffix(" WHERE chunk_index < 40\n")
+
+
 def line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of 80 lines."""
     return units.from_text(documents(spark, sf_dir), ["document_id"]).select("document_id", "unit_index", "line_start", "line_end", F.md5("text").alias("text_md5"))
@@ -238,6 +248,7 @@ QUERIES = {
     "text_counts": (text_counts, TEXT_COUNTS),
     "chunk_windows": (chunk_windows, CHUNK_WINDOWS),
     "chunk_pages": (chunk_pages, CHUNK_PAGES),
+    "chunk_pages_whole": (chunk_pages_whole, CHUNK_PAGES_WHOLE),
     "line_units": (line_units, LINE_UNITS),
     "paragraph_units": (paragraph_units, PARAGRAPH_UNITS),
     "document_stats": (document_stats, DOCUMENT_STATS),

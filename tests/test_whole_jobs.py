@@ -1,6 +1,8 @@
 """Queries on small tables of literal rows that the given ones have no like of."""
 
-from lakescribe.plans import evidence
+import duckdb
+
+from lakescribe.plans import evidence, ingest
 
 
 def _documents(spark, folder, texts):
@@ -9,8 +11,25 @@ def _documents(spark, folder, texts):
     return str(folder)
 
 
+def _lines(n):
+    """A text of n words, a hundred to a line."""
+    return "\n".join(" ".join(f"w{k}" for k in range(i, min(i + 100, n))) for i in range(0, n, 100))
+
+
 def test_leaks_of_every_type(spark, tmp_path):
     """A number that only its label gives away is masked beside the label and stays where it is repeated."""
     texts = {1: "phone: 020 7946 0958, or ring 020 7946 0958", 2: "account no. 123456789012; quote 123456789012", 3: "phone: 020 7946 0959 once", 4: "mail a@b.org or a@b.org"}
     found = evidence.pii_leaks(spark, _documents(spark, tmp_path, texts)).collect()
     assert sorted(map(tuple, found)) == [("u1/document/1", "020 7946 0958"), ("u2/document/2", "123456789012")]
+
+
+def test_pages_without_limit(spark, tmp_path):
+    folder = _documents(spark, tmp_path, {1: _lines(20_020), 2: _lines(80_000), 3: "short", 4: " "})
+    found = ingest.chunk_pages_whole(spark, folder)
+    rows = sorted(map(tuple, found.collect()))
+    # 8,000 words a page make 24 chunks, the last 4,020 of document 1 make 12
+    assert [sum(r[0] == k for r in rows) for k in (1, 2, 3, 4)] == [60, 240, 1, 0]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    sql = f"SELECT {', '.join(found.columns)} FROM ({ingest.CHUNK_PAGES_WHOLE})"
+    assert rows == sorted(duck.execute(sql).fetchall())
