@@ -300,6 +300,13 @@ SELECT doc_id AS document_id, CASE WHEN n_chunks BETWEEN 1 AND 50 THEN 'ready' E
 """
 
 
+def ingest_job_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X13, the whole job within the operator's own limit: each document's status with the texts of its chunks, the private ones masked; one row for a failed document."""
+    cut, statuses = jobs.ingest(_owned(spark, sf_dir), SECRET)
+    texts = cut.select("document_id", "chunk_index", "embedding_projection", F.md5("embedding_text").alias("embedding_text_md5"))
+    return statuses.join(texts, "document_id", "left")
+
+
 def retrieve_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R19 with vectors of a hashing embedder."""
     asked = questions(spark, sf_dir)
@@ -345,5 +352,5 @@ SELECT query_id, 'citation' AS kind, n FROM c WHERE n > 0 UNION ALL SELECT query
 
 QUERIES = {name: (globals()[name], globals().get(name.upper())) for name in (
     "pii_detect pii_mask pii_sequential pii_leaks luhn html_units file_kinds citations_validate citations_resolve claims risk_register obligations source_bundle risk_reports charts_parse evidence_gate prompt_chunks "
-    "passage_support eval_metrics refusals ingest_job retrieve_job sliding_counts daily_spend inline_tokens"
+    "passage_support eval_metrics refusals ingest_job ingest_job_chunks retrieve_job sliding_counts daily_spend inline_tokens"
 ).split()}

@@ -1,5 +1,7 @@
 """Queries on small tables of literal rows that the given ones have no like of."""
 
+from hashlib import md5
+
 import duckdb
 
 from lakescribe.plans import evidence, ingest
@@ -33,3 +35,16 @@ def test_pages_without_limit(spark, tmp_path):
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
     sql = f"SELECT {', '.join(found.columns)} FROM ({ingest.CHUNK_PAGES_WHOLE})"
     assert rows == sorted(duck.execute(sql).fetchall())
+
+
+def test_ingest_to_masked_chunks(spark, tmp_path):
+    texts = {1: "mail ann@example.org", 2: "mail ann@example.org", 4: _lines(20_020), 6: _lines(80_000), 8: " "}
+    rows = evidence.ingest_job_chunks(spark, _documents(spark, tmp_path, texts)).collect()
+    of = {k: [r for r in rows if r["document_id"] == k] for k in texts}
+    assert {k: (len(x), x[0]["status"], x[0]["error"], x[0]["n_chunks"]) for k, x in of.items()} == {
+        1: (1, "ready", None, 1), 2: (1, "ready", None, 1), 4: (60, "ready", None, 60), 6: (1, "failed", "too_many_chunks", 240), 8: (1, "failed", "no_text", 0),
+    }
+    assert sorted(r["chunk_index"] for r in of[4]) == list(range(60)) and of[6][0]["embedding_text_md5"] is None
+    plain = md5(texts[1].encode()).hexdigest()
+    assert (of[1][0]["embedding_projection"], of[1][0]["embedding_text_md5"]) == ("original", plain)
+    assert of[2][0]["embedding_projection"] == "privacy_minimised" and of[2][0]["embedding_text_md5"] not in (plain, None)
