@@ -237,7 +237,7 @@ SELECT query_id, n_meaningful, n_matched, n_needed, CASE WHEN reason = 'sufficie
 def prompt_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best chunks of each question by words, within the budget."""
     ranked = _best(spark, sf_dir, 10).join(chunks(spark, sf_dir), "chunk_id").join(questions(spark, sf_dir).select("query_id", "question"), "query_id")
-    return context.select_prompt_chunks(ranked, per_chunk=700, in_all=2000).select("query_id", "chunk_id", F.md5("content").alias("content_md5"), F.length("content").alias("n"))
+    return context.select_prompt_chunks(ranked).select("query_id", "chunk_id", F.md5("content").alias("content_md5"), F.length("content").alias("n"))
 
 
 def passage_support(spark: SparkSession, sf_dir: str) -> DataFrame:

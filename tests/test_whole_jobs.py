@@ -48,3 +48,10 @@ def test_ingest_to_masked_chunks(spark, tmp_path):
     plain = md5(texts[1].encode()).hexdigest()
     assert (of[1][0]["embedding_projection"], of[1][0]["embedding_text_md5"]) == ("original", plain)
     assert of[2][0]["embedding_projection"] == "privacy_minimised" and of[2][0]["embedding_text_md5"] not in (plain, None)
+
+
+def test_prompt_in_whole_budget(spark, tmp_path):
+    """Of six chunks of 2,399 characters five fill the budget of 12,000, each of them whole."""
+    folder = _documents(spark, tmp_path, {k: "river light harbors " * 119 + "river light harbors" for k in range(1, 7)})
+    spark.createDataFrame([(1, "river light harbors")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert [r["n"] for r in evidence.prompt_chunks(spark, folder).collect()] == [2399] * 5
