@@ -1,13 +1,17 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 The nodes are a page's block elements and its runs of text; each is content or not. A node has a potential from its own
-features (tag, words of class, id and role, length, share of linked text and so on), and each parent and child one that
+features (tag, role, words of class and id, length, share of linked text and so on), and each parent and child one that
 says how likely both are alike. Messages go up from the leaves and down again (sum-product), which on a tree gives each
 run's exact marginal; runs that are content more likely than not are the text.
 
 The potentials are trained from labelled pages: pages that mark their article themselves (article, main, role=main or
-itemprop=articleBody) label their own nodes. Weights start from what tags and names usually mean and are drawn back to it,
-so that a page without such marks, or with names that no labelled page has, is judged by that.
+itemprop=articleBody) label their own nodes, and in it tags and roles alone say what is no content. What words of class
+and id mean is learned, beside a mark and within one apart. Weights start from what tags and names usually mean and are
+drawn back to it, so that a page without such marks, or with names that no labelled page has, is judged by that.
+
+Pages are read in time in proportion to their length, whatever the markup: each character is passed a fixed number of
+times, and elements nest DEPTH deep at most, as in browsers; deeper ones are read as if they stood beside each other.
 """
 
 from __future__ import annotations
@@ -29,59 +33,160 @@ from .common import bounded_sample, table
 PAGES = 1_000
 ROUNDS, RATE, PULL, SEEN = 120, 0.03, 1e-2, 20
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is not text of the page.
-DROPPED = frozenset("script style noscript template head title textarea select option optgroup datalist button iframe object svg math canvas audio video map noembed noframes xmp".split())
+VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
+#: What browsers don't show as text of the page, and controls of forms.
+DROPPED = frozenset("script style template head title textarea select option optgroup datalist button iframe noembed noframes annotation annotation-xml".split())
+#: Markup in these isn't read; xmp's is shown as it stands.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-#: Elements inside a line of text: they end no block and are no nodes.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr img".split())
+DEPTH = 512
 #: An open p ends where one of these starts.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
 SAME_LEVEL = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"})}
 TAGS = "article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th blockquote pre figure figcaption nav header footer aside form fieldset address menu details summary body html dialog hr center".split()
 _TAG_NUMBER = {t: k for k, t in enumerate(TAGS)}
-#: Words of class, id, role and itemprop by what they tell.
+#: Elements that are blocks and so nodes; all others stand inside a line of text.
+BLOCKS = ENDS_P | frozenset(SAME_LEVEL) | frozenset(TAGS) | frozenset("caption colgroup thead legend listing plaintext xmp search summary template head".split())
+#: Words of class and id by what they tell.
 NAMES = (
     ("content", r"articlebody|article|content|entry|post|story|main|text|body"),
     ("advert", r"ads?|advert\w*|sponsor\w*|promo\w*|banner|outbrain|taboola"),
     ("menu", r"nav\w*|menu\w*|breadcrumbs?|toc|tabs?|pagination|pager|skip"),
-    ("frame", r"header|footer|masthead|foot|copyright|legal|colophon|complementary|contentinfo"),
+    ("frame", r"header|footer|masthead|foot|copyright|legal|colophon"),
     ("side", r"side\w*|widget\w*|related|recommended|trending|popular|tags?|more|teaser"),
     ("comments", r"comments?|respond|replies|reply|disqus|discussion"),
-    ("notice", r"cookies?|consent|gdpr|notice|alert|modal|popup|overlay|newsletter|subscribe|subscription|paywall|login|signup|search|share|sharing|social"),
+    ("notice", r"cookies?|consent|gdpr|newsletter|subscribe|subscription|paywall|login|signup|search|share|sharing|social"),
+    ("hint", r"notice|alert|modal|popup|overlay"),
 )
+#: The weights that these start from: beside any mark of an article, and within one.
+USUAL_NAMES = {"content": (2.5, 0.5), "advert": (-6, -6), "menu": (-6, -4), "frame": (-6, -2), "side": (-6, -1), "comments": (-6, -6), "notice": (-6, -5), "hint": (-6, -1)}
+#: Roles that say that an element isn't content.
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert status menu menubar toolbar".split())
 _NAMED = [re.compile(rf"(?:^|[\s_-])(?:{x})(?:$|[\s_-])") for _, x in NAMES]
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S,
-)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: Up to the end of a tag, or a value's opening quote.
+PART = re.compile(r"[^>=]*+(?:(>)|=\s*+([\"']?))")
+COMMENT_END, RAW_END = re.compile(r"--!?>"), {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in RAW}
+ATTRIBUTE = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?")
+#: Of longer attributes only so much is looked at for words.
+WORDS = 4096
+HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", re.I)
 BLANK = re.compile(r"\s+")
-N_FEATURES = len(TAGS) + len(NAMES) + 8  # and for runs: 7 of text; 1 bias
+#: Tags, role, names beside a mark and within one, seven of text, one that is always 1.
+N_FEATURES = len(TAGS) + 1 + 2 * len(NAMES) + 8
 
 
 class Node:
-    """A block element, or with text a run. features: numbers of what holds, and values for runs."""
+    """A block element, or with text a run."""
 
-    __slots__ = ("parent", "tag", "named", "text", "linked", "marked", "run")
+    __slots__ = ("parent", "tag", "named", "role", "text", "linked", "marked", "within", "run")
 
-    def __init__(self, parent: int, tag: str, named: int = 0, marked: int = 0):
-        self.parent, self.tag, self.named, self.marked = parent, tag, named, marked
+    def __init__(self, parent: int, tag: str, within: bool = False):
+        self.parent, self.tag, self.within = parent, tag, within
+        self.named, self.role, self.marked = 0, False, False
         self.text: list[str] = []
         self.linked, self.run = 0, False
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {k.lower(): html.unescape(v.strip("\"'")) if v else "" for k, v in ATTRIBUTE.findall(raw)}
+    out: dict[str, str] = {}
+    for k, v in ATTRIBUTE.findall(raw):
+        out.setdefault(k.lower(), html.unescape(v.strip("\"'")[:WORDS]) if v else "")
+    return out
+
+
+class _Reader:
+    """One page's tokens. Quotes that never close in the rest of the page end no value."""
+
+    def __init__(self, page: str):
+        self.page, self.unclosed = page, set()
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose attributes start at at ends, behind its >; -1 if it never does."""
+        page = self.page
+        while True:
+            m = PART.match(page, at)
+            if m is None:
+                return -1
+            at = m.end()
+            if m[1]:
+                return at
+            quote = m[2]
+            if quote and quote not in self.unclosed:
+                close = page.find(quote, at)
+                if close < 0:
+                    self.unclosed.add(quote)
+                else:
+                    at = close + 1
+
+    def tokens(self) -> Iterator[tuple[str, str, str]]:
+        """(kind, name, text): text, start with its attributes, end. What is left open at the end of the page is no text."""
+        page, at, size = self.page, 0, len(self.page)
+        while at < size:
+            sign = page.find("<", at)
+            if sign < 0:
+                yield "text", "", page[at:]
+                return
+            if sign > at:
+                yield "text", "", page[at:sign]
+            at = sign + 1
+            following = page[at : at + 1]
+            if following == "/":
+                m = NAME.match(page, at + 1)
+                end = page.find(">", at + 1)
+                if end < 0:
+                    return
+                if m is not None:
+                    yield "end", m[0].lower(), ""
+                at = end + 1
+            elif following == "!" or following == "?":
+                if page.startswith("!--", at):
+                    if page.startswith((">", "->"), at + 3):
+                        at = page.index(">", at) + 1
+                        continue
+                    m = COMMENT_END.search(page, at + 3)
+                    if m is None:
+                        return
+                    at = m.end()
+                elif page.startswith("![CDATA[", at):
+                    end = page.find("]]>", at)
+                    if end < 0:
+                        return
+                    yield "plain", "", page[at + 8 : end]
+                    at = end + 3
+                else:
+                    at = page.find(">", at) + 1
+                    if not at:
+                        return
+            else:
+                m = NAME.match(page, at)
+                if m is None:
+                    yield "plain", "", "<"
+                    continue
+                end = self.tag_end(m.end())
+                if end < 0:
+                    return
+                tag = m[0].lower()
+                yield "start", tag, page[m.end() : end - 1]
+                at = end
+                if tag in RAW:
+                    found = RAW_END[tag].search(page, at)
+                    if tag == "xmp":
+                        yield "plain", "", page[at : size if found is None else found.start()]
+                        yield "end", tag, ""
+                    if found is None:
+                        return
+                    at = page.find(">", found.start()) + 1
+                    if not at:
+                        return
 
 
 def parse(page: str | None) -> list[Node]:
     """The nodes of a page, parents first and runs in page order; broken markup is read as browsers do, in essence."""
-    page = page or ""
     nodes = [Node(-1, "html")]
     # open elements: tag, the number of its block node (inline: that of its block), whether it hides its text
     stack: list[tuple[str, int, bool]] = [("html", 0, False)]
+    blocks, inner = [0], [{}]  # of open blocks their places on the stack, and what stands open in each line
+    opened: dict[str, int] = {}
     run: Node | None = None
     links = 0
 
@@ -91,109 +196,102 @@ def parse(page: str | None) -> list[Node]:
             tag = stack.pop()[0]
             if tag == "a":
                 links = max(0, links - 1)
-            if tag not in INLINE:
+            if blocks[-1] == len(stack):
+                blocks.pop()
+                inner.pop()
+                opened[tag] -= 1
                 run = None
+            else:
+                inner[-1][tag] -= 1
 
     def add(text: str) -> None:
         nonlocal run
         if stack[-1][2] or not text:
             return
-        if "&" in text:
-            text = html.unescape(text)
         if run is None:
             if text.isspace():
                 return
-            run = Node(stack[-1][1], "#")
+            run = Node(stack[-1][1], "#", nodes[stack[-1][1]].within)
             run.run = True
             nodes.append(run)
         run.text.append(text)
         if links:
             run.linked += len(text)
 
-    at, size = 0, len(page)
-    find = TOKEN.search
-    while at < size:
-        m = find(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        end, start = m[1], m[2] or m[4]
-        if end:
-            tag = end.lower()
-            if tag == "br":
-                add(" ")
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
+    def last(tags: set[str], stops: set[str]) -> int:
+        """The place of the last open block of tags above any of stops, or 0."""
+        if any(opened.get(x) for x in tags):
+            for k in reversed(blocks):
+                if stack[k][0] in stops:
                     break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline element's end tag ends no block
-            else:
-                if tag == "p":
-                    run = None
+                if stack[k][0] in tags:
+                    return k
+        return 0
+
+    for kind, tag, raw in _Reader(page or "").tokens():
+        if kind == "text":
+            add(html.unescape(raw) if "&" in raw else raw)
             continue
-        if not start:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+        if kind == "plain":
+            add(raw)
             continue
-        tag, raw = start.lower(), (m[3] if m[2] else m[5]) or ""
         if tag == "br":
             add(" ")
             continue
-        if tag in RAW:
-            found = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            at = size if found is None else page.find(">", found.start()) + 1 or size
+        if kind == "end":
+            if tag in BLOCKS:
+                if opened.get(tag):
+                    close(next(k for k in reversed(blocks) if stack[k][0] == tag))
+                elif tag == "p":
+                    run = None
+            elif inner[-1].get(tag):  # an inline element's end tag ends no block
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
-        if tag in ("html", "body", "head"):
-            if tag == "body":
-                close(1)
-            if tag == "head":
-                stack.append(("head", 0, True))
-                continue
-            if tag == "html":
-                continue
-        elif stack[-1][0] == "head" and tag not in ("meta", "link", "base"):
+        if tag == "html":
+            continue
+        if tag == "body":
+            close(1)
+        elif stack[-1][0] == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
             close(len(stack) - 1)
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        if tag in ENDS_P and stack[blocks[-1]][0] == "p":
+            close(blocks[-1])
         if tag in SAME_LEVEL:
             ends, stops = SAME_LEVEL[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in stops:
+            while k := last(ends, stops):
+                close(k)
+                if tag not in ("tr", "tbody", "tfoot"):
                     break
-                if stack[k][0] in ends:
-                    close(k)
-                    if tag not in ("tr", "tbody", "tfoot"):
-                        break
-        if tag in VOID:
+        if tag in VOID or (tag in RAW and tag != "xmp"):
             if tag == "hr":
                 run = None
             continue
         owner, hidden = stack[-1][1], stack[-1][2] or tag in DROPPED
-        named = marked = 0
-        if raw and not raw.isspace() and tag not in ("a", "b", "i", "em", "strong"):
-            a = _attributes(raw)
+        block = tag in BLOCKS
+        a = _attributes(raw) if raw and not raw.isspace() and (block or "hidden" in raw or "none" in raw) else {}
+        if a:
             hidden = hidden or "hidden" in a or a.get("aria-hidden") == "true" or bool(a.get("style") and HIDDEN.search(a["style"]))
-            words = " ".join(a[k] for k in ("class", "id", "role", "itemprop") if k in a).lower()
-            if words:
-                named = sum(1 << k for k, x in enumerate(_NAMED) if x.search(words))
-            marked = int(a.get("role") == "main" or a.get("itemprop", "").lower() == "articlebody")
-        if tag == "a":
-            links += 1
-        if tag in INLINE:
-            stack.append((tag, owner, hidden))
+        deep = len(stack) >= DEPTH
+        if not block:
+            if not deep:
+                links += tag == "a"
+                inner[-1][tag] = inner[-1].get(tag, 0) + 1
+                stack.append((tag, owner, hidden))
             continue
         run = None
-        nodes.append(Node(owner, tag, named, marked or int(tag in ("article", "main"))))
+        if deep:
+            continue
+        node = Node(owner, tag)
+        role = a.get("role", "").strip().lower()
+        words = " ".join(a[k] for k in ("class", "id") if k in a).lower()
+        if words:
+            node.named = sum(1 << k for k, x in enumerate(_NAMED) if x.search(words))
+        node.role = role in ROLES
+        node.marked = tag in ("article", "main") or role == "main" or a.get("itemprop", "").strip().lower() == "articlebody"
+        node.within = node.marked or nodes[owner].within
+        nodes.append(node)
+        blocks.append(len(stack))
+        inner.append({})
+        opened[tag] = opened.get(tag, 0) + 1
         stack.append((tag, len(nodes) - 1, hidden))
     return nodes
 
@@ -202,15 +300,19 @@ def rows_of(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
     """Each node's parent and features. What stands right in the page has no parent: whether a page as a whole is content says nothing."""
     x = np.zeros((len(nodes), N_FEATURES), np.float32)
     x[:, -1] = 1
-    base = len(TAGS) + len(NAMES)
+    names = len(TAGS) + 1
+    base = names + 2 * len(NAMES)
     for k, node in enumerate(nodes):
         if not node.run:
             n = _TAG_NUMBER.get(node.tag)
             if n is not None:
                 x[k, n] = 1
-            for j in range(len(NAMES)):
-                if node.named >> j & 1:
-                    x[k, len(TAGS) + j] = 1
+            x[k, len(TAGS)] = node.role
+            if node.named:
+                at = names + (len(NAMES) if node.within and not node.marked else 0)
+                for j in range(len(NAMES)):
+                    if node.named >> j & 1:
+                        x[k, at + j] = 1
             continue
         text = "".join(node.text)
         size = max(len(text), 1)
@@ -230,9 +332,11 @@ def usual_weights() -> np.ndarray:
     w = np.zeros(N_FEATURES)
     for tag, value in {"article": 4, "main": 3, "h1": 1, "p": 0.7, "blockquote": 0.5, "pre": 0.5, "nav": -6, "footer": -6, "aside": -6, "form": -6, "fieldset": -4, "menu": -6, "header": -1.5, "dialog": -6, "address": -1, "body": -1, "html": -1}.items():
         w[_TAG_NUMBER[tag]] = value
+    w[len(TAGS)] = -6
+    names = len(TAGS) + 1
     for k, (name, _) in enumerate(NAMES):
-        w[len(TAGS) + k] = 2.5 if name == "content" else -6
-    base = len(TAGS) + len(NAMES)
+        w[names + k], w[names + len(NAMES) + k] = USUAL_NAMES[name]
+    base = names + 2 * len(NAMES)
     w[base : base + 7] = (0.2, 0.6, -2.5, -0.3, 0.5, -3, 0.3)
     return w
 
@@ -266,18 +370,17 @@ def marginals(parents: np.ndarray, own: np.ndarray, edges: np.ndarray) -> np.nda
 
 
 #: In a marked article these are not content.
-NOT_CONTENT = frozenset("nav footer aside form fieldset menu dialog".split())
-_CONTENT = 1  # the bit of the names that speak for content
+NOT_CONTENT = frozenset("nav footer aside form fieldset menu dialog search".split())
 
 
 def labels_of(nodes: list[Node]) -> np.ndarray | None:
-    """Content or not by the page's own marks; None if it has none."""
+    """Content or not by the page's own marks: in what is marked all but certain tags and roles. None without marks."""
     if not any(n.marked for n in nodes):
         return None
     out = np.zeros(len(nodes), np.int8)
     for k, node in enumerate(nodes):
         inside = node.parent >= 0 and out[node.parent]
-        against = node.tag in NOT_CONTENT or (node.named & ~_CONTENT and not node.marked)
+        against = node.tag in NOT_CONTENT or node.role
         out[k] = (inside or node.marked) and not against
     return out
 
@@ -319,7 +422,11 @@ def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = PAGES) -> Model:
-    """Trained on about sample pages that carry marks, chosen by a hash of the id; only their nodes' numbers reach the driver."""
+    """Trained on about sample pages that carry marks, chosen by a hash of the id; only their nodes' numbers reach the driver.
+
+    Pages with a null id are learned from like others, null html isn't; repeated rows count each, other columns don't
+    matter, and from an empty table come the usual weights.
+    """
     marked = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)|role=.?main|articlebody"))
     some = bounded_sample(marked, sample, "page_id", marked.count()).select("html").mapInPandas(_labelled, "parents binary, x binary, y binary")
     return train([(np.frombuffer(r["parents"], "<i4"), np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES), np.frombuffer(r["y"], np.int8)) for r in some.collect()])

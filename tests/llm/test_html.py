@@ -4,6 +4,7 @@ import html
 import itertools
 import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -62,6 +63,13 @@ CASES = [
         "<div class='cookie-notice'>We use cookies to improve your experience on this site.</div><footer>&copy; 2024</footer>",
         "Great news\nThis is the first paragraph of the story, with enough words to be real.\nSecond paragraph, it ends here.",
     ),
+    ("<article><p>The value is <math><mi>x</mi><annotation>x</annotation></math> here, as <object>a drawing</object> and <canvas>a curve</canvas> show, in full.</p></article>", "The value is x here, as a drawing and a curve show, in full."),
+    (
+        "<article><h1>A study</h1><p>It starts with words, and goes on.</p><section id='related-work'><h2>Related work</h2><p>Others have done this before, in other words.</p></section><p class='alert'>Take care of the second step.</p>"
+        "<p role=alert>You are offline.</p><div class='ad'>Buy now, and cheap.</div><div class=comments><p>I was first, said a reader of this page.</p></div><noscript>A picture, in words.</noscript></article>",
+        "A study\nIt starts with words, and goes on.\nRelated work\nOthers have done this before, in other words.\nTake care of the second step.\nA picture, in words.",
+    ),
+    ("<article><p title='a > b' class=x>One &#x41;&AMP;B <x-y>two</x-y> < three <!-- > --> four<![CDATA[<five>]]></article>", "One A&B two < three four<five>"),
     ("<table><tr><td class=menu><a>One</a><td>The long text of a page that is laid out by a table, as in old times. It goes on.</table>", "The long text of a page that is laid out by a table, as in old times. It goes on."),
 ]
 
@@ -71,6 +79,32 @@ def test_layouts(model, page, text):
     assert h.main_text(page, model) == text
 
 
+@pytest.mark.parametrize("unit", ["<a", '<p a="', "<p a='", "<!--", "<b>", "<div>", "<i><div><b>", "<li>", "</x>", "<b></i>", "<b><hr>", "<p a=b\"c>", "&", "<script>", "<?", "<x y=\">", "<![CDATA["])
+def test_time_is_linear(unit):
+    taken = []
+    for size in (250_000, 1_000_000):
+        began = time.process_time()
+        h.parse(unit * (size // len(unit)) + "the end, in words.")
+        taken.append(time.process_time() - began)
+    assert taken[1] < 12 * taken[0] + 0.5 and taken[1] < 10
+
+
+def test_time_of_open_elements():
+    for page in ("<i><div>" + "<b>" * 150_000 + "</i>" * 150_000, "<ul>" + "<div>" * 600 + "<li></li>" * 50_000, "<li>" + "<div>" * 500 + "<ul></ul><li></li>" * 20_000):
+        began = time.process_time()
+        h.parse(page)
+        assert time.process_time() - began < 10
+
+
+def test_weights_of_names_are_learned():
+    """Where labelled pages mark text of a class as content, it becomes content beside a mark too."""
+    page = "<body><main><h1>News</h1>" + "<div class='sponsor'><p>The words of the story, and more of them here.</p></div>" * 6 + "</main></body>"
+    nodes = h.parse(page)
+    trained = h.train([(*h.rows_of(nodes), h.labels_of(nodes))] * 30)
+    k = h.N_FEATURES - 8 - len(h.NAMES) + [n for n, _ in h.NAMES].index("advert")
+    assert trained.weights[k] > h.usual_weights()[k] + 0.5
+
+
 def test_odd_rows(spark, model):
     rows = [(1, None, None, "t"), (None, "u", "<p>" * 3000 + "deep words, and more of them.", "t"), (3, "u", "<" * 20000, "t"), (3, "u", "<a b='" + "x" * 50000, "t"), (5, "u", "<!-- open", "t"), (5, "u", "<!-- open", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
