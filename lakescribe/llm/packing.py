@@ -18,8 +18,8 @@ from .common import cut_lineage, table
 from .wordpieces import word_pieces
 
 CAPACITY, END = 2048, 0
-#: Pieces of a length that are ranked by one task; longer groups are dealt out over more.
-RANKED_TOGETHER = 20_000
+#: A length's pieces are dealt out over groups of about 1 / GROUPS of what a task has on average, or of LEAST.
+GROUPS, LEAST = 8, 64
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -89,19 +89,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
     pieces is written to the checkpoint folder once, as it is read three times. Ranks: a length with many pieces is dealt
-    out over salts, so no task ranks more than about RANKED_TOGETHER of them; the salts' counts, one row each, are summed
-    up to give each salt its first rank. The plan is broadcast: it depends on capacity, not on the input.
+    out by where its rows stand there, so that rows that are equal throughout part too and no task ranks much more than
+    any other; the groups' counts, at most GROUPS a task and one a length, are summed up to give each group its first
+    rank. The plan is broadcast: it depends on capacity, not on the input.
     """
     spark = pieces.sparkSession
-    pieces = cut_lineage(pieces)
+    pieces = cut_lineage(pieces.withColumn("place", F.monotonically_increasing_id()))  # written, so it stays as it is
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     slots = plan(counts, capacity)
-    salts = spark.createDataFrame([(k, -(-n // RANKED_TOGETHER)) for k, n in counts.items()], "length long, salts long")
-    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
+    together = max(LEAST, sum(counts.values()) // (GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    salts = spark.createDataFrame([(k, -(-n // together)) for k, n in counts.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("place"), F.col("salts"))).drop("salts")
     firsts = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = firsts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "salt").orderBy("place")
     ranked = salted.withColumn("in_salt", F.row_number().over(order) - 1).join(firsts, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("first") + F.col("in_salt"))
     places = spark.createDataFrame(slots, "slot_length long, rank_from long, many long, sequence_from long, offset long")

@@ -1,8 +1,8 @@
 """Token ids of a tokenizers file, word by word, with a bounded store of words already encoded.
 
-A tokenizer whose pre-tokenizer never joins two matches encodes each match alone, so its ids for a text are the ids of
-the matches in a row. For texts of plain Latin characters the matches are found here and looked up; the library encodes
-what is not in the store, and every text that has other characters.
+A tokenizer whose pre-tokenizer never joins two matches encodes each match alone, and none of its matches holds white
+space, so its ids for a text are the ids of the text's words in a row. Words of texts of plain Latin characters are looked
+up; the library encodes what is not in the store, and every text that has other characters.
 """
 
 from __future__ import annotations
@@ -13,12 +13,8 @@ import re
 
 import numpy as np
 
-#: Characters for which lower-casing, NFC and the classes of the pattern are the same here as in the library.
+#: Characters for which lower-casing, NFC and what is white space are the same here as in the library.
 OTHER_CHARACTERS = re.compile("[^\t\n\r -~¡-įı-ſ]")
-_LETTERS = "a-zªµºß-öø-ſ"
-_NUMBERS = "0-9²³¹¼-¾"
-#: The pre-tokenizer's matches in a lower-cased text without OTHER_CHARACTERS.
-LATIN_MATCHES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 #: What the file must hold for the above to be true of it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 STORED_WORDS = 600_000
@@ -56,7 +52,7 @@ class WordPieces(dict):
         """The ids of a whole text, 4 bytes each."""
         if not self.by_word or OTHER_CHARACTERS.search(text) or ("<|" in text and any(x in text for x in self.added)):
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, LATIN_MATCHES.findall(text.lower())))
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 @functools.lru_cache(maxsize=4)

@@ -35,7 +35,7 @@ def _texts(n, longest, seed=1):
 
 def test_words_as_library(library):
     store = word_pieces(WORD)
-    for text in [*_texts(1500, 60), "<|endoftext|> a<|startoftext|>b", "<| endoftext"]:
+    for text in [*_texts(1500, 60), "<|endoftext|> a<|startoftext|>b", "<| endoftext", "a\x0bb\x0cc\x1fd", "it's, 'tis 'LL's-- x'd1'2.5e-3\r\n\t don't"]:
         assert np.frombuffer(store.packed(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
@@ -129,8 +129,18 @@ def test_plan_is_best_fit():
     assert len(packing.plan({k: 10**9 for k in range(1, 2049)})) < 60_000  # however many pieces there are
 
 
+def test_equal_rows_are_dealt_out(spark, monkeypatch):
+    """Rows that are equal throughout, or without ids, part for their ranks, and each takes a slot of its own."""
+    monkeypatch.setattr(packing, "LEAST", 4)
+    docs = spark.range(1000).selectExpr("if(id < 500, 1, null) AS doc_id", "'the same words' AS text")
+    pieces = packing.token_pieces(docs, WORD)
+    found = packing.pack(pieces).toPandas()
+    assert len(found) == 1000 and len(found.drop_duplicates(["sequence_id", "offset"])) == 1000
+    assert found["sequence_id"].nunique() == -(-1000 // (2048 // int(found["length"].iloc[0])))
+
+
 def test_pack_documents(odd_docs, no_docs, library, monkeypatch):
-    monkeypatch.setattr(packing, "RANKED_TOGETHER", 2)
+    monkeypatch.setattr(packing, "LEAST", 2)
     found = packing.pack_documents(odd_docs, WORD, capacity=64).toPandas()
     want = []
     for r in odd_docs.collect():
