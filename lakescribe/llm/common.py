@@ -13,10 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset, as in tests, a temporary one."""
+    """The folder of spark.checkpoint.dir, which all machines share.
+
+    Where that is unset a session of one machine, as in tests, gets a temporary folder; on a cluster it is a ValueError.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -36,9 +42,22 @@ def held_out(id_col: str, n: int, left: int) -> Column:
     return F.coalesce(remainder(id_col, n) == left, F.lit(True))
 
 
-def bounded_sample(df: DataFrame, bound: int, id_col: str, count: int) -> DataFrame:
-    """About bound rows of df, chosen by a hash of the id and so the same each time; at most twice bound."""
+def at_most(df: DataFrame, most: int) -> DataFrame:
+    """df where it has most rows or fewer; else about most of them, by where they stand. No task takes in the others' rows."""
+    n = df.count()
+    if n <= most:
+        return df
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_000_000))
+    return df.where(place < int(1_000_000 * most / n))
+
+
+def bounded_sample(df: DataFrame, bound: int, id_col: str) -> DataFrame:
+    """About bound rows of df, chosen by a hash of the id and so the same each time; at most about twice bound.
+
+    Rows of one id are chosen together; where that makes them more than twice bound, about twice bound of them stay.
+    """
+    count = df.count()
     if count <= bound:
         return df
     share = int(1_000_000 * bound / count)
-    return df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < share).limit(2 * bound)
+    return at_most(df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < share), 2 * bound)

@@ -428,7 +428,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
     matter, and from an empty table come the usual weights.
     """
     marked = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)|role=.?main|articlebody"))
-    some = bounded_sample(marked, sample, "page_id", marked.count()).select("html").mapInPandas(_labelled, "parents binary, x binary, y binary")
+    some = bounded_sample(marked, sample, "page_id").select("html").mapInPandas(_labelled, "parents binary, x binary, y binary")
     return train([(np.frombuffer(r["parents"], "<i4"), np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES), np.frombuffer(r["y"], np.int8)) for r in some.collect()])
 
 

@@ -7,16 +7,16 @@ that is far from all of them is rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import at_most, held_out, table
 from .ngrams import hashed, parts
 
 BITS, SIZES, CENTROIDS = 11, (2, 3), 4
@@ -25,7 +25,7 @@ SAMPLE = 500
 #: Steepness that turns cosines into a share of each language.
 SHARPNESS = 25.0
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII letters and bytes of other characters stay, all else becomes a space.
 _LETTERS_ONLY = bytes(x if 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 
@@ -101,7 +101,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
 
     # one pass for all languages: a row's hash against its language's share
     shares = labelled.sparkSession.createDataFrame([(lang, min(1_000_000, int(1_000_000 * sample / n) + 1)) for lang, n in by_lang.items()], "lang string, share int")
-    chosen = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.col("share")).limit(2 * sample * len(by_lang))
+    chosen = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.col("share"))
+    chosen = at_most(chosen, 2 * sample * len(by_lang))
     rows: dict[str, list[np.ndarray]] = {}
     for r in chosen.select("text", "lang").mapInPandas(vectorise, "lang string, v binary").collect():
         rows.setdefault(r["lang"], []).append(np.frombuffer(r["v"], np.float32))
@@ -162,4 +163,4 @@ def learnable(docs: DataFrame) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict(docs, fit(learnable(docs)))
-    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "distance", "rejected")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut_lineage, held_out, table
+from .common import at_most, bounded_sample, cut_lineage, held_out, table
 from .ngrams import hashed, parts
 
 BITS, SIZES, FEATURES, SMOOTHING = 18, (3, 4, 5, 6), 4096, 1.0
@@ -82,9 +82,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLE
     some = None
     for kind, bound in ((1, toxic), (0, clean)):
         own = labels.where(F.col("toxic") == kind)
-        own = bounded_sample(own, bound, "doc_id", own.count())
+        own = bounded_sample(own, bound, "doc_id")
         some = own if some is None else some.unionByName(own)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").limit(4 * (toxic + clean))
+    chosen = at_most(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), 4 * (toxic + clean))
     chosen = cut_lineage(chosen.select("text", "toxic").repartition(COUNTERS))
     n = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     if len(n) < 2:

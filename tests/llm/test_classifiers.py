@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lakescribe.llm import language_id, pu_quality, toxicity
+from lakescribe.llm.common import at_most, bounded_sample
 
 SF = "/root/testdata/sf0.01"
 given = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables aren't here")
@@ -36,10 +37,21 @@ def test_quality(spark):
 def test_toxicity(spark):
     found = toxicity.op8_toxicity(spark, SF).toPandas().set_index("doc_id")
     both = found[found["held_out"]].join(_labels(spark), how="inner")
-    assert (both["predicted"] == both["toxic"]).mean() > 0.85
+    caught, flagged = both[both["toxic"] == 1]["predicted"].mean(), both[both["predicted"] == 1]["toxic"].mean()
+    assert caught > 0.7 and flagged > 0.85, (caught, flagged)
     assert found["score"].between(0, 1).all()
 
 
+def test_samples_are_bounded(spark):
+    """Ids that repeat don't make a sample larger than its bound says."""
+    docs = spark.range(4000).selectExpr("if(id % 2 = 0, 7, id) AS doc_id", "'a text of a few words' AS text", "'en' AS lang")
+    for bound in (10, 300):
+        assert bounded_sample(docs, bound, "doc_id").count() <= 3 * bound
+    assert at_most(docs, 100).count() <= 200 and at_most(docs, 4000).count() == 4000
+    labels = spark.range(4000).selectExpr("id AS doc_id", "1 AS quality", "cast(id % 2 AS int) AS toxic")
+    assert pu_quality.fit(docs, labels, 50, 50) is not None and language_id.fit(docs, 20) is not None and toxicity.fit(docs, labels, 20, 20) is not None
+
+
 def test_prior_and_risk():
     rng = np.random.default_rng(0)
     good = lambda n: np.c_[rng.normal(2, 1, (n, 3)), np.zeros((n, 1))]
