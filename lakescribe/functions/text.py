@@ -38,8 +38,7 @@ def normalize_block(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words by white space; null and blank text have none."""
-    flat = collapse(F.coalesce(text, F.lit("")))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.array_remove(F.split(collapse(F.coalesce(text, F.lit(""))), " "), "")
 
 
 def count_words(text: Column) -> Column:

@@ -23,11 +23,13 @@ def window_sizes(target: int = TARGET, overlap: int = OVERLAP) -> tuple[int, int
 def windows(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
     """The windows' texts: one for a text that fits, else until one reaches the end; none for a blank text."""
     size, step = window_sizes(target, overlap)
-    all_words = words(text)
-    last = F.greatest(F.ceil((F.size(all_words) - size) / step), F.lit(0)).cast("int")
-    # the words are bound once, by a lambda over an array of one
-    of = lambda w: F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
-    return F.when(F.size(all_words) == 0, F.array().cast("array<string>")).otherwise(F.element_at(F.transform(F.array(all_words), of), 1))
+
+    def of(w: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(w) - size) / step), F.lit(0)).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+        return F.when(F.size(w) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(words(text)), of), 1)  # the words are split once: a lambda over an array of one binds them
 
 
 def chunk_documents(docs: DataFrame, keys: list[str], text: str, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:

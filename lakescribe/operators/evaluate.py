@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .lexical import wanted_terms
 
 SUPPORT, LEAST_TERM, K = 0.7, 4, 5
 GATES = {"hit": 1.0, "mrr": 0.95, "ndcg": 0.95, "precision": 0.45, "recall": 0.9}
@@ -23,14 +24,18 @@ def passage_support(chunks: DataFrame, passages: DataFrame, share: float = SUPPO
     chunks: chunk_id, content; passages: passage_id, text. A chunk with so many of n words has one of the passage's
     n - ceil(share n) + 1 rarest, so only chunks with one of these are looked at; no pair is lost and frequent words join nothing.
     """
-    has = chunks.select("chunk_id", F.explode(long_tokens(F.col("content"))).alias("term"))
-    frequency = has.groupBy("term").agg(F.count("*").alias("_df"))
-    wants = passages.select("passage_id", F.explode(long_tokens(F.col("text"))).alias("term")).join(frequency, "term", "left").na.fill(0, ["_df"])
+    wants = passages.select("passage_id", F.explode(long_tokens(F.col("text"))).alias("term"))
+    terms = wanted_terms(wants)
+    words = F.array_distinct(F.filter(tokens(F.col("content")), lambda t: (F.length(t) >= LEAST_TERM) & (t.isin(terms) if terms is not None else F.lit(True))))
+    has = chunks.select("chunk_id", words.alias("_c"))
+    frequency = has.select(F.explode("_c").alias("term")).groupBy("term").agg(F.count("*").alias("_df"))
+    wants = wants.join(frequency, "term", "left").na.fill(0, ["_df"])
     by = Window.partitionBy("passage_id")
     wants = wants.withColumn("_n", F.count("*").over(by)).withColumn("_r", F.row_number().over(by.orderBy("_df", "term")))
     rare = wants.where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(share)) + 1)
-    pairs = rare.join(has, "term").select("chunk_id", "passage_id").distinct()
-    near = pairs.join(chunks.select("chunk_id", long_tokens(F.col("content")).alias("_c")), "chunk_id").join(passages.select("passage_id", long_tokens(F.col("text")).alias("_p")), "passage_id")
+    # a chunk goes on with its words that any passage has
+    pairs = rare.select("passage_id", "term").join(has.select("chunk_id", "_c", F.explode("_c").alias("term")), "term").dropDuplicates(["chunk_id", "passage_id"])
+    near = pairs.join(passages.select("passage_id", long_tokens(F.col("text")).alias("_p")), "passage_id")
     scored = near.select("chunk_id", "passage_id", (F.size(F.array_intersect("_c", "_p")) / F.size("_p")).alias("overlap"))
     return scored.where(F.col("overlap") >= share)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.query import build_clauses
@@ -11,18 +11,46 @@ from ..functions.text import normalize, tokens
 #: Weight of a position by the part of the chunk it is in.
 WEIGHTS = {"filename": 1.0, "heading": 0.4, "location": 0.4, "content": 0.2}
 FILENAME_BOOST, MOST_CHARACTERS, MOST_RESULTS = 0.25, 500, 30
+#: So many terms of questions are looked for before words become rows; more are left to the join.
+MOST_TERMS = 20_000
 
 
-def build_postings(chunks: DataFrame, keys: list[str], fields: dict[str, str]) -> DataFrame:
-    """keys, field, pos, term, weight: a row for each word of each part of each chunk. fields: part -> column.
+def build_postings(chunks: DataFrame, keys: list[str], fields: dict[str, str], terms: list[str] | None = None) -> DataFrame:
+    """keys, field, pos, term, weight: a row for each word of each part of each chunk. fields: part -> column; terms: only these.
 
-    No shuffle. Written once, partitioned by term, it serves many questions.
+    One scan and no shuffle; with terms a chunk's other words never become rows. Written once, partitioned by term, it
+    serves many questions.
     """
-    out = None
-    for field, column in fields.items():
-        own = chunks.select(*keys, F.lit(field).alias("field"), F.posexplode(tokens(F.col(column))).alias("pos", "term"), F.lit(WEIGHTS[field]).alias("weight"))
-        out = own if out is None else out.unionByName(own)
-    return out
+
+    def rows(field: str, column: str) -> Column:
+        own = F.transform(tokens(F.col(column)), lambda t, k: F.struct(F.lit(field).alias("field"), k.alias("pos"), t.alias("term"), F.lit(WEIGHTS[field]).alias("weight")))
+        return own if terms is None else F.filter(own, lambda x: x["term"].isin(terms))
+
+    return chunks.select(*keys, F.inline(F.concat(*[rows(field, column) for field, column in fields.items()])))
+
+
+def term_statistics(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """field, term, n_chunks, n_positions, last_pos, weight: the postings of build_postings, summed by term.
+
+    A chunk's distinct words come as rows beside its positions, so nothing is counted by chunk: one shuffle, by term, of
+    sums that each task has taken already.
+    """
+
+    def rows(field: str, column: str) -> Column:
+        row = lambda t, pos, n: F.struct(F.lit(field).alias("field"), t.alias("term"), pos.cast("int").alias("pos"), F.lit(n).alias("n"))
+        own = tokens(F.col(column))
+        return F.concat(F.transform(own, lambda t, k: row(t, k, 0)), F.transform(F.array_distinct(own), lambda t: row(t, F.lit(None), 1)))
+
+    every = chunks.select(F.inline(F.concat(*[rows(field, column) for field, column in fields.items()])))
+    sums = every.groupBy("field", "term").agg(F.sum("n").alias("n_chunks"), F.count("pos").alias("n_positions"), F.max("pos").alias("last_pos"))
+    weights = F.create_map(*[F.lit(x) for f in fields for x in (f, WEIGHTS[f])])
+    return sums.withColumn("weight", F.col("n_positions") * weights[F.col("field")])
+
+
+def wanted_terms(clauses: DataFrame, most: int = MOST_TERMS) -> list[str] | None:
+    """The distinct terms of all questions if they are most or fewer, for build_postings; None: too many to hand to every task."""
+    found = [r["term"] for r in clauses.select("term").distinct().limit(most + 1).collect()]
+    return found if len(found) <= most else None
 
 
 def question_clauses(questions: DataFrame, scope: list[str], text: str = "question", most: int = MOST_CHARACTERS) -> DataFrame:

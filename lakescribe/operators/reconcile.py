@@ -27,9 +27,15 @@ def complete_days(first: Column, second: Column) -> Column:
 
 def incomplete_ready(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Ready documents whose chunks aren't 0 to n - 1, or of which one has no embedding. chunks: document_id, chunk_index, has_embedding."""
-    sums = chunks.groupBy("document_id").agg(F.count("*").alias("_n"), F.count_distinct("chunk_index").alias("_d"), F.min("chunk_index").alias("_min"), F.max("chunk_index").alias("_max"), F.bool_and("has_embedding").alias("_all"))
-    whole = (F.col("_min") == 0) & (F.col("_max") == F.col("_n") - 1) & (F.col("_d") == F.col("_n")) & F.col("_all")
-    return documents.where("status = 'ready'").join(sums, "document_id", "left").where(~F.coalesce(whole, F.lit(False))).select(*documents.columns)
+    ready, sums = documents.where("status = 'ready'"), _chunk_sums(chunks).where("chunks_whole").select("document_id")
+    return ready.join(sums, "document_id", "left_anti").select(*documents.columns)
+
+
+def _chunk_sums(chunks: DataFrame) -> DataFrame:
+    """document_id, chunks_n, chunks_whole: whether a document's chunks are just 0 to n - 1 and all have an embedding."""
+    sums = chunks.groupBy("document_id").agg(F.count("*").alias("n"), F.min("chunk_index").alias("low"), F.max("chunk_index").alias("high"), F.count_distinct("chunk_index").alias("different"), F.bool_and("has_embedding").alias("all_embedded"))
+    whole = (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("different") == F.col("n")) & F.col("all_embedded")
+    return sums.select("document_id", F.col("n").alias("chunks_n"), F.coalesce(whole, F.lit(False)).alias("chunks_whole"))
 
 
 def duplicate_references(documents: DataFrame) -> DataFrame:
@@ -38,28 +44,44 @@ def duplicate_references(documents: DataFrame) -> DataFrame:
 
 
 def classify(objects: DataFrame, documents: DataFrame, collections: DataFrame, chunks: DataFrame, now: Column, identifier: str = UUID) -> DataFrame:
-    """class, count, bytes for each of CLASSES, zeros included.
+    """class, count, bytes for each of CLASSES, zeros included. One aggregate over the paths, one over the documents.
 
     objects: path, size; documents: document_id, collection_id, storage_path, file_size, status, processing_stage,
     processing_started_at, created_at; collections: collection_id; chunks: document_id, chunk_index, has_embedding.
     """
-    paths = documents.select(F.col("storage_path").alias("path")).distinct()
-    stored = objects.select(F.col("path").alias("storage_path"), F.col("size").alias("_size"))
-    size = F.coalesce("file_size", F.lit(0))
-    started = F.coalesce("processing_started_at", "created_at")
-    found = {
-        "STORAGE_ORPHAN": objects.join(paths, "path", "left_anti").select(F.col("size").alias("bytes")),
-        "UNEXPECTED_OBJECT": objects.where(validate_object_path(F.col("path"), identifier).isNotNull()).select(F.col("size").alias("bytes")),
-        "MISSING_OBJECT": documents.join(stored, "storage_path", "left_anti").select(size.alias("bytes")),
-        "COLLECTION_ORPHAN": documents.join(collections, "collection_id", "left_anti").select(size.alias("bytes")),
-        "STALE_PROCESSING": documents.where(is_active() & (started < now - F.expr(f"INTERVAL {STALE_MINUTES} MINUTES"))).select(size.alias("bytes")),
-        "FAILED_WITH_OBJECT": documents.where("status = 'failed'").join(stored, "storage_path").select(F.coalesce("file_size", "_size").alias("bytes")),
-        "READY_WITHOUT_COMPLETE_CHUNKS": incomplete_ready(documents, chunks).select(size.alias("bytes")),
-        "CHUNK_ORPHAN": chunks.join(documents.select("document_id"), "document_id", "left_anti").select(F.lit(0).alias("bytes")),
-        "DUPLICATE_REFERENCE": documents.withColumn("_n", F.count("*").over(Window.partitionBy("storage_path"))).where("_n > 1").select(size.alias("bytes")),
-    }
-    rows = [df.agg(F.count("*").alias("count"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes")).select(F.lit(name).alias("class"), "count", "bytes") for name, df in found.items()]
-    return reduce(DataFrame.unionByName, rows)
+    size, started = F.coalesce("file_size", F.lit(0)), F.coalesce("processing_started_at", "created_at")
+    # what each document is beside its own columns: a row of flags for it
+    stored = objects.groupBy(F.col("path").alias("storage_path")).agg(F.count("*").alias("stored_n"), F.sum("size").alias("stored_size"))
+    sums = _chunk_sums(chunks)
+    docs = documents.select("document_id", "collection_id", "storage_path", "file_size", size.alias("bytes"), (F.col("status") == "failed").alias("failed"), (F.col("status") == "ready").alias("ready"), F.coalesce(is_active() & (started < now - F.expr(f"INTERVAL {STALE_MINUTES} MINUTES")), F.lit(False)).alias("stale"))
+    known = collections.select("collection_id").distinct().withColumn("known", F.lit(True))
+    by_path = docs.groupBy("storage_path").agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.count_if("failed").alias("n_failed"), F.sum(F.when(F.col("failed"), F.col("file_size"))).alias("failed_bytes"), F.count_if(F.col("failed") & F.col("file_size").isNull()).alias("failed_unsized")
+    )
+    paths = by_path.join(stored, "storage_path", "full_outer")
+    n, m, zero = F.coalesce("n", F.lit(0)), F.coalesce("stored_n", F.lit(0)), lambda c: F.coalesce(c, F.lit(0))
+    own = docs.join(known, "collection_id", "left").join(sums, "document_id", "full_outer")
+    here = F.col("bytes").isNotNull()
+    whole = F.coalesce(F.col("chunks_whole"), F.lit(False))
+
+    def counted(name: str, of: Column, value: Column, times: Column | None = None) -> list[Column]:
+        return [F.sum(F.when(of, times if times is not None else F.lit(1)).otherwise(0)).alias(f"{name}_n"), F.sum(F.when(of, value).otherwise(0)).alias(f"{name}_b")]
+
+    of_paths = paths.agg(
+        *counted("STORAGE_ORPHAN", (n == 0) & (m > 0), zero(F.col("stored_size")), m),
+        *counted("MISSING_OBJECT", (m == 0) & (n > 0), zero(F.col("bytes")), n),
+        *counted("DUPLICATE_REFERENCE", n > 1, zero(F.col("bytes")), n),
+        *counted("FAILED_WITH_OBJECT", (m > 0) & (zero(F.col("n_failed")) > 0), zero(F.col("failed_bytes")) * m + zero(F.col("failed_unsized")) * zero(F.col("stored_size")), zero(F.col("n_failed")) * m),
+        *counted("UNEXPECTED_OBJECT", (m > 0) & validate_object_path(F.col("storage_path"), identifier).isNotNull(), zero(F.col("stored_size")), m),
+    )
+    of_documents = own.agg(
+        *counted("COLLECTION_ORPHAN", here & F.col("known").isNull(), F.col("bytes")),
+        *counted("STALE_PROCESSING", here & F.col("stale"), F.col("bytes")),
+        *counted("READY_WITHOUT_COMPLETE_CHUNKS", here & F.col("ready") & ~whole, F.col("bytes")),
+        *counted("CHUNK_ORPHAN", ~here, F.lit(0), F.col("chunks_n")),
+    )
+    rows = F.array(*[F.struct(F.lit(c).alias("class"), F.coalesce(f"{c}_n", F.lit(0)).cast("long").alias("count"), F.coalesce(f"{c}_b", F.lit(0)).cast("long").alias("bytes")) for c in CLASSES])
+    return of_paths.crossJoin(of_documents).select(F.inline(rows))  # one row each
 
 
 WITNESS = ("object_exists", "reference_count", "processing_count", "size", "created_at", "updated_at", "owner_id", "orphan_confirmed")

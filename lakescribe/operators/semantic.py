@@ -20,6 +20,18 @@ def _unit(rows) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _nearest(similar: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest values of each row; rounded for the order alone, so equal vectors tie and the id decides."""
+    if similar.shape[1] <= k:
+        return np.indices(similar.shape).reshape(2, -1)
+    least = np.partition(similar, -k, axis=1)[:, -k] - 1e-11  # all that ties with the k-th is looked at
+    rows, columns = np.nonzero(similar >= least[:, None])
+    order = np.lexsort((ids[columns], -similar[rows, columns].round(12), rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], columns[place < k]
+
+
 def search(questions: DataFrame, vectors: DataFrame, k: int = 20, scope: str | None = None, block: int = BLOCK) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k nearest vectors of each question, exactly.
 
@@ -33,8 +45,8 @@ def search(questions: DataFrame, vectors: DataFrame, k: int = 20, scope: str | N
         size = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda a: a.cast("double") * a.cast("double")), F.lit(0.0), lambda x, y: x + y))
         q = questions.select("query_id", scope, F.col("embedding").alias("_q"), size("embedding").alias("_qn"))
         v = vectors.select("vec_id", scope, F.col("embedding").alias("_v"), size("embedding").alias("_vn"))
-        near = q.join(v, scope).select("query_id", "vec_id", (dot / (F.col("_qn") * F.col("_vn"))).alias("similarity"))
-        return topk.per_group(near, ["query_id"], [F.desc("similarity"), F.col("vec_id")], k)
+        near = q.join(v, scope).select("query_id", "vec_id", F.coalesce(F.try_divide(dot, F.col("_qn") * F.col("_vn")), F.lit(0.0)).alias("similarity"))
+        return topk.per_group(near, ["query_id"], [F.desc(F.round("similarity", 12)), F.col("vec_id")], k)
     n = questions.count()
     out = None
     for b in range(max(1, -(-n // block))):
@@ -50,9 +62,8 @@ def search(questions: DataFrame, vectors: DataFrame, k: int = 20, scope: str | N
                     continue
                 vec = frame["vec_id"].to_numpy()
                 similar = matrix @ _unit(frame["embedding"]).T
-                # rounded for the order alone, so equal vectors tie and the id decides
-                order = np.lexsort((np.broadcast_to(vec, similar.shape), -similar.round(12)), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": vec[order.ravel()], "similarity": np.take_along_axis(similar, order, axis=1).ravel()})
+                rows, columns = _nearest(similar, vec, k)
+                yield pd.DataFrame({"query_id": ids[rows], "vec_id": vec[columns], "similarity": similar[rows, columns]})
 
         near = vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, similarity double")
         out = near if out is None else out.unionByName(near)

@@ -23,7 +23,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, collection_id, filename, chunk_index, content, chunk_id."""
     cut = chunking.chunk_documents(documents(spark, sf_dir), ["document_id", "collection_id", "filename"], "text")
-    return cut.withColumn("chunk_id", F.col("document_id") * 1000 + F.col("chunk_index"))
+    return cut.withColumn("chunk_id", F.shiftleft("document_id", 20) + F.col("chunk_index"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ doc AS (
   SELECT doc_id AS document_id, source AS collection_id, source || '-' || doc_id || '.txt' AS filename, text,
     list_filter(string_split_regex(text, '[\s\x{00A0}\x{FEFF}]+'), lambda w: w <> '') AS w FROM documents
 ), chunks AS (
-  SELECT document_id, collection_id, filename, i::INTEGER AS chunk_index, array_to_string(w[i * 346 + 1:i * 346 + 384], ' ') AS content, document_id * 1000 + i AS chunk_id
+  SELECT document_id, collection_id, filename, i::INTEGER AS chunk_index, array_to_string(w[i * 346 + 1:i * 346 + 384], ' ') AS content, document_id * 1048576 + i AS chunk_id
   FROM (SELECT *, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 384 THEN 1 ELSE ceil((len(w) - 384) / 346)::INTEGER + 1 END)) AS i FROM doc)
 )"""
 QUESTIONS = "questions AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS collection_id, text AS question FROM benchmark)"

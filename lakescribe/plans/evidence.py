@@ -68,9 +68,23 @@ SELECT c_custkey, sum(CASE WHEN twice THEN CASE WHEN v * 2 > 9 THEN v * 2 - 9 EL
 
 
 def html_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blocks of each page."""
+    """The units of each page."""
     u = markup.from_html(table(spark, sf_dir, "pages"), ["page_id"])
-    return u.select("page_id", "unit_index", "block_type", F.md5("text").alias("text_md5"), F.size("heading_path").alias("depth"), "source_location")
+    return u.select("page_id", "unit_index", "block_type", F.md5("text").alias("text_md5"), F.size("heading_path").alias("depth"))
+
+
+HTML_UNITS = r"""
+WITH piece AS (SELECT page_id, unnest(string_split(html, '<')) AS x, unnest(range(len(string_split(html, '<')))) AS k FROM pages),
+tag AS (SELECT page_id, k, lower(regexp_extract(x, '^(/?[a-zA-Z][a-zA-Z0-9]*|!--|!)', 1)) AS tag, regexp_extract(x, '(?s)^[^>]*>(.*)$', 1) AS text FROM piece WHERE k > 0),
+ev AS (SELECT *, CASE WHEN tag IN ('li', 'h1', 'p') THEN k WHEN tag IN ('/li', '/h1', '/p', '/article', '/body', 'footer', 'div', 'nav') THEN -1 END AS e FROM tag),
+run AS (SELECT *, last_value(e IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY k) AS unit FROM ev),
+txt AS (SELECT page_id, unit, k, tag, replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS text FROM run WHERE unit > 0),
+u AS (SELECT page_id, unit, min_by(tag, k) AS tag, string_agg(text, ' ' ORDER BY k) FILTER (text <> '') AS raw FROM txt GROUP BY ALL),
+n AS (SELECT page_id, unit, tag, trim(regexp_replace(regexp_replace(regexp_replace(raw, '[ \t\x{00A0}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM u WHERE raw IS NOT NULL),
+h AS (SELECT page_id, min(unit) FILTER (tag = 'h1') AS first_heading FROM n GROUP BY page_id)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY unit) - 1)::INTEGER AS unit_index, CASE tag WHEN 'li' THEN 'list_item' WHEN 'h1' THEN 'heading' ELSE 'paragraph' END AS block_type, md5(text) AS text_md5,
+  (unit >= coalesce(first_heading, 1000000000))::INTEGER AS depth FROM n JOIN h USING (page_id) WHERE text <> ''
+"""
 
 
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:

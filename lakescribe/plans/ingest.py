@@ -219,8 +219,8 @@ SELECT doc_id AS document_id, h AS content_sha256, min(k) OVER (PARTITION BY sou
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2, summed by term: how many chunks and positions of each part have it."""
-    rows = lexical.build_postings(chunks(spark, sf_dir), ["chunk_id"], {"filename": "filename", "content": "content"})
-    return rows.groupBy("field", "term").agg(F.countDistinct("chunk_id").alias("n_chunks"), F.count("*").alias("n_positions"), F.max("pos").alias("last_pos"), F.round(F.sum("weight"), 4).alias("weight"))
+    found = lexical.term_statistics(chunks(spark, sf_dir), {"filename": "filename", "content": "content"})
+    return found.withColumn("weight", F.round("weight", 4))
 
 
 POSTINGS = f"""

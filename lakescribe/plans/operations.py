@@ -160,8 +160,9 @@ def _stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """A snapshot by arithmetic: paths owner/collection/document/name of plain ids; some objects and documents astray."""
     d = table(spark, sf_dir, "documents")
     owner = F.concat(F.lit("u"), (F.col("doc_id") % 7).cast("string"))
-    number = F.when(F.col("doc_id") % 13 == 0, F.col("doc_id") - 1).otherwise(F.col("doc_id")).cast("string")
-    path = F.concat(owner, F.lit("/"), "source", F.lit("/d"), number, F.lit("/text.txt"))
+    own = F.concat(owner, F.lit("/"), "source", F.lit("/d"), F.col("doc_id").cast("string"))
+    shared = F.concat(F.lit("u0/shared/d"), F.expr("doc_id div 26").cast("string"))  # two documents refer to each of these
+    path = F.concat(F.when(F.col("doc_id") % 13 == 0, shared).otherwise(own), F.lit("/text.txt"))
     start = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + F.expr("make_dt_interval(0, 0, CAST(doc_id % 20000 AS INT))")
     docs = d.select(
         F.col("doc_id").alias("document_id"), F.col("source").alias("collection_id"), path.alias("storage_path"), F.col("n_chars").alias("file_size"),
@@ -179,7 +180,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 IDENTIFIER = "[a-z]+[0-9]+"
 _AT = "(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id % 20000))"
 _STORED = f"""{CHUNKS},
-docs AS (SELECT doc_id AS document_id, source AS collection_id, 'u' || (doc_id % 7) || '/' || source || '/d' || CASE WHEN doc_id % 13 = 0 THEN doc_id - 1 ELSE doc_id END || '/text.txt' AS storage_path, n_chars AS file_size,
+docs AS (SELECT doc_id AS document_id, source AS collection_id, CASE WHEN doc_id % 13 = 0 THEN 'u0/shared/d' || (doc_id // 26) ELSE 'u' || (doc_id % 7) || '/' || source || '/d' || doc_id END || '/text.txt' AS storage_path, n_chars AS file_size,
   CASE WHEN doc_id % 9 = 0 THEN 'failed' WHEN doc_id % 10 = 0 THEN 'processing' WHEN doc_id % 21 = 0 THEN 'awaiting_upload' ELSE 'ready' END AS status,
   CASE WHEN doc_id % 9 = 0 THEN 'failed' WHEN doc_id % 10 = 0 THEN 'chunking' ELSE 'done' END AS processing_stage, {_AT} AS created_at, CASE WHEN doc_id % 4 = 0 THEN {_AT} END AS processing_started_at,
   CASE WHEN doc_id % 3 = 0 THEN {_AT} END AS processing_stage_updated_at, CASE WHEN doc_id % 18 = 0 THEN {_AT} END AS upload_expired_at FROM documents),
@@ -376,12 +377,13 @@ SPARSE_PAGES = r"SELECT conv_id, turn FROM conversations WHERE length(trim(regex
 
 
 def low_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B11."""
-    return quality.low_text_documents(table(spark, sf_dir, "conversations"), ["conv_id"]).select("conv_id", "n_pages", "characters", "words")
+    """Every fifth conversation has lost all but a few letters of its turns."""
+    talk = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("conv_id") % 5 == 0, F.substring("text", 1, 9)).otherwise(F.col("text")))
+    return quality.low_text_documents(talk, ["conv_id"]).select("conv_id", "n_pages", "characters", "words")
 
 
 LOW_TEXT = r"""
-WITH p AS (SELECT conv_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations),
+WITH p AS (SELECT conv_id, trim(regexp_replace(CASE WHEN conv_id % 5 = 0 THEN text[1:9] ELSE text END, '\s+', ' ', 'g')) AS t FROM conversations),
 s AS (SELECT conv_id, count(*) AS n_pages, sum(length(t))::BIGINT AS characters, sum(len(list_filter(string_split(t, ' '), lambda x: x <> '')))::BIGINT AS words FROM p GROUP BY conv_id)
 SELECT * FROM s WHERE characters < 80 OR words < 20 OR (n_pages > 3 AND characters / n_pages < 100)
 """

@@ -14,8 +14,9 @@ SCOPE, KEYS = ["collection_id"], ["chunk_id", "document_id", "filename", "chunk_
 
 
 def _lexical(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
-    rows = lexical.build_postings(chunks(spark, sf_dir), [*KEYS, *SCOPE], {"filename": "filename", "content": "content"})
-    return lexical.search(lexical.question_clauses(asked, SCOPE), rows, SCOPE, KEYS)
+    clauses = lexical.question_clauses(asked, SCOPE)
+    rows = lexical.build_postings(chunks(spark, sf_dir), [*KEYS, *SCOPE], {"filename": "filename", "content": "content"}, lexical.wanted_terms(clauses))
+    return lexical.search(clauses, rows, SCOPE, KEYS)
 
 
 def lexical_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +66,12 @@ def lexical_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of odd documents are private: found by their content only."""
     fields = {"filename": "filename", "content": "content"}
     all_chunks = chunks(spark, sf_dir)
-    plain = lexical.build_postings(all_chunks.where("document_id % 2 = 0"), [*KEYS, *SCOPE], fields)
-    masked = lexical.build_postings(all_chunks.where("document_id % 2 = 1"), [*KEYS, *SCOPE], fields)
     asked = questions(spark, sf_dir).withColumn("question", F.concat_ws(" ", F.lit("txt"), "question"))
-    found = lexical.search_by_mode(lexical.question_clauses(asked, SCOPE), plain, masked, SCOPE, KEYS)
+    clauses = lexical.question_clauses(asked, SCOPE)
+    terms = lexical.wanted_terms(clauses)
+    plain = lexical.build_postings(all_chunks.where("document_id % 2 = 0"), [*KEYS, *SCOPE], fields, terms)
+    masked = lexical.build_postings(all_chunks.where("document_id % 2 = 1"), [*KEYS, *SCOPE], fields, terms)
+    found = lexical.search_by_mode(clauses, plain, masked, SCOPE, KEYS)
     return found.select("query_id", "chunk_id", F.round("rank", 6).alias("rank_score"))
 
 
@@ -151,7 +154,7 @@ def semantic_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEMANTIC_SCOPED = f"""
 WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_COSINE} AS s FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 50 = 0)
-SELECT query_id, vec_id, round(s, 5) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5
+SELECT query_id, vec_id, round(s, 5) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5
 """
 
 

@@ -125,9 +125,14 @@ def test_sequential_and_back(spark):
 
 
 def test_markup(spark):
-    page = "<body><h1>A</h1><p>one<p>two <b>x</b><h2>B</h2><ul><li>i<li>j</ul><table><tr><td>1<td>2</table><script>no</script><div hidden>no</div><pre>a\n b</pre>"
+    page = "<body><h1>A</h1><p>one<p>two <b>x</b><h2>B</h2><ul><li>i<li>j</ul><table><tr><td>1<br>a<td>2</table><script>no</script><p hidden>no</p><p style='visibility: hidden'>no</p><pre>a\n b</pre><div>loose</div>"
     got = [(u[0], u[1], u[2]) for u in markup.html_units(page)]
-    assert got == [("heading", "A", ["A"]), ("paragraph", "one", ["A"]), ("paragraph", "two x", ["A"]), ("heading", "B", ["A", "B"]), ("list_item", "i", ["A", "B"]), ("list_item", "j", ["A", "B"]), ("table_row", "1 | 2", ["A", "B"]), ("code", "a\n b", ["A", "B"])]
+    assert got == [("heading", "A", ["A"]), ("paragraph", "one", ["A"]), ("paragraph", "two x", ["A"]), ("heading", "B", ["A", "B"]), ("list_item", "i", ["A", "B"]), ("list_item", "j", ["A", "B"]), ("table_row", "1 | a 2", ["A", "B"]), ("code", "a\nb", ["A", "B"])]
+    page = "<!DOCTYPE html>\n<title>The <b> title</title><nav><li>n</nav><button><p>b</p></button><blockquote>q<p>r</blockquote><code class=language-py>x</code><form><p>no</form><p id=tracker>no</p>"
+    got = [(u[0], u[1], u[3], u[4], u[6]) for u in markup.html_units(page)]
+    title = "The <b> title"
+    assert got == [("list_item", "n", "/html[2]/body[2]/nav[1]/li[1]", None, title), ("paragraph", "b", "/html[2]/body[2]/button[2]/p[1]", None, title), ("blockquote", "q r", "/html[2]/body[2]/blockquote[3]", None, title), ("code", "x", "/html[2]/body[2]/code[4]", "py", title)]
+    assert markup.html_units("<p>" * 2000 + "<div>" * 2000 + "deep<p>x")[-1][1] == "x" and markup.html_units("<!ENTITY a 'b'><p>a") == []
     assert markup.html_units('<!DOCTYPE x [<!ENTITY e SYSTEM "file:///x">]><p>a') == []
     assert markup.decode_html("<meta charset=latin-1>é".encode("latin-1")).endswith("é")
     md = "# T\n\npara *one*\ntwo\n\nSub\n---\n- a\n1. b\n> q\n\n| h | k |\n|---|---|\n| 1 | 2 |\n\n```py\nx = 1\n```\n"
@@ -192,12 +197,73 @@ def test_evidence(spark):
     assert evidence.assess(q, s, required).where("query_id = 1").first()["reason"] == "required_source_missing"
 
 
-def test_passages():
+def test_passages(spark):
+    said = "What is the retention period?"
+    of = lambda text, question, most: one(spark, context.select_passage(F.col("t"), F.lit(question), most), t=text)
     words = "Alpha is first. " * 20 + "The retention period is six years. " + "Omega is last. " * 20
-    got = context.passage(words, "What is the retention period?", 200)
+    got = of(words, said, 200)
     assert "retention period" in got and len(got) <= 200 and got.startswith("… ") and got.endswith(" …")
-    assert context.passage("short", "x", 200) == "short"
-    assert len(context.passage("word " * 200, "word", 160)) <= 160
+    assert of(" short\n", "x", 200) == "short" and of("", "x", 200) == ""
+    one_word = of("word " * 200, "word", 160)
+    assert len(one_word) <= 160 and one_word.startswith("word word") and one_word.endswith(" …")
+    late = of("filler " * 100 + "retention period " + "filler " * 100, said, 180)
+    assert "retention period" in late and late.startswith("… filler") and late.endswith(" …") and len(late) <= 180
+    long_part = of("First one. " + "filler " * 60 + "retention period " + "filler " * 60 + ". Last one.", said, 180)
+    assert "retention" in long_part and long_part.startswith("… ") and len(long_part) <= 180
+    rows = "\n".join(f"Row {k}: city{k} | {'retention' if k == 7 else 'other'} value" for k in range(1, 30))
+    table = of(rows, said, 170)
+    assert "Row 7:" in table and table.count("\n") == 5 and all(x in rows for x in table.strip("… ").split("\n"))
+
+
+def test_passages_widen_greedily(spark):
+    """The run of parts is one whose every widening took the better neighbour that fitted, until none did."""
+    import random
+
+    rnd = random.Random(6)
+    rows = []
+    for k in range(120):
+        parts = [" ".join(rnd.choice(("retention", "period", "years", "stone", "river")) for _ in range(rnd.randint(1, 9))) + "." for _ in range(rnd.randint(2, 12))]
+        rows.append((k, " ".join(parts), parts, rnd.randint(60, 200)))
+    d = spark.createDataFrame([(k, t, m) for k, t, _, m in rows], "k int, t string, m int")
+    found = {r["k"]: r["p"] for r in d.select("k", context.select_passage(F.col("t"), F.lit("retention period"), F.col("m")).alias("p")).collect()}
+    for k, text, parts, most in rows:
+        got = found[k]
+        assert len(got) <= most
+        if len(text) <= most:
+            assert got == text
+            continue
+        scores = [sum(w in p for w in ("retention", "period")) for p in parts]
+        best = scores.index(max(scores))
+        if len(parts[best]) > most - 4:  # the marks cut into it
+            continue
+        core = got.removeprefix("… ").removesuffix(" …")
+        runs = [(a, b) for a in range(best + 1) for b in range(best + 1, len(parts) + 1) if " ".join(parts[a:b]) == core and got.startswith("… ") == (a > 0) and got.endswith(" …") == (b < len(parts))]
+        assert runs, (got, parts)
+        room = lambda a, b: len(" ".join(parts[a:b])) <= most - 4
+
+        def reached(a, b):
+            """Whether some order of allowed widenings leads from the best part to this run."""
+            if (a, b) == (best, best + 1):
+                return True
+            ways = []
+            for c, d in ((a + 1, b), (a, b - 1)):
+                if c <= best < d and reached(c, d):
+                    left, right = (c - 1 if c else None), (d if d < len(parts) else None)
+                    near = sorted((x for x in (left, right) if x is not None and room(min(c, x), max(d, x + 1))), key=lambda x: (-scores[x], len(parts[x]), x))
+                    ways.append(bool(near) and near[0] == (a if c != a else b - 1))
+            return any(ways)
+
+        a, b = runs[0]
+        assert any(reached(*r) for r in runs)
+        assert not (a and room(a - 1, b)) and not (b < len(parts) and room(a, b + 1))
+
+
+def test_prompt_budget(spark):
+    rows = [(1, "about stones", k, 10 + k, f"Stones {k}. " + "river bank. " * 30) for k in range(1, 6)] + [(2, None, 1, 30, None), (2, None, 2, 31, "text")]
+    ranked = spark.createDataFrame(rows, "query_id int, question string, rank int, chunk_id long, content string")
+    got = {(r["query_id"], r["rank"]): r["content"] for r in context.select_prompt_chunks(ranked, 300, 800).collect()}
+    assert set(got) == {(1, 1), (1, 2), (1, 3), (2, 2)} and got[2, 2] == "text"
+    assert all(len(got[1, k]) <= 300 and f"Stones {k}." in got[1, k] for k in (1, 2, 3)) and sum(len(x) for (q, _), x in got.items() if q == 1) <= 800
 
 
 def test_reports(spark):
