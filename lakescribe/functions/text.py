@@ -33,7 +33,7 @@ def normalize_block(text: Column) -> Column:
     """Line ends \\n, spaces in a line collapsed, three or more line ends two."""
     unix = F.regexp_replace(text, "\r\n?", "\n")
     lines = F.regexp_replace(F.regexp_replace(unix, r"[ \t ]+", " "), " ?\n ?", "\n")
-    return F.trim(F.regexp_replace(lines, "\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(lines, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def words(text: Column) -> Column:

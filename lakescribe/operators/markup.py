@@ -320,10 +320,10 @@ def parse_csv(docs: DataFrame, keys: list[str], column: str = "text") -> DataFra
 EXTRACTORS: dict[str, Callable[[DataFrame, list[str], str], DataFrame]] = {"html": from_html, "markdown": from_markdown}
 
 
-def extract(docs: DataFrame, keys: list[str], kind: str = "kind", column: str = "text") -> DataFrame:
-    """Units of all documents, each kind by its extractor; kinds without one give none."""
+def extract(docs: DataFrame, keys: list[str], kind: str = "kind", column: str = "text", extractors: dict[str, Callable] | None = None) -> DataFrame:
+    """Units of all documents, each kind by its extractor (EXTRACTORS, or the caller's); kinds without one give none."""
     out = None
-    for name, make in EXTRACTORS.items():
+    for name, make in (extractors or EXTRACTORS).items():
         own = make(docs.where(F.col(kind) == name), keys, column)
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
     return out

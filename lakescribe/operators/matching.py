@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import files
 from ..functions.text import normalize
+from . import topk
 
 # Words of a question that name no document.
 STOP_WORDS = "a about any ask can called did do document documents docs file files for from have has i in is it list me my named of open please see show summarize summary tell the there this titled uploaded what which with workspace".split()
 KIND_WORDS = "md markdown pdf docx xlsx xls csv txt text spreadsheet spreadsheets".split()
 ASKED_KINDS = {"markdown": "md markdown", "pdf": "pdf", "docx": "docx", "xlsx": "xlsx xls excel workbook spreadsheet spreadsheets", "csv": "csv spreadsheet spreadsheets", "text": "txt text"}
+#: What each sign that a question means a document counts.
+POINTS = {"name": 120, "base": 100, "every term": 45, "kind": 35, "kind alone": 20, "term": 18, "other kind": -20}
 CLASSES = {"exact": 5, "strong": 4, "wrong_extension": 3, "near": 2, "kind_only": 1, "none": 0}
 
 
@@ -51,8 +54,9 @@ def match_documents(questions: DataFrame, documents: DataFrame, scope: list[str]
         F.coalesce(F.array_contains("_kinds", F.col("_kind")), F.lit(False)).alias("_asked_kind"),
     )
     some, kinds, every = F.size("_terms") > 0, F.size("_kinds") > 0, F.col("_n") == F.size("_terms")
-    points = lambda when, n: F.when(when, n).otherwise(0)
-    score = points(F.col("_exact"), 120) + points(F.col("_has_base"), 100) + 18 * F.col("_n") + points(some & every, 45) + F.when(F.col("_asked_kind"), 35).when(kinds, -20).otherwise(0) + points(~some & F.col("_asked_kind"), 20)
+    points = lambda when, what: F.when(when, POINTS[what]).otherwise(0)
+    of_kind = F.when(F.col("_asked_kind"), POINTS["kind"]).when(kinds, POINTS["other kind"]).otherwise(0)
+    score = points(F.col("_exact"), "name") + points(F.col("_has_base"), "base") + POINTS["term"] * F.col("_n") + points(some & every, "every term") + of_kind + points(~some & F.col("_asked_kind"), "kind alone")
     fits = ~kinds | F.col("_asked_kind")
     found = (
         F.when(F.col("_exact"), "exact")
@@ -68,27 +72,80 @@ def match_documents(questions: DataFrame, documents: DataFrame, scope: list[str]
     return matched.withColumn("is_best", F.row_number().over(best) == 1)
 
 
+# Questions that ask which documents there are, and whether there is one.
+INVENTORY = (
+    r"\b(?:what|which)\s+(?:files|documents|uploads)\b.*\b(?:uploaded|in (?:this|the) workspace|available)\b",
+    r"\b(?:list|show)\s+(?:my\s+)?(?:files|documents|uploads)\b",
+    r"\b(files|documents)\b.*\b(uploaded|in this workspace)\b",
+)
+EXISTENCE = (
+    r"\b(do i have|did i upload|is there|are there|do you see|does .*exist|exists|available)\b",
+    r"\b(any|a|an)\s+(?:uploaded\s+)?(?:file|document|spreadsheet|pdf|docx|md|markdown|csv|xlsx|xls|txt)\b",
+)
+KIND_NAMES = {"csv": "CSV file", "docx": "DOCX file", "markdown": "Markdown `.md` file", "pdf": "PDF", "text": "text file", "xlsx": "spreadsheet"}
+NO_DOCUMENTS = "I do not see any uploaded documents in this workspace yet."
+VISIBLE, VISIBLE_OF_KIND, NAMED_OF_KIND = 12, 8, 3
+
+
 def asks_inventory(text: Column) -> Column:
-    said = plain(text)
-    return (
-        said.rlike(r"\b(?:what|which)\s+(?:files|documents|uploads)\b.*\b(?:uploaded|in (?:this|the) workspace|available)\b")
-        | said.rlike(r"\b(?:list|show)\s+(?:my\s+)?(?:files|documents|uploads)\b")
-        | said.rlike(r"\b(files|documents)\b.*\b(uploaded|in this workspace)\b")
-    )
+    return reduce(lambda x, y: x | y, [plain(text).rlike(p) for p in INVENTORY])
 
 
 def asks_existence(text: Column) -> Column:
-    said = plain(text)
-    return said.rlike(r"\b(do i have|did i upload|is there|are there|do you see|does .*exist|exists|available)\b") | said.rlike(r"\b(any|a|an)\s+(?:uploaded\s+)?(?:file|document|spreadsheet|pdf|docx|md|markdown|csv|xlsx|xls|txt)\b")
+    return reduce(lambda x, y: x | y, [plain(text).rlike(p) for p in EXISTENCE])
+
+
+def _newest(documents: DataFrame, by: list[str], most: int) -> DataFrame:
+    """by, n, names: how many documents there are and the names of the newest, of which each task keeps no more than most."""
+    n = documents.groupBy(*by).agg(F.count("*").alias("n"))
+    top = topk.per_group(documents.select(*by, "document_id", "filename"), by, [F.desc("document_id")], most, "place")
+    names = top.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "filename"))), lambda x: x["filename"]).alias("names"))
+    return n.join(names, by)
+
 
+def _list(names: Column) -> Column:
+    return F.array_join(F.transform(names, lambda x: F.concat(F.lit("- "), x)), "\n")
 
-def inventory_answer(questions: DataFrame, documents: DataFrame, scope: list[str], visible: int = 12) -> DataFrame:
+
+def inventory_answer(questions: DataFrame, documents: DataFrame, scope: list[str], visible: int = VISIBLE) -> DataFrame:
     """query_id, answer for questions that ask which documents there are: the newest, so many lines, and how many more."""
-    newest = Window.partitionBy(*scope).orderBy(F.desc("document_id"))
-    shown = documents.select(*scope, "document_id", "filename", F.row_number().over(newest).alias("_k"))
-    lines = shown.groupBy(*scope).agg(F.count("*").alias("_n"), F.sort_array(F.collect_list(F.when(F.col("_k") <= visible, F.struct("_k", "filename")))).alias("_lines"))
-    text = F.array_join(F.transform("_lines", lambda x: F.concat(F.lit("- "), x["filename"])), "\n")
-    more = F.when(F.col("_n") > visible, F.concat(F.lit("\n\nThere are "), (F.col("_n") - visible).cast("string"), F.lit(" more documents in this workspace."))).otherwise("")
-    noun = F.when(F.col("_n") == 1, "document").otherwise("documents")
-    answer = F.when(F.col("_n").isNull(), "I do not see any uploaded documents in this workspace yet.").otherwise(F.concat(F.lit("I found "), F.col("_n").cast("string"), F.lit(" uploaded "), noun, F.lit(" in this workspace:\n\n"), text, more))
+    lines = _newest(documents, scope, visible)
+    n = F.col("n")
+    more = F.when(n > visible, F.concat(F.lit("\n\nThere are "), (n - visible).cast("string"), F.lit(" more documents in this workspace."))).otherwise("")
+    noun = F.when(n == 1, "document").otherwise("documents")
+    answer = F.when(n.isNull(), NO_DOCUMENTS).otherwise(F.concat(F.lit("I found "), n.cast("string"), F.lit(" uploaded "), noun, F.lit(" in this workspace:\n\n"), _list(F.col("names")), more))
     return questions.where(asks_inventory(F.col("question"))).join(lines, scope, "left").select("query_id", answer.alias("answer"))
+
+
+def existence_answer(questions: DataFrame, documents: DataFrame, scope: list[str]) -> DataFrame:
+    """query_id, answer for questions that ask whether there is a document: the one that is meant, the ones of its kind, or one like it.
+
+    questions: query_id, question, scope; documents: document_id, filename, scope. What a question may mean comes from
+    match_documents; of the documents of a kind only a count and the newest names are joined.
+    """
+    asked = questions.where(asks_existence(F.col("question")) & ~asks_inventory(F.col("question")))
+    order = F.struct((-F.col("score")).alias("s"), "filename", "document_id")
+    first = match_documents(asked, documents, scope).groupBy("query_id").agg(*[F.min(F.when(F.col("match_class") == c, order))["filename"].alias(c) for c in ("exact", "strong", "wrong_extension", "near")])
+    kinds = _newest(documents.withColumn("kind", files.kind(F.col("filename"))).where("kind is not null"), [*scope, "kind"], VISIBLE_OF_KIND)
+    wanted = asked.select("query_id", *scope, F.explode(asked_kinds(F.col("question"))).alias("kind"))
+    of_kinds = wanted.join(kinds, [*scope, "kind"]).groupBy("query_id").agg(F.sum("n").alias("n"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("kind", "names"))), lambda x: x["names"])).alias("names"))
+    some = documents.select(*scope).distinct().withColumn("has_documents", F.lit(True))
+    prepared = asked.select("query_id", *scope, asked_kinds(F.col("question")).alias("kinds"), asked_terms(F.col("question")).alias("terms"))
+    p = prepared.join(first, "query_id", "left").join(of_kinds, "query_id", "left").join(some, scope, "left")
+    names = F.create_map(*[F.lit(x) for pair in KIND_NAMES.items() for x in pair])
+    kind = F.when(F.array_sort("kinds") == F.array(F.lit("csv"), F.lit("xlsx")), "spreadsheet").otherwise(F.array_join(F.transform("kinds", lambda k: names[k]), " or "))
+    target, has_terms, n = F.array_join("terms", " "), F.size("terms") > 0, F.coalesce("n", F.lit(0))
+    meant = F.when(has_terms, F.concat(F.lit(" matching '"), target, F.lit("'"))).otherwise(" matching that name")
+    tick = lambda x: F.concat(F.lit("`"), x, F.lit("`"))
+    found = F.concat(F.lit("I found "), n.cast("string"), F.lit(" matching "), F.when(n == 1, "file").otherwise("files"), F.lit(":\n\n"), _list(F.slice(F.coalesce("names", F.array().cast("array<string>")), 1, VISIBLE_OF_KIND)))
+    missing = F.trim(F.concat(F.when(F.size("kinds") == 1, F.replace(names[F.element_at("kinds", 1)], F.lit(" `.md`"), F.lit(""))).otherwise(""), F.when(has_terms, F.concat(F.lit(" matching "), tick(target))).otherwise("")))
+    answer = (
+        F.when(F.col("has_documents").isNull(), NO_DOCUMENTS)
+        .when(F.coalesce("exact", "strong").isNotNull(), F.concat(F.lit("Yes. I found "), tick(F.coalesce("exact", "strong")), F.lit(".")))
+        .when(~has_terms & (n > 0), found)
+        .when(F.col("wrong_extension").isNotNull() & (F.size("kinds") > 0), F.concat(F.lit("I found a similar document title, "), tick(F.col("wrong_extension")), F.lit(", but I do not see a "), kind, meant, F.lit(".")))
+        .when(n > 0, F.concat(F.lit("I found "), kind, F.lit("s in this workspace, including "), F.array_join(F.transform(F.slice("names", 1, NAMED_OF_KIND), tick), ", "), F.lit(", but I do not see one"), meant, F.lit(".")))
+        .when(F.col("near").isNotNull() & (F.size("kinds") > 0), F.concat(F.lit("I found a similar document, "), tick(F.col("near")), F.lit(", but I do not see a "), kind, F.lit(" matching that name.")))
+        .otherwise(F.concat(F.lit("I do not see a "), F.when(missing == "", "matching file").otherwise(missing), F.lit(" in this workspace.")))
+    )
+    return p.select("query_id", answer.alias("answer"))

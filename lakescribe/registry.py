@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "lexical_topk"
-AREAS = ("ingest", "retrieval", "operations", "evidence")
+AREAS = ("ingest", "retrieval", "operations", "evidence", "reading", "privacy", "answers", "streams")
 
 
 def _all() -> dict:

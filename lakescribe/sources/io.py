@@ -36,9 +36,9 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     return known.withColumn("text", F.decode("content", "UTF-8"))
 
 
-def read_golden(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """documents, passages, cases, support of a nested golden set."""
-    raw = spark.read.schema(GOLDEN).option("multiLine", True).json(path)
+def read_golden(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
+    """documents, passages, cases, support of a nested golden set: a file of JSON, or without multi_line a part of it in each line."""
+    raw = spark.read.schema(GOLDEN).option("multiLine", multi_line).json(path)
     docs = raw.select(F.explode("documents").alias("d"))
     cases = raw.select(F.explode("cases").alias("c"))
     return {

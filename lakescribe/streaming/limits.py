@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import chunking, sanitize
-from ..operators.sinks import upsert_chunks
+from ..operators import chunking, pii, sanitize
+from ..operators.sinks import write_table
 
 
 def sliding_counts(events: DataFrame, size: str = "1 minute", slide: str = "10 seconds", limit: int = 60, late: str = "1 minute") -> DataFrame:
@@ -91,16 +92,41 @@ def dedup_content(docs: DataFrame, late: str = "1 hour") -> DataFrame:
     return hashed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["collection_id", "content_sha256"])
 
 
-def chunk_stream(docs: DataFrame) -> DataFrame:
-    """document_id, chunk_index, content of arriving documents, cleaned; no state."""
-    return chunking.chunk_documents(docs.withColumn("text", sanitize.clean(F.col("text"))), ["document_id"], "text")
+def chunk_stream(docs: DataFrame, secret: str | None = None) -> DataFrame:
+    """document_id, chunk_index, content of arriving documents, cleaned; no state.
 
+    With secret docs have user_id and processing_mode too, and each chunk has embedding_projection and embedding_text: the
+    masked text of a private document's chunk, the text of another's.
+    """
+    own = ["document_id"] if secret is None else ["document_id", "user_id", "processing_mode"]
+    cut = chunking.chunk_documents(docs.withColumn("text", sanitize.clean(F.col("text"))), own, "text")
+    if secret is None:
+        return cut
+    private = F.col("processing_mode") == "privacy_minimised"
+    masked = pii.mask(F.when(private, F.col("content")), pii.scope_id(F.col("user_id"), F.col("document_id")), secret)
+    return cut.select("document_id", "chunk_index", "content", F.when(private, "privacy_minimised").otherwise("original").alias("embedding_projection"), F.when(private, masked).otherwise(F.col("content")).alias("embedding_text"))
 
-def ingest(docs: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], checkpoint: str):
-    """A running query that puts the chunks of arriving documents in the place of those a table has. read: the table so far or None; write: replaces it, and is safe to repeat."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        new, old = chunk_stream(batch), read()
-        write(new if old is None else upsert_chunks(old, new))
+def ingest(docs: DataFrame, path: str, checkpoint: str, secret: str | None = None, buckets: int = 64, available_now: bool = False):
+    """A running query that keeps the chunks of arriving documents in a table at path, in the place of those it had.
+
+    The table is partitioned by a hash of document_id; a batch reads and replaces only the partitions of its documents,
+    and doing so twice gives the same.
+    """
 
-    return docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
+    def put(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        new = chunk_stream(batch, secret).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in batch.select(F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int").alias("bucket")).distinct().collect()]  # buckets at most
+        if not touched:
+            return
+        try:
+            old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+        except AnalysisException:  # the first batch
+            old = None
+        gone = batch.select("document_id").distinct()
+        whole = new if old is None else old.join(gone, "document_id", "left_anti").unionByName(new)
+        write_table(whole.repartition("bucket"), path, ["bucket"])
+
+    run = docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (run.trigger(availableNow=True) if available_now else run).start()
