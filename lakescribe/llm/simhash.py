@@ -183,7 +183,9 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of the edges (a, b) the least node that it is connected with.
 
     Each round gives each node its least neighbour or itself, follows that to the end (each step doubles the way), and
-    contracts: only edges between different ends are left, and at most half of the nodes. Rounds end when no edge is left.
+    contracts: only edges between different ends are left. What is left of the nodes are those that are less than all of
+    their neighbours; that can be most of them, as the leaves of a star whose hub is its largest node, which the next round
+    brings together around the least of them. Rounds end when no edge is left.
     """
     edges = cut_lineage(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = None

@@ -36,8 +36,7 @@ def brute_classes(fps, distance=3):
 
 def test_fingerprint(odd_docs):
     for r in odd_docs.collect():
-        if r["text"] is None or len(r["text"]) < 20_000:
-            assert simhash.fingerprint(r["text"]) == brute_fingerprint(r["text"])
+        assert simhash.fingerprint(r["text"]) == brute_fingerprint(r["text"])
     assert simhash.fingerprint("A b\x0bC\x1cd É") == brute_fingerprint("A b\x0bC\x1cd É")
 
 
@@ -75,6 +74,11 @@ def test_long_chain(spark):
     assert all(roots[k] == 0 for k in range(401)) and roots[905] == 901
 
 
+def test_star_with_the_largest_hub(spark):
+    edges = spark.createDataFrame([(1000, k) for k in range(1, 101)], "a long, b long")
+    assert {r["root"] for r in simhash.components(edges).collect()} == {1}
+
+
 def test_hot_bucket_gives_a_forest():
     rng = np.random.default_rng(1)
     ball = np.unique(rng.integers(0, 1 << 63, 1, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)))
@@ -86,7 +90,7 @@ def test_classes(odd_docs, no_docs):
     found = simhash.classes(odd_docs).collect()
     rows = odd_docs.collect()
     assert len(found) == len(rows)
-    fps = [brute_fingerprint(r["text"]) if r["text"] is None or len(r["text"]) < 20_000 else simhash.fingerprint(r["text"]) for r in rows]
+    fps = [brute_fingerprint(r["text"]) for r in rows]
     classes = brute_classes(fps)
     want = []
     for k, r in enumerate(rows):
