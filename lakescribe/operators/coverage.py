@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..functions.text import normalize
 
 MEANINGFUL, QUALIFYING, SIMILAR, SOFT_CAP, KEY_CHARACTERS = 24, 40, 0.55, 2, 600
@@ -65,9 +66,10 @@ def dedupe(ranked: DataFrame) -> DataFrame:
 def balance(ranked: DataFrame, limit: int, cap: int = SOFT_CAP) -> DataFrame:
     """At most cap of each document first, then the others as they were ranked, limit in all; with final_rank."""
     of_document = F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy("rank"))
-    marked = ranked.withColumn("_late", (of_document > cap).cast("int"))
-    final = F.row_number().over(Window.partitionBy("query_id").orderBy("_late", "rank"))
-    return marked.withColumn("final_rank", final).where(F.col("final_rank") <= limit).drop("_late")
+    (late,) = fresh(ranked, "late")
+    marked = ranked.withColumn(late, (of_document > cap).cast("int"))
+    final = F.row_number().over(Window.partitionBy("query_id").orderBy(late, "rank"))
+    return marked.withColumn("final_rank", final).where(F.col("final_rank") <= limit).drop(late)
 
 
 def select(ranked: DataFrame, required: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,8 @@ IGNORED = ("failed", "awaiting_upload")
 def duplicate_uploads(docs: DataFrame, content: Column, order: str = "document_id") -> DataFrame:
     """docs with content_sha256 and duplicate_of: the first earlier document of the collection with this content, or null.
 
-    Only ids and hashes are shuffled for the window; the hash joins back nothing, as docs' other columns are carried only
-    if asked for by the caller's projection.
+    The window shuffles the columns that are asked for: select ids, collections and statuses of the result, and neither
+    the text nor anything else goes with the hashes.
     """
     hashed = docs.withColumn("content_sha256", F.sha2(content, 256))
     before = Window.partitionBy("collection_id", "content_sha256").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -32,8 +32,8 @@ def assess(questions: DataFrame, sources: DataFrame, required: DataFrame | None
     keyword_score, semantic_similarity; required: query_id, document_id; citations: query_id, rejected, cited_documents.
     Only rows of mode semantic lend a similarity. Words match words that begin with them or that they begin with.
     """
-    q = questions.withColumn("_terms", terms(F.col("question")))
-    s = sources.withColumn("_words", F.array_distinct(tokens(F.col("content")))).withColumn("_ok", F.length(normalize(F.col("content"))) >= MEANINGFUL)
+    q = questions.select("query_id", "question", "retrieval_reason").withColumn("_terms", terms(F.col("question")))
+    s = sources.select("query_id", "content", "retrieval_mode", "relevance_score", "document_id", "keyword_score", "semantic_similarity").withColumn("_words", F.array_distinct(tokens(F.col("content")))).withColumn("_ok", F.length(normalize(F.col("content"))) >= MEANINGFUL)
     role = lambda t, text: F.contains(text, F.replace(F.substring(t, len(ROLE) + 1, 200), F.lit("_"), F.lit(" ")))
     word = lambda t, words: F.array_contains(words, t) | F.exists(words, lambda w: (F.length(w) >= 5) & (w.startswith(t) | t.startswith(w)))
     pairs = q.select("query_id", "_terms").join(s.withColumn("_text", normalize(F.col("content"))), "query_id")

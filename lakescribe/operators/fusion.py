@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..functions.query import expand_roles, identifiers, useful
 from ..functions.text import normalize, tokens
 
@@ -31,18 +32,19 @@ def with_boost(df: DataFrame, question: str = "question", filename: str = "filen
     Normalised texts are columns of a projection of their own: within the lambdas they would be computed for each term.
     """
     asked = expand_roles(F.col(question))
+    said, name, text, ids, long = fresh(df, "said", "name", "text", "ids", "long")
     out = df.select(
         "*",
-        normalize(asked).alias("_asked"),
-        normalize(F.col(filename)).alias("_name"),
-        normalize(F.col(content)).alias("_text"),
-        identifier_phrases(F.col(question)).alias("_ids"),
-        useful(tokens(asked), STOP_WORDS).alias("_rare"),
+        normalize(asked).alias(said),
+        normalize(F.col(filename)).alias(name),
+        normalize(F.col(content)).alias(text),
+        identifier_phrases(F.col(question)).alias(ids),
+        useful(tokens(asked), STOP_WORDS).alias(long),
     )
-    named = F.when((F.length("_name") > 2) & F.contains("_asked", "_name"), 0.7).otherwise(0.0)
-    rare = F.when(F.exists("_rare", lambda t: (F.length(t) >= 6) & F.contains(F.col("_text"), t)), 0.15).otherwise(0.0)
-    out = out.withColumn("bears_identifier", F.exists("_ids", lambda p: F.contains(F.col("_text"), p)))
-    return out.withColumn("boost", F.when(F.col("bears_identifier"), 1.0).otherwise(F.least(F.lit(1.0), named + rare))).drop("_asked", "_name", "_text", "_ids", "_rare")
+    named = F.when((F.length(name) > 2) & F.contains(F.col(said), F.col(name)), 0.7).otherwise(0.0)
+    rare = F.when(F.exists(long, lambda t: (F.length(t) >= 6) & F.contains(F.col(text), t)), 0.15).otherwise(0.0)
+    out = out.withColumn("bears_identifier", F.exists(ids, lambda p: F.contains(F.col(text), p)))
+    return out.withColumn("boost", F.when(F.col("bears_identifier"), 1.0).otherwise(F.least(F.lit(1.0), named + rare))).drop(said, name, text, ids, long)
 
 
 def _mode() -> Column:
@@ -68,10 +70,11 @@ def rescue_identifier(ranked: DataFrame, limit: int, bears: str = "bears_identif
     by = Window.partitionBy("query_id")
     top = F.max(((F.col("rank") <= limit) & F.col(bears)).cast("int")).over(by)
     first = F.min(F.when(F.col(bears), F.col("rank"))).over(by)
-    marked = ranked.withColumn("_top", top).withColumn("_first", first)
-    rescued = (F.col("_top") == 0) & (F.col("rank") == F.col("_first"))
-    kept = F.when((F.col("_top") == 0) & F.col("_first").isNotNull(), F.col("rank") <= limit - 1).otherwise(F.col("rank") <= limit)
-    return marked.where(kept | rescued).withColumn("rank", F.when(rescued, limit).otherwise(F.col("rank"))).drop("_top", "_first")
+    t, b = fresh(ranked, "in_top", "best")
+    marked = ranked.withColumn(t, top).withColumn(b, first)
+    rescued = (F.col(t) == 0) & (F.col("rank") == F.col(b))
+    kept = F.when((F.col(t) == 0) & F.col(b).isNotNull(), F.col("rank") <= limit - 1).otherwise(F.col("rank") <= limit)
+    return marked.where(kept | rescued).withColumn("rank", F.when(rescued, limit).otherwise(F.col("rank"))).drop(t, b)
 
 
 def weighted(merged: DataFrame, limit: int, boost_col: str = "boost") -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..functions.query import expand_roles, search_terms, term_variants
 from ..functions.text import normalize, tokens
 from . import topk
-from .lexical import filename_terms
+from .lexical import filename_terms, wanted_terms
 
 
 def _occurrences(text: Column, word: Column) -> Column:
@@ -34,17 +35,18 @@ def score(candidates: DataFrame, content: str = "content", question: str = "ques
 
     The normalised texts are columns of a projection of their own, so each is computed once a row.
     """
+    text, words, said, asked = fresh(candidates, "text", "words", "said", "asked")
     out = candidates.select(
         "*",
-        normalize(F.col(content)).alias("_text"),
-        tokens(F.col(content)).alias("_words"),
-        normalize(expand_roles(F.col(question))).alias("_question"),
-        (F.col(terms) if terms else search_terms(F.col(question))).alias("_terms"),
+        normalize(F.col(content)).alias(text),
+        tokens(F.col(content)).alias(words),
+        normalize(expand_roles(F.col(question))).alias(said),
+        (F.col(terms) if terms else search_terms(F.col(question))).alias(asked),
     )
-    whole = F.when((F.length("_question") > 8) & F.contains("_text", "_question"), 20).otherwise(0)
-    each = F.aggregate(F.transform("_terms", lambda t: _term_score(F.col("_text"), F.col("_words"), t)), F.lit(0), lambda x, y: x + y)
-    every = (F.size("_terms") > 1) & F.forall("_terms", lambda t: F.exists(term_variants(t), lambda v: F.contains(F.col("_text"), v)))
-    return out.withColumn("keyword_score", whole + each + F.when(every, 8).otherwise(0)).drop("_text", "_words", "_question", "_terms")
+    whole = F.when((F.length(said) > 8) & F.contains(F.col(text), F.col(said)), 20).otherwise(0)
+    each = F.aggregate(F.transform(asked, lambda t: _term_score(F.col(text), F.col(words), t)), F.lit(0), lambda x, y: x + y)
+    every = (F.size(asked) > 1) & F.forall(asked, lambda t: F.exists(term_variants(t), lambda v: F.contains(F.col(text), v)))
+    return out.withColumn("keyword_score", whole + each + F.when(every, 8).otherwise(0)).drop(text, words, said, asked)
 
 
 def candidates(questions: DataFrame, chunks: DataFrame, scope: list[str], keys: list[str], content: str = "content") -> DataFrame:
@@ -56,9 +58,11 @@ def candidates(questions: DataFrame, chunks: DataFrame, scope: list[str], keys:
     """
     thirds = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3)))
     forms = F.flatten(F.transform(search_terms(F.col("question")), lambda t: F.transform(term_variants(t), lambda v: F.substring(v, 1, 3))))
-    wanted = questions.select("query_id", *scope, F.explode(F.array_distinct(forms)).alias("_s"))
-    had = chunks.select(*scope, *keys, F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens(F.col(content))), thirds)))).alias("_s"))
-    pairs = wanted.join(had, [*scope, "_s"]).select("query_id", *scope, *keys).distinct()
+    wanted = questions.select("query_id", *scope, F.explode(F.array_distinct(forms)).alias("term"))
+    some = wanted_terms(wanted)  # letters that no question asks for never become rows
+    parts = F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens(F.col(content))), thirds)))
+    had = chunks.select(*scope, *keys, F.explode(parts if some is None else F.filter(parts, lambda x: x.isin(some))).alias("term"))
+    pairs = wanted.join(had, [*scope, "term"]).select("query_id", *scope, *keys).distinct()
     return pairs.join(chunks, [*scope, *keys]).join(questions, ["query_id", *scope])
 
 
@@ -76,6 +80,7 @@ def per_document_limit(limit: int, documents: Column | int) -> Column:
 def rank_scoped(pairs: DataFrame, limit: int, documents: int) -> DataFrame:
     """The best of each document of each question, scored without the terms of the document's file name."""
     terms = F.array_except(search_terms(F.col("question")), filename_terms(F.col("filename")))
-    scored = score(pairs.withColumn("_own", terms), terms="_own").drop("_own")
+    (own,) = fresh(pairs, "own_terms")
+    scored = score(pairs.withColumn(own, terms), terms=own).drop(own)
     best = min(max(-(-limit * 3 // documents), 3), 10)
     return rank(scored, best, ["query_id", "document_id"])

@@ -31,20 +31,14 @@ def suspicious(text: Column) -> Column:
     return reduce(lambda x, rule: x | text.rlike(f"(?i){rule[1]}"), RULES, text.rlike(f"{CONTROL}|{INVISIBLE}"))
 
 
+_ODD = re.compile(f"({CONTROL})|{INVISIBLE}")
 _PATTERNS = [(rule, re.compile(pattern, re.I | re.A), new) for rule, pattern, new in RULES]
 
 
 def _events(text: str) -> list[tuple[str, int, int]]:
     """Characters by their place in the text; patterns by theirs in the text as the rules before have left it."""
-    out, kept = [], []
-    for k, c in enumerate(text):
-        if re.match(CONTROL, c):
-            out.append(("control_character", k, 1))
-        elif re.match(INVISIBLE, c):
-            out.append(("zero_width_character", k, 1))
-        else:
-            kept.append(c)
-    staged = "".join(kept)
+    out = [("control_character" if m[1] else "zero_width_character", m.start(), 1) for m in _ODD.finditer(text)]
+    staged = _ODD.sub("", text) if out else text
     for rule, pattern, new in _PATTERNS:
         out += [(rule, m.start(), len(m[0])) for m in pattern.finditer(staged)]
         staged = pattern.sub(new, staged)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..functions.text import collapse, count_words
 
 LINES, PARAGRAPHS, ROWS, MOST_UNITS = 80, 12, 8, 150
@@ -69,13 +70,13 @@ def heading_path(blocks: DataFrame, keys: list[str], order: str, level: str = "l
     A heading ends all of its own level and below, so of each level the last heading counts unless a higher one came since.
     """
     so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = blocks
-    for k in range(1, HEADING_LEVELS + 1):
-        at = F.when(F.col(level) == k, F.struct(F.col(order).alias("at"), F.col(text).alias("text")))
-        out = out.withColumn(f"_h{k}", F.last(at, ignorenulls=True).over(so_far))
-    higher = lambda k: F.greatest(F.lit(None), F.lit(None), *[F.col(f"_h{j}.at") for j in range(1, k)])
-    live = [F.when(F.coalesce(F.col(f"_h{k}.at") > higher(k), F.col(f"_h{k}").isNotNull()), F.col(f"_h{k}.text")) for k in range(1, HEADING_LEVELS + 1)]
-    return out.withColumn("heading_path", F.array_compact(F.array(*live))).drop(*[f"_h{k}" for k in range(1, HEADING_LEVELS + 1)])
+    h, out = fresh(blocks, *[f"h{k}" for k in range(1, HEADING_LEVELS + 1)]), blocks
+    for k in range(HEADING_LEVELS):
+        at = F.when(F.col(level) == k + 1, F.struct(F.col(order).alias("at"), F.col(text).alias("text")))
+        out = out.withColumn(h[k], F.last(at, ignorenulls=True).over(so_far))
+    higher = lambda k: F.greatest(F.lit(None), F.lit(None), *[F.col(f"{h[j]}.at") for j in range(k)])
+    live = [F.when(F.coalesce(F.col(f"{h[k]}.at") > higher(k), F.col(h[k]).isNotNull()), F.col(f"{h[k]}.text")) for k in range(HEADING_LEVELS)]
+    return out.withColumn("heading_path", F.array_compact(F.array(*live))).drop(*h)
 
 
 def document_stats(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

@@ -35,17 +35,28 @@ def summarize(events: DataFrame, now: Column) -> DataFrame:
 
 
 def rolling(events: DataFrame) -> DataFrame:
-    """event_id, user_id, minute_requests, daily_requests, daily_spend_usd as of each event that counts, itself included."""
-    e = events.where(counted()).withColumn("_us", micros(F.col("created_at")))
-    minute = Window.partitionBy("user_id").orderBy("_us").rangeBetween(-MINUTE_S * 1_000_000, 0)
-    day = Window.partitionBy("user_id", F.to_date("created_at")).orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
-    return e.select(
-        "event_id",
-        "user_id",
-        F.count("*").over(minute).alias("minute_requests"),
-        F.count("*").over(day).alias("daily_requests"),
-        F.sum(F.col("estimated_cost_usd").cast("decimal(18,8)")).over(day).alias("daily_spend_usd"),
-    )
+    """event_id, user_id, minute_requests, daily_requests, daily_spend_usd as of each event that counts, itself included; days are UTC's.
+
+    A group is an hour of a user, however long the history: events of an hour's last minute are seen by the next hour too,
+    and what the day's hours before add up to, 24 rows at most, is joined.
+    """
+    us, hour, last = F.col("us"), 3_600_000_000, MINUTE_S * 1_000_000
+    e = events.where(counted()).select("event_id", "user_id", micros(F.col("created_at")).alias("us"), F.col("estimated_cost_usd").cast("decimal(18,8)").alias("cost"), F.lit(1).alias("own"))
+    e = e.withColumn("hour", F.floor(us / hour))
+    seen = e.unionByName(e.where(us - F.col("hour") * hour >= hour - last).withColumn("hour", F.col("hour") + 1).withColumn("own", F.lit(0)))
+    by = Window.partitionBy("user_id", "hour").orderBy("us")
+    so_far = by.rangeBetween(Window.unboundedPreceding, 0)
+    within = seen.select(
+        "event_id", "user_id", "hour", "own", F.count("*").over(by.rangeBetween(-last, 0)).alias("minute_requests"),
+        F.sum("own").over(so_far).alias("n"), F.sum(F.when(F.col("own") == 1, F.col("cost"))).over(so_far).alias("cost"),
+    ).where("own = 1")
+    earlier = Window.partitionBy("user_id", F.floor(F.col("hour") / 24)).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = e.groupBy("user_id", "hour").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+    before = before.select("user_id", "hour", F.sum("n").over(earlier).alias("n_before"), F.sum("cost").over(earlier).alias("cost_before"))
+    nothing = F.lit(0).cast("decimal(18,8)")
+    both = within.join(before, ["user_id", "hour"])
+    spent = F.when(F.col("cost").isNotNull() | F.col("cost_before").isNotNull(), F.coalesce("cost", nothing) + F.coalesce("cost_before", nothing))
+    return both.select("event_id", "user_id", "minute_requests", (F.col("n") + F.coalesce("n_before", F.lit(0))).alias("daily_requests"), spent.alias("daily_spend_usd"))
 
 
 def retry_after_minute(oldest: Column, now: Column) -> Column:

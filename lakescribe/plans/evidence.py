@@ -303,14 +303,14 @@ SELECT query_id, coalesce(m, '') AS missing_terms, m IS NOT NULL AS refuse, (m I
 
 def ingest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document to chunks, the private ones masked; what became of each."""
-    return jobs.ingest(_owned(spark, sf_dir), SECRET, most_chunks=50)[1]
+    return jobs.ingest(_owned(spark, sf_dir), SECRET)[1]
 
 
 INGEST_JOB = r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
 u AS (SELECT doc_id, k // 80 AS u, len(list_filter(string_split_regex(string_agg(line, ' '), '\s+'), lambda x: x <> '')) AS n FROM lines GROUP BY ALL),
 c AS (SELECT doc_id, sum(CASE WHEN n = 0 THEN 0 WHEN n <= 384 THEN 1 ELSE ceil((n - 384) / 346) + 1 END)::BIGINT AS n_chunks FROM u GROUP BY doc_id)
-SELECT doc_id AS document_id, CASE WHEN n_chunks BETWEEN 1 AND 50 THEN 'ready' ELSE 'failed' END AS status, CASE WHEN n_chunks = 0 THEN 'validating' WHEN n_chunks > 50 THEN 'chunking' END AS failed_stage, CASE WHEN n_chunks = 0 THEN 'no_text' WHEN n_chunks > 50 THEN 'too_many_chunks' END AS error, n_chunks FROM c
+SELECT doc_id AS document_id, CASE WHEN n_chunks BETWEEN 1 AND 200 THEN 'ready' ELSE 'failed' END AS status, CASE WHEN n_chunks = 0 THEN 'validating' WHEN n_chunks > 200 THEN 'chunking' END AS failed_stage, CASE WHEN n_chunks = 0 THEN 'no_text' WHEN n_chunks > 200 THEN 'too_many_chunks' END AS error, n_chunks FROM c
 """
 
 

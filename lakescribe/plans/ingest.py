@@ -57,9 +57,9 @@ SELECT document_id, chunk_index, md5(content) AS content_md5, ceil(len(string_sp
 
 
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of 80 as pages, 40 chunks of a document at most."""
+    """Lines of 80 as pages, with the operator's own limit of chunks."""
     pages = units.from_text(documents(spark, sf_dir), ["document_id", "filename"]).withColumn("page_number", F.col("unit_index") + 1)
-    cut = chunking.with_metadata(chunking.chunk_pages(pages, ["document_id"], most=40))
+    cut = chunking.with_metadata(chunking.chunk_pages(pages, ["document_id"]))
     return cut.select("document_id", "chunk_index", "page_number", "chunk_part", F.md5("content").alias("content_md5"), F.col("metadata")["line_start"].alias("line_start"))
 
 
@@ -71,7 +71,7 @@ CHUNK_PAGES = rf"""
 WITH {_UNITS}, w AS (SELECT document_id, unit_index, line_start, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM units),
 c AS (SELECT *, unnest(range(CASE WHEN len(w) <= 384 THEN 1 ELSE ceil((len(w) - 384) / 346)::INTEGER + 1 END))::INTEGER AS chunk_part FROM w),
 n AS (SELECT *, (row_number() OVER (PARTITION BY document_id ORDER BY unit_index, chunk_part) - 1)::INTEGER AS chunk_index FROM c)
-SELECT document_id, chunk_index, unit_index + 1 AS page_number, chunk_part, md5(array_to_string(w[chunk_part * 346 + 1:chunk_part * 346 + 384], ' ')) AS content_md5, line_start::VARCHAR AS line_start FROM n WHERE chunk_index < 40
+SELECT document_id, chunk_index, unit_index + 1 AS page_number, chunk_part, md5(array_to_string(w[chunk_part * 346 + 1:chunk_part * 346 + 384], ' ')) AS content_md5, line_start::VARCHAR AS line_start FROM n WHERE chunk_index < 200
 """
 
 
@@ -82,7 +82,7 @@ def chunk_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("document_id", "chunk_index", "page_number", "chunk_part", F.md5("content").alias("content_md5"), F.col("metadata")["line_start"].alias("line_start"))
 
 
-CHUNK_PAGES_WHOLE = CHUNK_PAGES.removesuffix(" WHERE chunk_index < 40\n")
+CHUNK_PAGES_WHOLE = CHUNK_PAGES.removesuffix(" WHERE chunk_index < 200\n")
 
 
 def line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +201,14 @@ def sanitize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitize.events(_dirty(spark, sf_dir), ["page_id"])
 
 
+def _places(rule: str, text: str, pattern: str) -> str:
+    """SQL of rule_id, offset, length of each match: what lies between the matches and the matches before it."""
+    of = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+    parts = f"SELECT page_id, string_split_regex({text}, '{pattern}') AS p, regexp_extract_all({text}, '{pattern}') AS m FROM dirty"
+    return f"SELECT page_id, '{rule}' AS rule_id, ({of('p[1:i]')} + {of('m[1:i - 1]')})::INTEGER AS \"offset\", length(m[i])::INTEGER AS length FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({parts}))"
+
+
+SANITIZE_EVENTS = f"WITH {_DIRTY} " + " UNION ALL ".join([_places("control_character", "text", _CONTROL), _places("zero_width_character", "text", _INVISIBLE), *[_places(rule, _staged(k), f"(?i){pattern}") for k, (rule, pattern, _) in enumerate(sanitize.RULES)]])
 
 
 def content_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +265,7 @@ QUERIES = {
     "heading_paths": (heading_paths, HEADING_PATHS),
     "sanitize_clean": (sanitize_clean, SANITIZE_CLEAN),
     "sanitize_summary": (sanitize_summary, SANITIZE_SUMMARY),
-    "sanitize_events": (sanitize_events, None),
+    "sanitize_events": (sanitize_events, SANITIZE_EVENTS),
     "content_duplicates": (content_duplicates, CONTENT_DUPLICATES),
     "postings": (postings, POSTINGS),
     "identifiers": (identifiers, IDENTIFIERS),

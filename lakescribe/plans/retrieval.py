@@ -235,9 +235,10 @@ SELECT query_id, chunk_id, rank, final_rank FROM (SELECT *, row_number() OVER (P
 
 
 def rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the twentieth chunk of each question bearing an identifier, it takes the fifth place."""
-    ranked = fusion.rrf(_lanes(spark, sf_dir), 20).withColumn("bears_identifier", F.col("rank") == 12)
-    return fusion.rescue_identifier(ranked, 5).select("query_id", "chunk_id", "rank")
+    """Each question asks for a code too, which its twelfth chunk alone bears and so takes the fifth place."""
+    code = F.concat(F.lit("INC-"), (F.col("query_id") + 5000).cast("string"))
+    ranked = fusion.rrf(_lanes(spark, sf_dir), 20).withColumn("question", F.concat_ws(" ", "question", code)).withColumn("content", F.when(F.col("rank") == 12, F.concat_ws(" see ", "content", F.lower(code))).otherwise(F.col("content")))
+    return fusion.rescue_identifier(fusion.with_boost(ranked), 5).select("query_id", "chunk_id", "rank")
 
 
 RESCUE = f"WITH {_FUSED} SELECT query_id, chunk_id, CASE WHEN rank = 12 THEN 5 ELSE rank END::INTEGER AS rank FROM fused WHERE rank <= 4 OR rank = 12 OR (rank = 5 AND query_id NOT IN (SELECT query_id FROM fused WHERE rank = 12))"

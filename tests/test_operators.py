@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakescribe.functions import files, query, text
-from lakescribe.operators import charts, chat, chunking, citations, context, coverage, dedup, embed, evaluate, evidence, fusion, markup, matching, pii, quality, reports, sanitize, scope, sinks, units
+from lakescribe.operators import charts, chat, chunking, citations, context, coverage, dedup, embed, evaluate, evidence, fusion, keyword, markup, matching, pii, quality, reports, sanitize, scope, semantic, sinks, units
 
 
 def one(spark, column, **values):
@@ -110,6 +112,17 @@ def test_pii_hint(spark, rule, text):
     assert one(spark, pii.mask(F.col("t"), F.lit("a"), "s" * 32), t=text) != text
 
 
+@given(st.data())
+@settings(max_examples=150, deadline=None)
+def test_pii_hint_of_every_match(data):
+    """Whatever a rule finds, in a text that is made to match it, passes the test that Spark makes first."""
+    rule = data.draw(st.sampled_from(pii.RULES))
+    pattern = re.compile(re.sub(r"\(\?<?[!=][^()]*\)|\\b", "", rule.pattern.pattern), rule.pattern.flags & ~re.UNICODE | re.A)
+    text = data.draw(st.from_regex(pattern, fullmatch=True, alphabet=st.characters(max_codepoint=127)))
+    for found in pii.find(f"so {text} it is"):
+        assert re.search(pii.NEEDS[found[5]], f"so {text} it is", re.A), found
+
+
 def test_pii_needs():
     assert set(pii.NEEDS) == {r.rule_id for r in pii.RULES}
 
@@ -158,6 +171,52 @@ def test_files(spark):
     assert one(spark, files.looks_binary(F.col("t")), t=bytearray(b"ab\x00\x01")) and not one(spark, files.looks_binary(F.col("t")), t=bytearray(b"plain\n"))
 
 
+def test_own_names_dont_clash(spark):
+    """Callers' columns that have an operator's own names come through."""
+    d = spark.createDataFrame([(1, "about INC-5517 of stones", "f.txt", "incident inc 5517 open", 1, 5.0, 7, 1)], "query_id int, question string, filename string, content string, rank int, text double, said int, document_id int")
+    for out in (fusion.with_boost(d), keyword.score(d), coverage.balance(d.withColumn("late", F.lit(9)), 3)):
+        row = out.first()
+        assert (row["text"], row["said"]) == (5.0, 7) and set(d.columns) <= set(out.columns) and len(out.columns) == len(set(out.columns))
+    b = spark.createDataFrame([(1, 0, 1, "A", 3), (1, 1, None, "x", 4)], "d int, k int, level int, text string, h1 int")
+    assert [(r["h1"], r["heading_path"]) for r in units.heading_path(b, ["d"], "k").orderBy("k").collect()] == [(3, ["A"]), (4, ["A"])]
+
+
+def test_zero_vectors(spark):
+    v = spark.createDataFrame([(1, [0.0, 0.0], "a"), (2, [1.0, 0.0], "a"), (3, None, "a"), (4, [2.0, 0.0], "a")], "vec_id long, embedding array<float>, label string")
+    q = v.where("vec_id in (1, 2)").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    for scope_column in (None, "label"):
+        got = {(r["query_id"], r["vec_id"]): (round(r["similarity"], 6), r["rank"]) for r in semantic.search(q, v, 2, scope=scope_column).collect()}
+        assert got == {(1, 1): (0.0, 1), (1, 2): (0.0, 2), (2, 2): (1.0, 1), (2, 4): (1.0, 2)}
+
+
+def test_existence(spark):
+    q = spark.createDataFrame([(1, "c", "Do I have annual report.pdf?"), (2, "c", "is there a river map pdf?"), (3, "c", "is there any csv?"), (4, "d", "do i have notes?"), (5, "c", "Rivers and stones"), (6, "c", "do i have an annual report docx?"), (7, "c", "Is there a zebra document?")], "query_id int, c string, question string")
+    d = spark.createDataFrame([(1, "c", "annual report.pdf"), (2, "c", "notes.txt")], "document_id int, c string, filename string")
+    got = {r["query_id"]: r["answer"] for r in matching.existence_answer(q, d, ["c"]).collect()}
+    assert got == {
+        1: "Yes. I found `annual report.pdf`.", 2: "I found PDFs in this workspace, including `annual report.pdf`, but I do not see one matching 'river map'.", 3: "I do not see a CSV file or spreadsheet in this workspace.".replace("a CSV file or spreadsheet", "a matching file"),
+        4: "I do not see any uploaded documents in this workspace yet.", 6: "I found a similar document title, `annual report.pdf`, but I do not see a DOCX file matching 'annual report'.", 7: "I do not see a matching `zebra` in this workspace.",
+    }
+
+
+def test_stream_ingest_replaces(spark, tmp_path):
+    """Documents that come again take the place of what they had, in their own partitions; the others' files stay."""
+    from lakescribe.streaming import limits
+
+    def run(rows, name):
+        spark.createDataFrame(rows, "document_id long, text string").write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema("document_id long, text string").parquet(str(tmp_path / name))
+        limits.ingest(stream, str(tmp_path / "chunks"), str(tmp_path / f"{name}_state"), buckets=4, available_now=True).awaitTermination(120)
+
+    run([(k, "word " * (400 if k == 1 else 3)) for k in range(12)], "one")
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "chunks").rglob("*.parquet")}
+    run([(1, "short\x07 now")], "two")
+    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "chunks").rglob("*.parquet")}
+    got = {(r["document_id"], r["chunk_index"]): r["content"] for r in spark.read.parquet(str(tmp_path / "chunks")).collect()}
+    assert len(got) == 12 and got[1, 0] == "short now" and got[2, 0] == "word word word"
+    assert len([p for p in before if p in after]) >= len(before) * 3 // 4 - 1
+
+
 def test_greedy_dedupe():
     assert coverage.first_wins([(1, "a", "x"), (2, "a", "y"), (3, "b", "y"), (4, "c", None), (5, "d", "y")]) == [True, False, True, True, False]
 
