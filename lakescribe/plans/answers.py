@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import files
 from ..functions import query as q
 from ..functions import text as t
-from ..operators import chat, citations, context, coverage, evaluate, evidence, fusion, matching, reports, topk
+from ..operators import chat, citations, context, evaluate, evidence, matching, reports, topk
 from .common import QUESTIONS, chunks, documents, questions, table
-from .evidence import _ANSWERS, _CLAIMS, _SUPPORT, EVAL_METRICS, _answers, _claims, _sources, eval_metrics
+from .evidence import _ANSWERS, _SUPPORT, EVAL_METRICS, _answers, _sources, eval_metrics
 from .operations import _PAIRS
-from .retrieval import _FUSED, _lanes
 
 
 def missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,23 +50,6 @@ def supported(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUPPORTED = f"WITH {_ANSWERS} SELECT query_id, query_id % 4 IN (0, 2) AND query_id % 3 <> 0 AND query_id % 7 > 0 AS supported FROM answers"
 
 
-def risk_reports_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The risk report of each answer."""
-    return reports.risk_report(_claims(spark, sf_dir)).select("query_id", F.md5("markdown").alias("markdown_md5"))
-
-
-_LINE = "'- ' || text || ' — Evidence: ' || refs"
-RISK_REPORTS_WHOLE = f"""
-WITH {_CLAIMS}, c0 AS (SELECT query_id, line, text, '[' || replace(refs, ',', '], [') || ']' AS refs FROM claims WHERE text <> ''),
-c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY line) AS k, regexp_matches(text, '{reports.RISK}') AS risky, bool_or(regexp_matches(text, '{reports.RISK}')) OVER (PARTITION BY query_id) AS any_one, regexp_matches(text, '{reports.OBLIGATION}') AS duty FROM c0),
-n AS (SELECT *, row_number() OVER (PARTITION BY query_id, risky OR NOT any_one ORDER BY k) AS rk, row_number() OVER (PARTITION BY query_id, duty ORDER BY k) AS dk,
-  CASE WHEN regexp_matches(text, '{reports.HIGH}') THEN 'high' WHEN regexp_matches(text, '{reports.MEDIUM}') THEN 'medium' ELSE 'low' END AS severity FROM c)
-SELECT query_id, md5('## Executive Summary' || chr(10) || chr(10) || string_agg({_LINE}, chr(10) ORDER BY k) FILTER (k <= 2) || chr(10) || chr(10) || '## Key Findings' || chr(10) || chr(10) || string_agg({_LINE}, chr(10) ORDER BY k) FILTER (k <= 6)
-  || chr(10) || chr(10) || '## Risk Register' || chr(10) || chr(10) || '| Severity | Risk / issue | Evidence |' || chr(10) || '| --- | --- | --- |' || chr(10) || coalesce(string_agg('| ' || severity || ' | ' || text || ' | ' || refs || ' |', chr(10) ORDER BY k) FILTER ((risky OR NOT any_one) AND rk <= 6), '')
-  || chr(10) || chr(10) || '## Obligations / Actions' || chr(10) || chr(10) || coalesce(string_agg({_LINE}, chr(10) ORDER BY k) FILTER (duty AND dk <= 6), 'No explicit obligations or actions were identified in the cited passages.')) AS markdown_md5 FROM n GROUP BY query_id
-"""
-
-
 def report_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answers in all four templates."""
     a, s = _answers(spark, sf_dir), _sources(spark, sf_dir)
@@ -191,30 +173,6 @@ FROM a LEFT JOIN l ON l.collection_id = a.collection_id LEFT JOIN d ON d.collect
 """
 
 
-def dedupe_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused fifteen without repeated places and contents."""
-    return coverage.dedupe(fusion.rrf(_lanes(spark, sf_dir), 15)).select("query_id", "chunk_id", "rank")
-
-
-DEDUPE_WHOLE = f"""
-WITH {_FUSED}, keyed AS (SELECT query_id, chunk_id, rank, row_number() OVER (PARTITION BY query_id, document_id, CASE WHEN length(txt) >= 24 THEN txt[1:600] ELSE chunk_id::VARCHAR END ORDER BY rank) AS n FROM fused WHERE rank <= 15)
-SELECT query_id, chunk_id, rank FROM keyed WHERE n = 1
-"""
-
-
-def coverage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first document of the fused fifteen and the last are both required; what is chosen."""
-    ranked = fusion.rrf(_lanes(spark, sf_dir), 15)
-    required = ranked.groupBy("query_id").agg(F.array(F.min_by("document_id", "rank"), F.max_by("document_id", "rank")).alias("d")).select("query_id", F.explode(F.array_distinct("d")).alias("document_id"))
-    return coverage.select(ranked, required, 5)[0].select("query_id", "chunk_id", "document_id", "final_rank")
-
-
-COVERAGE_WHOLE = f"""
-WITH {_FUSED}, fifteen AS (SELECT * FROM fused WHERE rank <= 15), final AS (SELECT query_id, max_by(document_id, rank) AS d FROM fifteen GROUP BY query_id),
-held AS (SELECT x.query_id, min(x.rank) AS best FROM fifteen x JOIN final y ON y.query_id = x.query_id AND x.document_id = y.d GROUP BY ALL)
-SELECT x.query_id, chunk_id, document_id, least(rank, 5)::INTEGER AS final_rank FROM fifteen x JOIN held y ON y.query_id = x.query_id WHERE (best <= 5 AND rank <= 5) OR (best > 5 AND (rank <= 4 OR rank = best))
-"""
-
 QUERIES = {name: (globals()[name], globals()[name.upper()]) for name in (
-    "missing_required response_guard supported risk_reports_whole report_templates rendered_sources asked_roles blocks_and_json private_transcript quality_gates fusion_comparison existence_answer dedupe_whole coverage_whole"
+    "missing_required response_guard supported report_templates rendered_sources asked_roles blocks_and_json private_transcript quality_gates fusion_comparison existence_answer"
 ).split()}

@@ -249,13 +249,26 @@ def dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.dedupe(fusion.rrf(_lanes(spark, sf_dir), 15)).select("query_id", "chunk_id", "rank")
 
 
+DEDUPE_GREEDY = f"""
+WITH {_FUSED}, keyed AS (SELECT query_id, chunk_id, rank, row_number() OVER (PARTITION BY query_id, document_id, CASE WHEN length(txt) >= 24 THEN txt[1:600] ELSE chunk_id::VARCHAR END ORDER BY rank) AS n FROM fused WHERE rank <= 15)
+SELECT query_id, chunk_id, rank FROM keyed WHERE n = 1
+"""
+
+
 def coverage_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last document of the fused fifteen and the first are both required; what is chosen."""
+    """The first document of the fused fifteen and the last are both required; what is chosen."""
     ranked = fusion.rrf(_lanes(spark, sf_dir), 15)
     required = ranked.groupBy("query_id").agg(F.array(F.min_by("document_id", "rank"), F.max_by("document_id", "rank")).alias("d")).select("query_id", F.explode(F.array_distinct("d")).alias("document_id"))
     return coverage.select(ranked, required, 5)[0].select("query_id", "chunk_id", "document_id", "final_rank")
 
 
+COVERAGE_SELECT = f"""
+WITH {_FUSED}, fifteen AS (SELECT * FROM fused WHERE rank <= 15), final AS (SELECT query_id, max_by(document_id, rank) AS d FROM fifteen GROUP BY query_id),
+held AS (SELECT x.query_id, min(x.rank) AS best FROM fifteen x JOIN final y ON y.query_id = x.query_id AND x.document_id = y.d GROUP BY ALL)
+SELECT x.query_id, chunk_id, document_id, least(rank, 5)::INTEGER AS final_rank FROM fifteen x JOIN held y ON y.query_id = x.query_id WHERE (best <= 5 AND rank <= 5) OR (best > 5 AND (rank <= 4 OR rank = best))
+"""
+
+
 def document_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions that name a file, matched to the documents of their collection."""
     named = F.concat(F.lit("What does "), "collection_id", F.lit("-"), (F.col("query_id") * 20 + F.col("query_id") % 20).cast("string"), F.when(F.col("query_id") % 2 == 0, F.lit(".txt")).otherwise(F.lit(" text file")), F.lit(" say?"))
@@ -301,8 +314,8 @@ QUERIES = {
     "weighted_fusion": (weighted_fusion, WEIGHTED_FUSION),
     "balance": (balance, BALANCE),
     "rescue": (rescue, RESCUE),
-    "dedupe_greedy": (dedupe_greedy, None),
-    "coverage_select": (coverage_select, None),
+    "dedupe_greedy": (dedupe_greedy, DEDUPE_GREEDY),
+    "coverage_select": (coverage_select, COVERAGE_SELECT),
     "document_match": (document_match, DOCUMENT_MATCH),
     "inventory_answer": (inventory_answer, INVENTORY_ANSWER),
 }

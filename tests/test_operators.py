@@ -194,8 +194,8 @@ def test_existence(spark):
     d = spark.createDataFrame([(1, "c", "annual report.pdf"), (2, "c", "notes.txt")], "document_id int, c string, filename string")
     got = {r["query_id"]: r["answer"] for r in matching.existence_answer(q, d, ["c"]).collect()}
     assert got == {
-        1: "Yes. I found `annual report.pdf`.", 2: "I found PDFs in this workspace, including `annual report.pdf`, but I do not see one matching 'river map'.", 3: "I do not see a CSV file or spreadsheet in this workspace.".replace("a CSV file or spreadsheet", "a matching file"),
-        4: "I do not see any uploaded documents in this workspace yet.", 6: "I found a similar document title, `annual report.pdf`, but I do not see a DOCX file matching 'annual report'.", 7: "I do not see a matching `zebra` in this workspace.",
+        1: "Yes. I found `annual report.pdf`.", 2: "I found PDFs in this workspace, including `annual report.pdf`, but I do not see one matching 'river map'.", 3: "I do not see a CSV file in this workspace.",
+        4: "I do not see any uploaded documents in this workspace yet.", 6: "I found a similar document title, `annual report.pdf`, but I do not see a DOCX file matching 'an annual report'.", 7: "I do not see a matching `zebra` in this workspace.",
     }
 
 
