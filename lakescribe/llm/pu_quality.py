@@ -25,8 +25,8 @@ from .ngrams import hashed, parts
 POSITIVES, UNLABELLED = 8_000, 16_000
 HIDDEN, ROUNDS, RATE, SEED = 16, 400, 0.02, 7
 THRESHOLD = 0.3
-#: Hashed n-grams: sizes, and bits of the hash.
-SIZES, BITS = (3, 4), 8
+#: Hashed n-grams: sizes, bits of the hash, and how many are a small number of them.
+SIZES, BITS, FEW = (3, 4), 8, 3000
 
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n", b".", b",", b"!", b"?", b"|", b"#*$%&", b"<>[]{}()", b"/\\@_=+~^`", b":;'\"-", bytes(range(128, 192)), bytes(range(192, 256))]
 _KIND = np.full(256, len(_KINDS))
@@ -64,12 +64,15 @@ N_FEATURES = N_SHARES + (1 << BITS)
 
 
 def grams(text: str | None) -> np.ndarray:
-    """The hashed n-grams of a whole text's lower-cased bytes: roots of their counts, of length 1; of an empty text zeros."""
+    """The hashed n-grams of a whole text's lower-cased bytes: roots of their shares; of an empty text zeros.
+
+    FEW more that are none are counted, so a short text, whose shares are mostly chance, has less to say by them.
+    """
     data, out = (text or "").lower().encode(), np.zeros(1 << BITS)
     for part in parts(data, max(SIZES)) if data else ():
         for h in hashed(part, SIZES, BITS):
             out += np.bincount(h, minlength=1 << BITS)
-    return np.sqrt(out / max(out.sum(), 1))
+    return np.sqrt(out / (out.sum() + FEW))
 
 
 def features(texts: Iterator[str | None]) -> np.ndarray:

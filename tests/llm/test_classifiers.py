@@ -8,7 +8,7 @@ import pytest
 from lakescribe.llm import language_id, pu_quality, toxicity
 from lakescribe.llm.common import at_most, bounded_sample
 
-SF = "/root/testdata/sf0.01"
+SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 given = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables aren't here")
 
 
@@ -33,10 +33,11 @@ def test_quality(spark):
     assert found["score"].between(0, 1).all()
 
 
-@given
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="the given tables aren't here")
 def test_toxicity(spark):
-    found = toxicity.op8_toxicity(spark, SF).toPandas().set_index("doc_id")
-    both = found[found["held_out"]].join(_labels(spark), how="inner")
+    """Of the larger tables, as the smaller ones hold out 14 toxic texts only."""
+    found = toxicity.op8_toxicity(spark, LARGER).toPandas().set_index("doc_id")
+    both = found[found["held_out"]].join(spark.read.parquet(f"{LARGER}/labels.parquet").toPandas().set_index("doc_id"), how="inner")
     caught, flagged = both[both["toxic"] == 1]["predicted"].mean(), both[both["predicted"] == 1]["toxic"].mean()
     assert caught > 0.7 and flagged > 0.85, (caught, flagged)
     assert found["score"].between(0, 1).all()

@@ -160,7 +160,7 @@ def plain_features(text: str) -> list[float]:
     else:
         shares = [0.0] * (size - 1) + [1.0]
     counts = grams(text.lower().encode(), pu_quality.SIZES, pu_quality.BITS)
-    total = max(sum(counts.values()), 1)
+    total = sum(counts.values()) + pu_quality.FEW
     return shares + [math.sqrt(counts.get(k, 0) / total) for k in range(1 << pu_quality.BITS)]
 
 
