@@ -49,7 +49,7 @@ def test_samples_are_bounded(spark):
     for bound in (10, 300):
         assert bounded_sample(docs, bound, "doc_id").count() <= 3 * bound
     assert at_most(docs, 100).count() <= 200 and at_most(docs, 4000).count() == 4000
-    labels = spark.range(4000).selectExpr("id AS doc_id", "1 AS quality", "cast(id % 2 AS int) AS toxic")
+    labels = spark.range(4000).selectExpr("id AS doc_id", "1 AS quality", "if(id % 3 = 0, 1, 0) AS toxic")
     assert pu_quality.fit(docs, labels, 50, 50) is not None and language_id.fit(docs, 20) is not None and toxicity.fit(docs, labels, 20, 20) is not None
 
 
