@@ -189,7 +189,7 @@ def verhoeff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("c_custkey").agg(F.count_if(pii.is_valid_aadhaar(F.col("number"))).alias("n_valid"), F.count_if(pii.is_valid_aadhaar(F.col("number")) != found).alias("n_apart"))
 
 
-VERHOEFF = "SELECT c_custkey, 1 AS n_valid, 0 AS n_apart FROM customer"
+VERHOEFF = "SELECT c_custkey, 1::BIGINT AS n_valid, 0::BIGINT AS n_apart FROM customer"
 
 QUERIES = {name: (globals()[name], globals()[name.upper()]) for name in (
     "pii_values pii_places pii_masked pii_entities pii_numbers pii_restored pii_questions pii_maps pii_left pii_unknown pii_projection document_aliases custom_patterns verhoeff"
