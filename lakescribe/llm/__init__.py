@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, language_id, media, packing, prefix_bpe, pu_quality, quality_rules, simhash, token_counts, toxicity
+from . import hard_negatives, html_extract, language_id, media, merge_rounds, packing, prefix_bpe, pu_quality, quality_rules, simhash, token_counts, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_lossless_webp": media.op9_lossless_webp,
         "op10_html_extraction": html_extract.op10_html_extraction,
+        "op11_sentencepiece": merge_rounds.op11_sentencepiece,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
