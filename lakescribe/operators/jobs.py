@@ -2,30 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import files
-from . import chunking, coverage, fusion, keyword, pii, sanitize, topk, units
+from . import chunking, coverage, extraction, fusion, keyword, pii, sanitize, topk
 
 
-def ingest(docs: DataFrame, secret: str, most_chunks: int = chunking.MOST) -> tuple[DataFrame, DataFrame]:
-    """(chunks, statuses) of documents (document_id, user_id, collection_id, filename, text, processing_mode).
+def process(docs: DataFrame, most_chunks: int = chunking.MOST, extractors: dict | None = None) -> DataFrame:
+    """A row for each document with what became of it: document_id, user_id, collection_id, filename, processing_mode, kind,
+    status, failed_stage, error, n_units, char_count, word_count, n_chunks, units, chunks.
 
-    A document fails at the first stage that it doesn't pass: validating (kind of file, no text), chunking (more than most
-    chunks). Only chunks of ready documents come out.
+    docs: those of the first five, and content (binary) or text, and mime_type where it is known. Stages in order, of which
+    the first that a document doesn't pass is its failed_stage: validating (name, size, first bytes, characters, too little
+    in a text file), extracting (markup that isn't safe, a file its extractor can't read, too little or too much in it),
+    chunking (no chunk, or more than most_chunks). units are cleaned; chunks: unit_index, chunk_part, content. A table's
+    rows stay together. A document is worked on where it is read: no shuffle, and a bad file fails its row alone.
     """
-    checked = docs.withColumn("_kind", files.kind(F.col("filename"))).withColumn("_text", sanitize.clean(F.coalesce(F.col("text"), F.lit(""))))
-    bad = F.when(F.col("_kind").isNull(), "unsupported_type").when(F.trim("_text") == "", "no_text")
-    checked = checked.withColumn("_error", bad)
     own = ["document_id", "user_id", "collection_id", "filename", "processing_mode"]
-    cut = chunking.chunk_units(units.from_text(checked.where("_error is null").select(*own, "_text"), own, "_text"), own, most=most_chunks)
-    counts = cut.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
-    statuses = checked.select("document_id", "_error").join(counts, "document_id", "left")
-    error = F.coalesce("_error", F.when(F.coalesce("n_chunks", F.lit(0)) == 0, "no_text").when(F.col("n_chunks") > most_chunks, "too_many_chunks"))
-    statuses = statuses.select("document_id", F.when(error.isNull(), "ready").otherwise("failed").alias("status"), F.when(error == "too_many_chunks", "chunking").when(error.isNotNull(), "validating").alias("failed_stage"), error.alias("error"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
-    good = cut.where("not failed").select(*own, "chunk_index", "content", "line_start", "line_end")
-    return pii.project_chunks(good, docs.select("document_id", "user_id", "processing_mode").distinct(), secret), statuses
+    content = F.col("content") if "content" in docs.columns else F.col("text").cast("binary")
+    mime = F.col("mime_type") if "mime_type" in docs.columns else F.lit(None).cast("string")
+    read = extraction.validated(docs.select(*own, content.alias("content"), mime.alias("mime_type")), extractors)
+    found = extraction.extracted(read, extractors, wanted=F.col("invalid").isNull())
+    cleaned = F.transform("units", lambda u: u.withField("text", sanitize.clean(u["text"])))
+    known = extraction.judged(found.withColumn("units", cleaned).drop("content"), extractors)
+
+    def parts(unit: Column, k: Column) -> Column:
+        texts = F.when(unit["block_type"] == "table_row", F.array(F.trim(unit["text"]))).otherwise(chunking.windows(unit["text"]))
+        return F.transform(texts, lambda x, p: F.struct(k.alias("unit_index"), p.alias("chunk_part"), x.alias("content")))
+
+    chunks = F.filter(F.flatten(F.transform("units", parts)), lambda c: c["content"] != "")
+    cut = known.withColumn("chunks", F.when(F.col("error").isNull(), chunks)).withColumn("n_chunks", F.coalesce(F.size("chunks"), F.lit(0)).cast("long"))
+    late = F.when(F.col("error").isNull(), F.when(F.col("n_chunks") > most_chunks, "too_many_chunks").when(F.col("n_chunks") == 0, "no_chunks"))
+    cut = cut.withColumn("failed_stage", F.when(late.isNotNull(), "chunking").otherwise(F.col("failed_stage"))).withColumn("error", F.coalesce("error", late))
+    return cut.select(*own, "kind", F.when(F.col("error").isNull(), "ready").otherwise("failed").alias("status"), "failed_stage", "error", "n_units", "char_count", "word_count", "n_chunks", "units", "chunks")
+
+
+def chunks_of(processed: DataFrame, secret: str) -> DataFrame:
+    """The chunks of process()'s ready documents, a row each, with their unit's provenance; the private ones masked."""
+    own = ["document_id", "user_id", "collection_id", "filename", "processing_mode", F.col("kind").alias("file_kind")]
+    rows = processed.where("status = 'ready'").select(*own, "units", F.posexplode("chunks").alias("chunk_index", "c"))
+    unit = F.col("units")[F.col("c.unit_index")]
+    fields = [unit[x].alias(x) for x in ("block_type", "heading_path", "location_label", "source_location", "line_start", "line_end", "row_start", "row_end", "code_language", "table_context", "title")]
+    return pii.projected(rows.select(*own[:-1], "file_kind", "chunk_index", "c.unit_index", "c.chunk_part", "c.content", *fields), secret)
+
+
+def ingest(docs: DataFrame, secret: str, most_chunks: int = chunking.MOST, extractors: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, statuses) of documents of every kind, as process() and chunks_of() say. Both come from one plan; whoever
+    writes both should write process()'s rows once and take them from there."""
+    processed = process(docs, most_chunks, extractors)
+    return chunks_of(processed, secret), processed.select("document_id", "status", "failed_stage", "error", "n_chunks")
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, semantic: DataFrame, limit: int = 5, lane: int = 20) -> DataFrame:

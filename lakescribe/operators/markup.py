@@ -1,10 +1,8 @@
-"""Units of HTML, Markdown and CSV documents; small line and tag automata, run on Arrow batches."""
+"""Units of HTML documents by a tag automaton on Arrow batches; units of the other kinds under the same names."""
 
 from __future__ import annotations
 
-import csv
 import html
-import io
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -14,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import units
+from .delimited import parse_csv  # noqa: F401
+from .markdown import markdown_units
+
 UNIT = T.ArrayType(
     T.StructType([T.StructField("block_type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("heading_path", T.ArrayType(T.StringType())), T.StructField("source_location", T.StringType()), T.StructField("code_language", T.StringType()), T.StructField("table_context", T.StringType()), T.StructField("title", T.StringType())])
 )
@@ -207,77 +209,6 @@ def html_units(page: str | None) -> list[tuple]:
     return [(u["kind"], u["text"], u["headings"], u["path"], u["language"], u["table"], p.title) for u in p.units]
 
 
-def _plain(text: str) -> str:
-    """A line of Markdown without links, images, emphasis and tags."""
-    text = re.sub(r"<[^>]+>", "", text)
-    text = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", text)
-    return re.sub(r"(\*\*|__|\*|`)(.+?)\1", r"\2", text).strip()
-
-
-def markdown_units(text: str | None) -> list[tuple]:
-    """Headings, fenced code with its language, table rows with their columns, list items, quotes and paragraphs."""
-    units: list[tuple] = []
-    headings: list[tuple[int, str]] = []
-    held: list[str] = []
-    lines = (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    path = lambda: [h for _, h in headings]
-
-    def put(kind: str, value: str, at: int, language: str | None = None, columns: str | None = None) -> None:
-        if value.strip():
-            units.append((kind, value.strip() if kind != "code" else value, path(), f"line {at + 1}", language, columns, None))
-
-    def flush(at: int) -> None:
-        if held:
-            put("paragraph", _plain(" ".join(held)), at - len(held))
-            held.clear()
-
-    def heading(level: int, value: str, at: int) -> None:
-        headings[:] = [h for h in headings if h[0] < level] + [(level, value)]
-        put("heading", value, at)
-
-    cells = lambda line: [c.strip() for c in line.strip().strip("|").split("|")]
-    k = 0
-    while k < len(lines):
-        line = lines[k]
-        fence = re.match(r"^\s{0,3}(```+|~~~+)\s*([\w+-]*)", line)
-        atx = re.match(r"^\s{0,3}(#{1,6})\s+(.*?)\s*#*\s*$", line)
-        under = lines[k + 1] if k + 1 < len(lines) else ""
-        if fence:
-            flush(k)
-            end = next((j for j in range(k + 1, len(lines)) if lines[j].strip().startswith(fence[1])), len(lines))
-            put("code", "\n".join(lines[k + 1 : end]), k, fence[2] or None)
-            k = end + 1
-            continue
-        if atx:
-            flush(k)
-            heading(len(atx[1]), _plain(atx[2]), k)
-        elif line.strip() and not held and re.match(r"^\s{0,3}(=+|-{2,})\s*$", under) and "|" not in line:
-            heading(1 if "=" in under else 2, _plain(line), k)
-            k += 2
-            continue
-        elif "|" in line and re.match(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$", under) and "|" in under:
-            flush(k)
-            columns, k = cells(line), k + 2
-            while k < len(lines) and "|" in lines[k] and lines[k].strip():
-                row = cells(lines[k])
-                put("table_row", "; ".join(f"{c}: {_plain(v)}" for c, v in zip(columns, row, strict=False)), k, None, " | ".join(columns))
-                k += 1
-            continue
-        elif re.match(r"^\s*([-*+]|\d+[.)])\s+", line):
-            flush(k)
-            put("list_item", _plain(re.sub(r"^\s*([-*+]|\d+[.)])\s+", "", line)), k)
-        elif line.lstrip().startswith(">"):
-            flush(k)
-            put("quote", _plain(line.lstrip()[1:]), k)
-        elif line.strip():
-            held.append(line.strip())
-        else:
-            flush(k)
-        k += 1
-    flush(len(lines))
-    return units
-
-
 def _exploded(docs: DataFrame, keys: list[str], column: str, make: Callable) -> DataFrame:
     @F.pandas_udf(UNIT)
     def units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -298,30 +229,32 @@ def from_html_bytes(pages: DataFrame, keys: list[str], column: str = "content")
 
 def from_markdown(docs: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
     """As from_html, of Markdown."""
-    return _exploded(docs, keys, column, markdown_units)
+    return _exploded(docs, keys, column, lambda x: [(*u[:6], None) for u in markdown_units(x)])
 
 
-def parse_csv(docs: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
-    """keys, row_index, cells (array of string): quoted and doubled quotes, any line ends, trimmed cells, blank rows left out."""
+def from_csv(docs: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
+    """keys, unit_index, block_type, text, row_start, row_end, table_context: whole rows under their columns' names."""
+    from . import extraction
 
-    def rows(text: str) -> list[list[str]]:
-        read = csv.reader(io.StringIO(text.lstrip("﻿"), newline=""), skipinitialspace=True)
-        return [r for r in ([c.strip() for c in row] for row in read) if any(r)]
+    return _registered(extraction.extracted(docs.select(*keys, F.lit("csv").alias("_kind"), F.col(column).cast("binary").alias("_content")), kind="_kind", content="_content"), keys)
+
+
+def from_text(docs: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
+    """keys, unit_index, block_type, text, line_start, line_end: lines, as units.from_text."""
+    return units.from_text(docs, keys, column).withColumn("block_type", F.lit("text"))
 
-    @F.pandas_udf("array<array<string>>")
-    def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for values in batches:
-            yield values.map(rows)
 
-    return docs.where(F.col(column).isNotNull()).select(*keys, F.posexplode(parsed(F.col(column))).alias("row_index", "cells"))
+def _registered(found: DataFrame, keys: list[str]) -> DataFrame:
+    return found.select(*keys, F.posexplode("units").alias("unit_index", "u")).select(*keys, "unit_index", "u.block_type", "u.text", "u.source_location", "u.row_start", "u.row_end", "u.table_context")
 
 
 #: kind of file -> what makes its units; users may add their own.
-EXTRACTORS: dict[str, Callable[[DataFrame, list[str], str], DataFrame]] = {"html": from_html, "markdown": from_markdown}
+EXTRACTORS: dict[str, Callable[[DataFrame, list[str], str], DataFrame]] = {"html": from_html, "markdown": from_markdown, "text": from_text, "csv": from_csv}
 
 
 def extract(docs: DataFrame, keys: list[str], kind: str = "kind", column: str = "text", extractors: dict[str, Callable] | None = None) -> DataFrame:
-    """Units of all documents, each kind by its extractor (EXTRACTORS, or the caller's); kinds without one give none."""
+    """Units of all documents, each kind by its extractor (EXTRACTORS, or the caller's), a scan of docs for each; kinds without
+    one give none. extraction.extracted() makes one pass for all kinds and says of each document why it has no units."""
     out = None
     for name, make in (extractors or EXTRACTORS).items():
         own = make(docs.where(F.col(kind) == name), keys, column)

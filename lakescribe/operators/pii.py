@@ -296,9 +296,14 @@ def unknown_tokens(answers: DataFrame, allowed: str = "allowed", text: str = "te
 def project_chunks(chunks: DataFrame, documents: DataFrame, secret: str) -> DataFrame:
     """chunks with provider_safe_content, embedding_projection and embedding_text by their document's mode."""
     c = chunks.drop("processing_mode", "user_id").join(documents.select("document_id", "user_id", "processing_mode"), "document_id")
+    return projected(c, secret)
+
+
+def projected(chunks: DataFrame, secret: str) -> DataFrame:
+    """project_chunks of chunks that have their document's user_id and processing_mode."""
     private = F.col("processing_mode") == "privacy_minimised"
     masked = mask(F.when(private, F.col("content")), scope_id(F.col("user_id"), F.col("document_id")), secret)
-    c = c.withColumn("provider_safe_content", masked)
+    c = chunks.withColumn("provider_safe_content", masked)
     return c.select("*", F.when(private, "privacy_minimised").otherwise("original").alias("embedding_projection"), F.when(private, F.col("provider_safe_content")).otherwise(F.col("content")).alias("embedding_text"))
 
 

@@ -11,7 +11,7 @@ from ..functions.text import count_words
 
 MOST_PAGES, MOST_CHARACTERS, MOST_UNITS = 500, 1_500_000, 20_000
 #: Least characters and words of readable content by kind.
-LEAST_CONTENT = {"text": (10, 2), "html": (10, 2), "markdown": (10, 2), "csv": (3, 1), "docx": (20, 5), "pdf": (20, 5), "xlsx": (3, 1)}
+LEAST_CONTENT = {"text": (10, 2), "html": (10, 2), "markdown": (10, 1), "csv": (10, 1), "docx": (20, 5), "pdf": (20, 5), "xlsx": (3, 1)}
 
 
 def check_rows(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:

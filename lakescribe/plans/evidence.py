@@ -321,8 +321,10 @@ def ingest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 INGEST_JOB = r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
 u AS (SELECT doc_id, k // 80 AS u, len(list_filter(string_split_regex(string_agg(line, ' '), '\s+'), lambda x: x <> '')) AS n FROM lines GROUP BY ALL),
-c AS (SELECT doc_id, sum(CASE WHEN n = 0 THEN 0 WHEN n <= 384 THEN 1 ELSE ceil((n - 384) / 346) + 1 END)::BIGINT AS n_chunks FROM u GROUP BY doc_id)
-SELECT doc_id AS document_id, CASE WHEN n_chunks BETWEEN 1 AND 200 THEN 'ready' ELSE 'failed' END AS status, CASE WHEN n_chunks = 0 THEN 'validating' WHEN n_chunks > 200 THEN 'chunking' END AS failed_stage, CASE WHEN n_chunks = 0 THEN 'no_text' WHEN n_chunks > 200 THEN 'too_many_chunks' END AS error, n_chunks FROM c
+f AS (SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS l, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM documents),
+c AS (SELECT doc_id, CASE WHEN any_value(l) = 0 THEN 'no_text' WHEN any_value(l) < 10 OR any_value(w) < 2 THEN 'not_enough_content' END AS short, sum(CASE WHEN n = 0 THEN 0 WHEN n <= 384 THEN 1 ELSE ceil((n - 384) / 346) + 1 END)::BIGINT AS n_chunks FROM u JOIN f USING (doc_id) GROUP BY doc_id)
+SELECT doc_id AS document_id, CASE WHEN short IS NULL AND n_chunks <= 200 THEN 'ready' ELSE 'failed' END AS status, CASE WHEN short IS NOT NULL THEN 'validating' WHEN n_chunks > 200 THEN 'chunking' END AS failed_stage,
+  CASE WHEN short IS NOT NULL THEN short WHEN n_chunks > 200 THEN 'too_many_chunks' END AS error, CASE WHEN short IS NULL THEN n_chunks ELSE 0 END AS n_chunks FROM c
 """
 
 
@@ -333,6 +335,53 @@ def ingest_job_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statuses.join(texts, "document_id", "left")
 
 
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file about each part, of twelve sorts: five that are read, the others with one fault each."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    sorts = [
+        (".html", F.concat(F.lit("<head><title>T</title><script>x()</script></head><h1>"), "p_brand", F.lit("</h1><p>"), "p_name", F.lit("</p><p hidden>secret</p><table><tr><td>"), key, F.lit("<td>"), size, F.lit("</table>"))),
+        (".md", F.concat(F.lit("# "), "p_brand", F.lit("\n\n**"), "p_name", F.lit("**\n\n| key | size |\n| --- | --- |\n| "), key, F.lit(" | "), size, F.lit(" |\n\n<script>\nx()\n</script>\n"))),
+        (".csv", F.concat(F.lit("key,\"the \"\"name\"\"\"\r\n"), key, F.lit(",\""), "p_name", F.lit(",\nx\"\r\n,\r\n"), size, F.lit("\r\n"))),
+        (".txt", F.concat(F.lit("Part\x07 "), "p_name", F.repeat(F.lit("\nline"), 100))),
+        (".html", F.concat(F.lit("<p>"), "p_name", F.lit("<!DOCTYPE x [<!ENTITY e SYSTEM 'file:///x'>]>"))),
+        (".exe", F.col("p_name")),
+        (".txt", F.lit("x")),
+        (".pdf", F.lit("abc")),
+        (".csv", F.lit("only,names\n")),
+        (".md", F.repeat(F.lit("word "), 1800)),
+        (".md", F.lit("")),
+        (".txt", F.concat(F.lit("a\x00b "), "p_name")),
+    ]
+    sort = F.col("p_partkey") % len(sorts)
+    name, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (ending, body) in enumerate(sorts):
+        name, text = F.when(sort == k, F.concat(F.lit("part"), key, F.lit(ending))).otherwise(name), F.when(sort == k, body).otherwise(text)
+    mode = F.when(F.col("p_partkey") % 2 == 0, "privacy_minimised").otherwise("standard")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_id"), F.lit("u1").alias("user_id"), F.lit("c1").alias("collection_id"), name.alias("filename"), mode.alias("processing_mode"), text.cast("binary").alias("content"))
+
+
+def ingest_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X13, U1 over files of every kind, as bytes: what became of each and the chunks of those that are ready, five at most."""
+    done = jobs.process(_uploads(spark, sf_dir), most_chunks=5)
+    rows = done.select("document_id", "kind", "status", "failed_stage", "error", "n_units", F.posexplode_outer(F.when(F.col("status") == "ready", F.col("chunks"))).alias("chunk_index", "c"), "units")
+    unit = F.col("units")[F.col("c.unit_index")]
+    return rows.select("document_id", "kind", "status", "failed_stage", "error", "n_units", "chunk_index", unit["block_type"].alias("block_type"), unit["location_label"].alias("location_label"), F.array_join(unit["heading_path"], " > ").alias("headings"), F.col("c.content").alias("content"))
+
+
+INGEST_KINDS = r"""
+WITH p AS (SELECT p_partkey AS k, (p_partkey % 12)::INTEGER AS s, p_brand AS b, regexp_replace(trim(p_name), '\s+', ' ', 'g') AS n, p_partkey::VARCHAR AS key, p_size::VARCHAR AS size FROM part),
+read AS (SELECT k, s, unnest(CASE s
+  WHEN 0 THEN [{'t': 'heading', 'l': 'Heading: ' || b, 'h': b, 'c': b}, {'t': 'paragraph', 'l': '/html[1]/body[2]/p[2]', 'h': b, 'c': n}, {'t': 'table_row', 'l': '/html[1]/body[2]/table[4]/tr[1]', 'h': b, 'c': key || ' ' || size}]
+  WHEN 1 THEN [{'t': 'heading', 'l': 'Heading: ' || b, 'h': b, 'c': b}, {'t': 'paragraph', 'l': 'Line 3', 'h': b, 'c': n}, {'t': 'table_row', 'l': 'Line 7', 'h': b, 'c': 'key: ' || key || '; size: ' || size}, {'t': 'paragraph', 'l': 'Line 10', 'h': b, 'c': '[unsafe embedded HTML removed]'}]
+  WHEN 2 THEN [{'t': 'table_row', 'l': 'Rows 2-3', 'h': NULL, 'c': 'Columns: key | the "name"' || chr(10) || 'Row 2: key: ' || key || '; the "name": ' || n || ',' || chr(10) || 'x' || chr(10) || 'Row 3: key: ' || size || '; the "name": [blank]'}]
+  WHEN 3 THEN [{'t': 'text', 'l': 'Lines 1-80', 'h': NULL, 'c': 'Part ' || n || repeat(' line', 79)}, {'t': 'text', 'l': 'Lines 81-101', 'h': NULL, 'c': 'line' || repeat(' line', 20)}]
+  END) AS x, unnest(range(CASE s WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 1 ELSE 2 END))::INTEGER AS chunk_index FROM p WHERE s < 4)
+SELECT k AS document_id, ['html', 'markdown', 'csv', 'text'][s + 1] AS kind, 'ready' AS status, NULL AS failed_stage, NULL AS error, count(*) OVER (PARTITION BY k)::INTEGER AS n_units, chunk_index, x.t AS block_type, x.l AS location_label, x.h AS headings, x.c AS content FROM read
+UNION ALL SELECT k, ['html', NULL, 'text', 'pdf', 'csv', 'markdown', 'markdown', 'text'][s - 3], 'failed', CASE s WHEN 4 THEN 'extracting' WHEN 8 THEN 'extracting' WHEN 9 THEN 'chunking' ELSE 'validating' END,
+  ['unsafe_markup', 'unsupported_type', 'not_enough_content', 'content_mismatch', 'no_text', 'too_many_chunks', 'no_text', 'binary_content'][s - 3], CASE s WHEN 6 THEN 1 WHEN 9 THEN 1 ELSE 0 END, NULL, NULL, NULL, NULL, NULL FROM p WHERE s > 3
+"""
+
+
 def retrieve_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R19 with vectors of a hashing embedder."""
     asked = questions(spark, sf_dir)
@@ -378,5 +427,5 @@ SELECT query_id, 'citation' AS kind, n FROM c WHERE n > 0 UNION ALL SELECT query
 
 QUERIES = {name: (globals()[name], globals().get(name.upper())) for name in (
     "pii_detect pii_mask pii_sequential pii_leaks luhn html_units file_kinds citations_validate citations_resolve claims risk_register obligations source_bundle risk_reports charts_parse evidence_gate prompt_chunks "
-    "passage_support eval_metrics refusals ingest_job ingest_job_chunks retrieve_job sliding_counts daily_spend inline_tokens"
+    "passage_support eval_metrics refusals ingest_job ingest_job_chunks ingest_kinds retrieve_job sliding_counts daily_spend inline_tokens"
 ).split()}
