@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import limits
+from ..streaming import limits, store
 from .common import table, workspace
 from .evidence import SECRET
 from .privacy import BARE
@@ -86,7 +86,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits.ingest(letters, f"{folder}/chunks", f"{folder}/first", SECRET, 8, available_now=True).awaitTermination()
     again = letters.where("document_id % 2 = 1").withColumn("text", F.concat(F.lit("Again. "), "text"))
     limits.ingest(again, f"{folder}/chunks", f"{folder}/second", SECRET, 8, available_now=True).awaitTermination()
-    c = spark.read.parquet(f"{folder}/chunks")
+    c = store.read(spark, f"{folder}/chunks", limits.chunk_schema(letters, SECRET))
     return c.select("document_id", "chunk_index", "embedding_projection", F.md5(F.regexp_replace("embedding_text", BARE, "]")).alias("text_md5"))
 
 
@@ -96,4 +96,26 @@ c AS (SELECT *, unnest(range(CASE WHEN len(w) <= 384 THEN 1 ELSE 2 END))::INTEGE
 SELECT document_id, chunk_index, CASE WHEN private THEN 'privacy_minimised' ELSE 'original' END AS embedding_projection, md5(array_to_string(w[chunk_index * 346 + 1:chunk_index * 346 + 384], ' ')) AS text_md5 FROM c
 """
 
-QUERIES = {name: (globals()[name], globals()[name.upper()]) for name in "stream_limiter stream_watchdog stream_duplicates stream_counts stream_ingest".split()}
+def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 with everything that may happen to a document, as one batch and then as many: events of users stand for versions of
+    documents, in any order and repeated; errors delete a document, views empty it; what is left is the last version of each."""
+    folder = workspace(spark)
+    e = _stream(spark, sf_dir, "events").select(
+        F.col("user_id").alias("document_id"), F.col("event_id").alias("event_order"), (F.col("event_type") == "error").alias("deleted"),
+        F.when(F.col("event_type") != "view", F.concat(F.lit("Version "), F.col("event_id").cast("string"), F.repeat(F.lit(" word"), (F.col("event_id") % 500).cast("int")))).otherwise("").alias("text"),
+    )
+    late, early = e.where("event_order % 3 <> 0"), e.where("event_order % 3 <> 1")  # later versions first, some of them twice
+    for name, part in (("late", late), ("early", early)):
+        limits.ingest(part, f"{folder}/chunks", f"{folder}/{name}", None, 8, available_now=True).awaitTermination()
+    c = store.read(spark, f"{folder}/chunks", limits.chunk_schema(e))
+    return c.select("document_id", "chunk_index", F.md5("content").alias("content_md5"))
+
+
+STREAM_UPSERTS = """
+WITH l AS (SELECT user_id AS document_id, max(event_id) AS v, max_by(event_type, event_id) AS t FROM events GROUP BY user_id),
+w AS (SELECT document_id, string_split('Version ' || v || repeat(' word', (v % 500)::INTEGER), ' ') AS w FROM l WHERE t NOT IN ('error', 'view')),
+c AS (SELECT *, unnest(range(CASE WHEN len(w) <= 384 THEN 1 ELSE 2 END))::INTEGER AS chunk_index FROM w)
+SELECT document_id, chunk_index, md5(array_to_string(w[chunk_index * 346 + 1:chunk_index * 346 + 384], ' ')) AS content_md5 FROM c
+"""
+
+QUERIES = {name: (globals()[name], globals()[name.upper()]) for name in "stream_limiter stream_watchdog stream_duplicates stream_counts stream_ingest stream_upserts".split()}

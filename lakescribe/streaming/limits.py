@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import chunking, pii, sanitize
-from ..operators.sinks import write_table
+from . import store
 
 
 def sliding_counts(events: DataFrame, size: str = "1 minute", slide: str = "10 seconds", limit: int = 60, late: str = "1 minute") -> DataFrame:
@@ -107,26 +106,27 @@ def chunk_stream(docs: DataFrame, secret: str | None = None) -> DataFrame:
     return cut.select("document_id", "chunk_index", "content", F.when(private, "privacy_minimised").otherwise("original").alias("embedding_projection"), F.when(private, masked).otherwise(F.col("content")).alias("embedding_text"))
 
 
+def chunk_schema(docs: DataFrame, secret: str | None = None) -> str:
+    """The columns of a table of chunk_stream()'s rows."""
+    kind = docs.schema["document_id"].dataType.simpleString()
+    return f"document_id {kind}, chunk_index int, content string" + (", embedding_projection string, embedding_text string" if secret else "")
+
+
 def ingest(docs: DataFrame, path: str, checkpoint: str, secret: str | None = None, buckets: int = 64, available_now: bool = False):
-    """A running query that keeps the chunks of arriving documents in a table at path, in the place of those it had.
+    """A running query that keeps the chunks of arriving documents in a table at path (store.read), exactly once.
 
-    The table is partitioned by a hash of document_id; a batch reads and replaces only the partitions of its documents,
-    and doing so twice gives the same.
+    Of a document's versions the last counts: by event_order (long) where docs have it, in a batch and across batches;
+    without it by batch, and in a batch by the text. A deleted one (boolean column deleted), and one without text, loses
+    its chunks. checkpoint also names the query: its batches are known by it, so that a batch that is run again does nothing.
     """
 
-    def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = chunk_stream(batch, secret).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
-        touched = [r["bucket"] for r in batch.select(F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int").alias("bucket")).distinct().collect()]  # buckets at most
-        if not touched:
-            return
-        try:
-            old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
-        except AnalysisException:  # the first batch
-            old = None
-        gone = batch.select("document_id").distinct()
-        whole = new if old is None else old.join(gone, "document_id", "left_anti").unionByName(new)
-        write_table(whole.repartition("bucket"), path, ["bucket"])
+    def put(batch: DataFrame, batch_id: int) -> None:
+        own = batch
+        if "event_order" not in batch.columns:
+            own = own.withColumn("event_order", F.lit(store.next_order(batch.sparkSession, path)))
+        if "deleted" not in batch.columns:
+            own = own.withColumn("deleted", F.lit(False))
+        store.replace(batch.sparkSession, path, own, lambda events: chunk_stream(events, secret), chunk_schema(docs, secret), checkpoint, batch_id, buckets)
 
     run = docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (run.trigger(availableNow=True) if available_now else run).start()
