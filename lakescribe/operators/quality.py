@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import count_words
+from . import numbering
 
 MOST_PAGES, MOST_CHARACTERS, MOST_UNITS = 500, 1_500_000, 20_000
 #: Least characters and words of readable content by kind.
@@ -106,7 +107,11 @@ def tenant_leaks(results: DataFrame, documents: DataFrame) -> DataFrame:
     return results.join(owners, "document_id").where(~F.col("user_id").eqNullSafe(F.col("owner_id")))
 
 
-def user_status(docs: DataFrame, status: str | None = None) -> DataFrame:
-    """docs with shown_status, newest first: uploads that are awaited show as processing. status: only these."""
+def user_status(docs: DataFrame, status: str | None = None, in_task: int = numbering.IN_TASK) -> DataFrame:
+    """docs with shown_status, and place in their collection, newest first: uploads that are awaited show as processing.
+
+    status: only these. Collections of more than in_task documents are numbered by ranges.
+    """
     out = docs.withColumn("shown_status", F.when(F.col("status") == "awaiting_upload", "processing").otherwise(F.col("status")))
-    return (out.where(F.col("shown_status") == status) if status else out).withColumn("place", F.row_number().over(Window.partitionBy("collection_id").orderBy(F.desc("created_at"), "document_id")))
+    out = out.where(F.col("shown_status") == status) if status else out
+    return numbering.row_numbers(out, ["collection_id"], [F.desc("created_at"), F.col("document_id")], "place", None, in_task).withColumn("place", F.col("place").cast("int"))

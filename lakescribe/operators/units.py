@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import fresh
 from ..functions.text import collapse, count_words
+from . import numbering
 
 LINES, PARAGRAPHS, ROWS, MOST_UNITS = 80, 12, 8, 150
 HEADING_LEVELS = 6
@@ -45,35 +46,36 @@ def from_paragraphs(docs: DataFrame, keys: list[str], text: str = "text", per_un
     )
 
 
-def table_units(rows: DataFrame, keys: list[str], order: list[str], headers: list[str], style: str = "csv", per_unit: int = ROWS, most: int = MOST_UNITS, first_row: int = 2) -> DataFrame:
+def table_units(rows: DataFrame, keys: list[str], order: list[str], headers: list[str], style: str = "csv", per_unit: int = ROWS, most: int = MOST_UNITS, first_row: int = 2, in_task: int = numbering.IN_TASK) -> DataFrame:
     """keys, unit_index, row_start, row_end, text: per_unit rows of a table, more if it would take over most units.
 
     csv: "Row n: header: value; ..."; sheet: "Row n: header=value | ...". A blank value is [blank], a blank header
-    Column i. Rows are numbered by order within keys, from first_row. A table's rows meet in one partition to be numbered.
+    Column i. Rows are numbered by order within keys, from first_row; tables of more than in_task rows by ranges.
     """
-    own = Window.partitionBy(*keys)
     between, parts = (": ", "; ") if style == "csv" else ("=", " | ")
     cells = []
     for k, name in enumerate(headers):
         value = F.trim(F.col(name).cast("string"))
         cells.append(F.concat(F.lit((name.strip() or f"Column {k + 1}") + between), F.when(value.isNull() | (value == ""), "[blank]").otherwise(value)))
-    numbered = rows.select(*keys, F.concat_ws(parts, *cells).alias("_cells"), F.row_number().over(own.orderBy(*order)).alias("_r"), F.count("*").over(own).alias("_n"))
+    by = [f"_o{k}" for k in range(len(order))]
+    said = rows.select(*keys, F.concat_ws(parts, *cells).alias("_cells"), *[F.col(o).alias(n) for o, n in zip(order, by, strict=True)])
+    numbered = numbering.row_numbers(said, keys, by, "_r", "_n", in_task)
     size = F.when(F.ceil(F.col("_n") / per_unit) > most, F.ceil(F.col("_n") / most)).otherwise(F.lit(per_unit))
-    placed = numbered.select(*keys, F.floor((F.col("_r") - 1) / size).cast("int").alias("unit_index"), (F.col("_r") + (first_row - 1)).alias("_row"), "_cells")
+    placed = numbered.select(*keys, F.floor((F.col("_r") - 1) / size).cast("int").alias("unit_index"), (F.col("_r") + (first_row - 1)).cast("int").alias("_row"), "_cells")
     text = F.transform(F.sort_array(F.collect_list(F.struct("_row", "_cells"))), lambda x: F.concat(F.lit("Row "), x["_row"].cast("string"), F.lit(": "), x["_cells"]))
     return placed.groupBy(*keys, "unit_index").agg(F.min("_row").alias("row_start"), F.max("_row").alias("row_end"), F.array_join(text, "\n").alias("text"))
 
 
-def heading_path(blocks: DataFrame, keys: list[str], order: str, level: str = "level", text: str = "text") -> DataFrame:
+def heading_path(blocks: DataFrame, keys: list[str], order: str, level: str = "level", text: str = "text", in_task: int = numbering.IN_TASK) -> DataFrame:
     """blocks with heading_path: the headings above each block. level: 1 to 6 for a heading, null for other blocks.
 
     A heading ends all of its own level and below, so of each level the last heading counts unless a higher one came since.
+    The last of each level is a running maximum by order, so documents of more than in_task blocks are worked on by
+    ranges, each with the headings that were open before it.
     """
-    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    h, out = fresh(blocks, *[f"h{k}" for k in range(1, HEADING_LEVELS + 1)]), blocks
-    for k in range(HEADING_LEVELS):
-        at = F.when(F.col(level) == k + 1, F.struct(F.col(order).alias("at"), F.col(text).alias("text")))
-        out = out.withColumn(h[k], F.last(at, ignorenulls=True).over(so_far))
+    h = fresh(blocks, *[f"h{k}" for k in range(1, HEADING_LEVELS + 1)])
+    values = {h[k]: F.when(F.col(level) == k + 1, F.struct(F.col(order).alias("at"), F.col(text).alias("text"))) for k in range(HEADING_LEVELS)}
+    out = numbering.running(blocks, keys, order, values, F.max, in_task)
     higher = lambda k: F.greatest(F.lit(None), F.lit(None), *[F.col(f"{h[j]}.at") for j in range(k)])
     live = [F.when(F.coalesce(F.col(f"{h[k]}.at") > higher(k), F.col(h[k]).isNotNull()), F.col(f"{h[k]}.text")) for k in range(HEADING_LEVELS)]
     return out.withColumn("heading_path", F.array_compact(F.array(*live))).drop(*h)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from tempfile import mkdtemp
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,17 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.query import STOP_WORDS
 from ..operators import chunking
+from ..sources.shared import shared_folder
+
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder for what a query writes and reads again, in the one that the cluster shares (spark.checkpoint.dir).
-
-    Where that is unset a session of one machine gets a temporary folder; on a cluster it is a ValueError.
-    """
-    sc = spark.sparkContext
-    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared or mkdtemp(prefix='spark-')}/lakescribe-{uuid4().hex}"
+    """A new folder for what a query writes and reads again, in the one that the cluster shares."""
+    return f"{shared_folder(spark)}/lakescribe-{uuid4().hex}"
 
 
 SOURCES = 20  # questions are dealt to as many collections

@@ -336,28 +336,29 @@ def ingest_job_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file about each part, of twelve sorts: five that are read, the others with one fault each."""
-    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    """A file about each document, of twelve sorts: four that are read, the others with one fault each."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("brand"), F.concat(F.lit("Text in "), F.coalesce("lang", F.lit("none"))).alias("name"), F.coalesce("n_chars", F.lit(0)).cast("string").alias("size"))
+    key, size = F.col("doc_id").cast("string"), F.col("size")
     sorts = [
-        (".html", F.concat(F.lit("<head><title>T</title><script>x()</script></head><h1>"), "p_brand", F.lit("</h1><p>"), "p_name", F.lit("</p><p hidden>secret</p><table><tr><td>"), key, F.lit("<td>"), size, F.lit("</table>"))),
-        (".md", F.concat(F.lit("# "), "p_brand", F.lit("\n\n**"), "p_name", F.lit("**\n\n| key | size |\n| --- | --- |\n| "), key, F.lit(" | "), size, F.lit(" |\n\n<script>\nx()\n</script>\n"))),
-        (".csv", F.concat(F.lit("key,\"the \"\"name\"\"\"\r\n"), key, F.lit(",\""), "p_name", F.lit(",\nx\"\r\n,\r\n"), size, F.lit("\r\n"))),
-        (".txt", F.concat(F.lit("Part\x07 "), "p_name", F.repeat(F.lit("\nline"), 100))),
-        (".html", F.concat(F.lit("<p>"), "p_name", F.lit("<!DOCTYPE x [<!ENTITY e SYSTEM 'file:///x'>]>"))),
-        (".exe", F.col("p_name")),
+        (".html", F.concat(F.lit("<head><title>T</title><script>x()</script></head><h1>"), "brand", F.lit("</h1><p>"), "name", F.lit("</p><p hidden>secret</p><table><tr><td>"), key, F.lit("<td>"), size, F.lit("</table>"))),
+        (".md", F.concat(F.lit("# "), "brand", F.lit("\n\n**"), "name", F.lit("**\n\n| key | size |\n| --- | --- |\n| "), key, F.lit(" | "), size, F.lit(" |\n\n<script>\nx()\n</script>\n"))),
+        (".csv", F.concat(F.lit("key,\"the \"\"name\"\"\"\r\n"), key, F.lit(",\""), "name", F.lit(",\nx\"\r\n,\r\n"), size, F.lit("\r\n"))),
+        (".txt", F.concat(F.lit("Part\x07 "), "name", F.repeat(F.lit("\nline"), 100))),
+        (".html", F.concat(F.lit("<p>"), "name", F.lit("<!DOCTYPE x [<!ENTITY e SYSTEM 'file:///x'>]>"))),
+        (".exe", F.col("name")),
         (".txt", F.lit("x")),
         (".pdf", F.lit("abc")),
         (".csv", F.lit("only,names\n")),
         (".md", F.repeat(F.lit("word "), 1800)),
         (".md", F.lit("")),
-        (".txt", F.concat(F.lit("a\x00b "), "p_name")),
+        (".txt", F.concat(F.lit("a\x00b "), "name")),
     ]
-    sort = F.col("p_partkey") % len(sorts)
-    name, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+    sort = F.col("doc_id") % len(sorts)
+    filename, text = F.lit(None).cast("string"), F.lit(None).cast("string")
     for k, (ending, body) in enumerate(sorts):
-        name, text = F.when(sort == k, F.concat(F.lit("part"), key, F.lit(ending))).otherwise(name), F.when(sort == k, body).otherwise(text)
-    mode = F.when(F.col("p_partkey") % 2 == 0, "privacy_minimised").otherwise("standard")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_id"), F.lit("u1").alias("user_id"), F.lit("c1").alias("collection_id"), name.alias("filename"), mode.alias("processing_mode"), text.cast("binary").alias("content"))
+        filename, text = F.when(sort == k, F.concat(F.lit("file"), key, F.lit(ending))).otherwise(filename), F.when(sort == k, body).otherwise(text)
+    mode = F.when(F.col("doc_id") % 2 == 0, "privacy_minimised").otherwise("standard")
+    return d.select(F.col("doc_id").alias("document_id"), F.lit("u1").alias("user_id"), F.lit("c1").alias("collection_id"), filename.alias("filename"), mode.alias("processing_mode"), text.cast("binary").alias("content"))
 
 
 def ingest_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,7 +370,7 @@ def ingest_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INGEST_KINDS = r"""
-WITH p AS (SELECT p_partkey AS k, (p_partkey % 12)::INTEGER AS s, p_brand AS b, regexp_replace(trim(p_name), '\s+', ' ', 'g') AS n, p_partkey::VARCHAR AS key, p_size::VARCHAR AS size FROM part),
+WITH p AS (SELECT doc_id AS k, (doc_id % 12)::INTEGER AS s, coalesce(source, 'none') AS b, 'Text in ' || coalesce(lang, 'none') AS n, doc_id::VARCHAR AS key, coalesce(n_chars, 0)::VARCHAR AS size FROM documents),
 read AS (SELECT k, s, unnest(CASE s
   WHEN 0 THEN [{'t': 'heading', 'l': 'Heading: ' || b, 'h': b, 'c': b}, {'t': 'paragraph', 'l': '/html[1]/body[2]/p[2]', 'h': b, 'c': n}, {'t': 'table_row', 'l': '/html[1]/body[2]/table[4]/tr[1]', 'h': b, 'c': key || ' ' || size}]
   WHEN 1 THEN [{'t': 'heading', 'l': 'Heading: ' || b, 'h': b, 'c': b}, {'t': 'paragraph', 'l': 'Line 3', 'h': b, 'c': n}, {'t': 'table_row', 'l': 'Line 7', 'h': b, 'c': 'key: ' || key || '; size: ' || size}, {'t': 'paragraph', 'l': 'Line 10', 'h': b, 'c': '[unsafe embedded HTML removed]'}]
