@@ -111,3 +111,35 @@ def test_odd_rows(spark, model):
     found = h.extract_text(pages, model).collect()
     assert len(found) == 6 and next(r for r in found if r["page_id"] == 1)["text"] == ""
     assert h.extract_text(pages.where("false"), h.fit(pages.where("false"))).count() == 0
+
+
+WHOLE = [
+    ("<article><h1>T</h1><p>A story of some words, and more.</p><table><tr><td>Year<td>Value<tr><td>cell one<td>cell two</table></article>", "T\nA story of some words, and more.\nYear\nValue\ncell one\ncell two"),
+    ("<article><p>A story of words.</p><div class='share'>In this section we share our findings, with care.</div><div class='banner'>A long sentence of the story, which goes on.</div></article>", "A story of words.\nIn this section we share our findings, with care.\nA long sentence of the story, which goes on."),
+    ("<article><p>Story words, with more.</p><div class=share><a href=1>Twitter</a> <a href=2>Facebook</a></div></article>", "Story words, with more."),
+    ("<body><main><p>A story of words here.</p><p><a href=x>Read this</a></p></main>", "A story of words here.\nRead this"),
+    ("<p>Shown <span HIDDEN>secret words</span><span STYLE='DISPLAY:NONE'>more</span> and shown again, in words.</p><p ARIA-HIDDEN='True'>Never said, in any words.</p>", "Shown and shown again, in words."),
+    ("<p style='" + "color:red;" * 500 + "display:none'>Hidden words are here, in full.</p><p class='" + "x " * 9000 + "'>Shown words are here, in full.</p>", "Shown words are here, in full."),
+    ("<article>" + "<div>" * 520 + "<form><p>Your name, please.</p></form><b hidden>no</b><nav><p>The way home, in some words.</p></nav><p>The deep words of a story, in full.</p>" + "</div>" * 520 + "<p>And the words after it.</p></article>", "The deep words of a story, in full.\nAnd the words after it."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), WHOLE)
+def test_nothing_of_an_article_is_lost(model, page, text):
+    assert h.main_text(page, model) == text
+
+
+def _site(marked, k):
+    """A page of a site that calls its parts by names of its own."""
+    story = f"<h2>Number {k}</h2><p>Short one</p><ul><li>item {k}</li></ul>"
+    junk = f"<div class='zq-rail'><p>These are some long words beside the story, number {k}, and they go on.</p></div>"
+    return f"<body><div class='zq-top'><p>Also by us, as you know it, in full sentences.</p></div>{'<main>' if marked else ''}<div class='zq-words'>{story}</div>{'</main>' if marked else ''}{junk}</body>"
+
+
+def test_training_tells_sites_apart(spark):
+    """From marked pages of a site its pages without marks are learned; the usual weights alone get them wrong."""
+    pages = spark.createDataFrame([(k, _site(True, k)) for k in range(60)], "page_id long, html string")
+    trained, usual = h.fit(pages), h.train([])
+    right = [f"Number {k}\nShort one\nitem {k}" for k in range(20)]
+    assert [h.main_text(_site(False, k), trained) for k in range(20)] == right
+    assert all(h.main_text(_site(False, k), usual) != t for k, t in enumerate(right))
