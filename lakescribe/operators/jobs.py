@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import chunking, coverage, extraction, fusion, keyword, pii, sanitize, topk
 
 
+#: What a chunk keeps of its unit.
+PROVENANCE = ("block_type", "heading_path", "location_label", "source_location", "line_start", "line_end", "row_start", "row_end", "code_language", "table_context", "title")
+
+
 def process(docs: DataFrame, most_chunks: int = chunking.MOST, extractors: dict | None = None) -> DataFrame:
     """A row for each document with what became of it: document_id, user_id, collection_id, filename, processing_mode, kind,
     status, failed_stage, error, n_units, char_count, word_count, n_chunks, units, chunks.
@@ -15,8 +19,8 @@ def process(docs: DataFrame, most_chunks: int = chunking.MOST, extractors: dict
     docs: those of the first five, and content (binary) or text, and mime_type where it is known. Stages in order, of which
     the first that a document doesn't pass is its failed_stage: validating (name, size, first bytes, characters, too little
     in a text file), extracting (markup that isn't safe, a file its extractor can't read, too little or too much in it),
-    chunking (no chunk, or more than most_chunks). units are cleaned; chunks: unit_index, chunk_part, content. A table's
-    rows stay together. A document is worked on where it is read: no shuffle, and a bad file fails its row alone.
+    chunking (no chunk, or more than most_chunks). units are cleaned; chunks: unit_index, chunk_part, content and PROVENANCE.
+    A table's rows stay together. A document is worked on where it is read: no shuffle, and a bad file fails its row alone.
     """
     own = ["document_id", "user_id", "collection_id", "filename", "processing_mode"]
     content = F.col("content") if "content" in docs.columns else F.col("text").cast("binary")
@@ -28,7 +32,7 @@ def process(docs: DataFrame, most_chunks: int = chunking.MOST, extractors: dict
 
     def parts(unit: Column, k: Column) -> Column:
         texts = F.when(unit["block_type"] == "table_row", F.array(F.trim(unit["text"]))).otherwise(chunking.windows(unit["text"]))
-        return F.transform(texts, lambda x, p: F.struct(k.alias("unit_index"), p.alias("chunk_part"), x.alias("content")))
+        return F.transform(texts, lambda x, p: F.struct(k.alias("unit_index"), p.alias("chunk_part"), x.alias("content"), *[unit[f].alias(f) for f in PROVENANCE]))
 
     chunks = F.filter(F.flatten(F.transform("units", parts)), lambda c: c["content"] != "")
     cut = known.withColumn("chunks", F.when(F.col("error").isNull(), chunks)).withColumn("n_chunks", F.coalesce(F.size("chunks"), F.lit(0)).cast("long"))
@@ -40,10 +44,9 @@ def process(docs: DataFrame, most_chunks: int = chunking.MOST, extractors: dict
 def chunks_of(processed: DataFrame, secret: str) -> DataFrame:
     """The chunks of process()'s ready documents, a row each, with their unit's provenance; the private ones masked."""
     own = ["document_id", "user_id", "collection_id", "filename", "processing_mode", F.col("kind").alias("file_kind")]
-    rows = processed.where("status = 'ready'").select(*own, "units", F.posexplode("chunks").alias("chunk_index", "c"))
-    unit = F.col("units")[F.col("c.unit_index")]
-    fields = [unit[x].alias(x) for x in ("block_type", "heading_path", "location_label", "source_location", "line_start", "line_end", "row_start", "row_end", "code_language", "table_context", "title")]
-    return pii.projected(rows.select(*own[:-1], "file_kind", "chunk_index", "c.unit_index", "c.chunk_part", "c.content", *fields), secret)
+    # no filter on what was computed: Spark would put the whole computation in the filter's place, and again behind it
+    rows = processed.select(*own, F.posexplode_outer(F.when(F.col("status") == "ready", F.col("chunks"))).alias("chunk_index", "c")).where("chunk_index is not null")
+    return pii.projected(rows.select(*own[:-1], "file_kind", "chunk_index", "c.*"), secret)
 
 
 def ingest(docs: DataFrame, secret: str, most_chunks: int = chunking.MOST, extractors: dict | None = None) -> tuple[DataFrame, DataFrame]:

@@ -330,9 +330,11 @@ SELECT doc_id AS document_id, CASE WHEN short IS NULL AND n_chunks <= 200 THEN '
 
 def ingest_job_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X13, the whole job within the operator's own limit: each document's status with the texts of its chunks, the private ones masked; one row for a failed document."""
-    cut, statuses = jobs.ingest(_owned(spark, sf_dir), SECRET)
-    texts = cut.select("document_id", "chunk_index", "embedding_projection", F.md5("embedding_text").alias("embedding_text_md5"))
-    return statuses.join(texts, "document_id", "left")
+    done = jobs.process(_owned(spark, sf_dir))
+    rows = done.select("document_id", "user_id", "processing_mode", "status", "failed_stage", "error", "n_chunks", F.posexplode_outer(F.when(F.col("status") == "ready", F.col("chunks"))).alias("chunk_index", "c"))
+    masked = pii.projected(rows.select("*", "c.content").drop("c"), SECRET)
+    projection = F.when(F.col("chunk_index").isNotNull(), F.col("embedding_projection"))
+    return masked.select("document_id", "status", "failed_stage", "error", "n_chunks", "chunk_index", projection.alias("embedding_projection"), F.md5("embedding_text").alias("embedding_text_md5"))
 
 
 def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,9 +366,8 @@ def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X13, U1 over files of every kind, as bytes: what became of each and the chunks of those that are ready, five at most."""
     done = jobs.process(_uploads(spark, sf_dir), most_chunks=5)
-    rows = done.select("document_id", "kind", "status", "failed_stage", "error", "n_units", F.posexplode_outer(F.when(F.col("status") == "ready", F.col("chunks"))).alias("chunk_index", "c"), "units")
-    unit = F.col("units")[F.col("c.unit_index")]
-    return rows.select("document_id", "kind", "status", "failed_stage", "error", "n_units", "chunk_index", unit["block_type"].alias("block_type"), unit["location_label"].alias("location_label"), F.array_join(unit["heading_path"], " > ").alias("headings"), F.col("c.content").alias("content"))
+    rows = done.select("document_id", "kind", "status", "failed_stage", "error", "n_units", F.posexplode_outer(F.when(F.col("status") == "ready", F.col("chunks"))).alias("chunk_index", "c"))
+    return rows.select("document_id", "kind", "status", "failed_stage", "error", "n_units", "chunk_index", "c.block_type", "c.location_label", F.array_join("c.heading_path", " > ").alias("headings"), "c.content")
 
 
 INGEST_KINDS = r"""
