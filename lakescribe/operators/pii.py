@@ -283,9 +283,52 @@ def reconstruct(texts: DataFrame, mapping: DataFrame, allowed: list[str], scope:
     return texts.join(own, scope, "left").withColumn(text, F.when(F.col("_m").isNull(), F.col(text)).otherwise(back)).drop("_m")
 
 
-def leaks(payloads: DataFrame, identifiers: DataFrame, scope: str = "scope_id", text: str = "text") -> DataFrame:
-    """scope, value of original identifiers that are still in a scope's payloads; must be empty."""
-    return payloads.select(scope, F.col(text).alias("_t")).join(identifiers.select(scope, "value").distinct(), scope).where(F.contains("_t", "value")).select(scope, "value").distinct()
+#: Payloads of a scope that one task goes through, about.
+PAYLOADS = 20_000
+
+
+def leaks(payloads: DataFrame, identifiers: DataFrame, scope: str = "scope_id", text: str = "text", most: int = PAYLOADS) -> DataFrame:
+    """scope, value of original identifiers that are still in a scope's payloads; must be empty.
+
+    A scope's identifiers become one automaton (Aho-Corasick), and each of its payloads is read once, however many there
+    are to look for. Scopes of more than most payloads are shared out, each share with the identifiers. Null and empty
+    identifiers, null payloads and null scopes are left out.
+    """
+    said = payloads.where(F.col(scope).isNotNull() & F.col(text).isNotNull()).select(F.col(scope).alias("_s"), F.col(text).alias("_t"))
+    known = identifiers.where(F.col(scope).isNotNull() & (F.col("value") != "")).select(F.col(scope).alias("_s"), F.col("value").alias("_t")).distinct()
+    shares = said.groupBy("_s").agg(F.ceil(F.count("*") / most).cast("int").alias("_n"))
+    spread = shares.where("_n > 1")  # no more of these than payloads by most
+    left = known.join(shares, "_s").select("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_share"), F.lit(0).alias("_kind"), "_t")
+    share = F.pmod(F.xxhash64("_t"), F.coalesce("_n", F.lit(1))).cast("int")
+    right = said.join(spread, "_s", "left").select("_s", share.alias("_share"), F.lit(1).alias("_kind"), "_t")
+
+    def find_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        at, words, ready, seen = None, ahocorasick.Automaton(), False, set()
+        for frame in batches:
+            for place, part in frame.groupby(["_s", "_share"], sort=False):
+                if place != at:
+                    if seen:
+                        yield pd.DataFrame({"scope": at[0], "value": list(seen)})
+                    at, words, ready, seen = place, ahocorasick.Automaton(), False, set()
+                for value in part.loc[part["_kind"] == 0, "_t"]:
+                    words.add_word(value, value)
+                rows = part.loc[part["_kind"] == 1, "_t"]
+                if not len(words) or not len(rows):
+                    continue
+                if not ready:
+                    words.make_automaton()
+                    ready = True
+                for payload in rows:
+                    seen.update(value for _, value in words.iter(payload))
+        if seen:
+            yield pd.DataFrame({"scope": at[0], "value": list(seen)})
+
+    conf = int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = dict(payloads.dtypes)[scope]
+    dealt = left.unionByName(right).repartition(conf, "_s", "_share").sortWithinPartitions("_s", "_share", "_kind")
+    return dealt.mapInPandas(find_all, f"scope {kind}, value string").select(F.col("scope").alias(scope), "value").distinct()
 
 
 def unknown_tokens(answers: DataFrame, allowed: str = "allowed", text: str = "text") -> DataFrame:
