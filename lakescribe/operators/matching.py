@@ -37,16 +37,70 @@ def asked_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(_words(plain(text)), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS + KIND_WORDS) & ~F.array_contains(asked_kinds(text), w)))
 
 
-def match_documents(questions: DataFrame, documents: DataFrame, scope: list[str]) -> DataFrame:
+#: Characters of the pieces of words by which questions and names meet.
+PIECE = 4
+
+
+def _pieces(text: Column, size: int = PIECE) -> Column:
+    """All pieces of a text, each once; a shorter text is its own piece."""
+    last = F.greatest(F.length(text) - (size - 1), F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size))))
+
+
+def name_index(documents: DataFrame, scope: list[str]) -> DataFrame:
+    """scope, document_id, key: by what a document's name can be found. Written once, it serves any number of questions.
+
+    w: a word's beginning, or all of a shorter word, for a question's word that holds it; p: each piece of a word, for a
+    question's word that it holds; n: the beginning of the name without its ending, for a question that holds it whole.
+    """
+    base, name = plain(files.base(F.col("filename"))), plain(F.col("filename"))
+    parts = F.array_distinct(F.concat(_words(base), _words(name)))
+    tagged = lambda tag, of: F.transform(of, lambda x: F.concat(F.lit(tag), x))
+    keys = F.concat(
+        tagged("w", F.transform(parts, lambda x: F.substring(x, 1, PIECE))),
+        tagged("p", F.flatten(F.transform(parts, lambda x: _pieces(x)))),
+        tagged("n", F.filter(F.array(F.substring(base, 1, PIECE), F.substring(name, 1, PIECE)), lambda x: x != "")),
+    )
+    return documents.select(*scope, "document_id", F.explode(F.array_distinct(keys)).alias("key"))
+
+
+def _candidates(questions: DataFrame, documents: DataFrame, scope: list[str], index: DataFrame | None) -> DataFrame:
+    """query_id, scope, document_id of the pairs that can match: by names' pieces, or by kind alone for questions without terms.
+
+    A question's word and a name's match if they are equal or one holds the other, of which it is the longer part that has
+    a piece of the shorter's beginning; a name that a question holds whole has its beginning in the question.
+    """
+    said = plain(F.col("question"))
+    terms = asked_terms(F.col("question"))
+    tagged = lambda tag, of: F.transform(of, lambda x: F.concat(F.lit(tag), x))
+    whole = F.flatten(F.array(*[_pieces(said, n) for n in range(1, PIECE + 1)]))
+    keys = F.concat(
+        tagged("w", F.flatten(F.transform(terms, lambda t: F.array_union(_pieces(t), F.array(F.substring(t, 1, PIECE)))))),
+        tagged("p", F.transform(terms, lambda t: F.substring(t, 1, PIECE))),
+        tagged("n", whole),
+    )
+    asked = questions.select("query_id", *scope, F.explode(F.array_distinct(keys)).alias("key"))
+    own = name_index(documents, scope) if index is None else index
+    named = asked.join(own, [*scope, "key"]).select("query_id", *scope, "document_id")
+    kinds = questions.where(F.size(terms) == 0).select("query_id", *scope, F.explode(asked_kinds(F.col("question"))).alias("_kind"))
+    of_kind = documents.select(*scope, "document_id", files.kind(F.col("filename")).alias("_kind"))
+    alone = kinds.join(of_kind, [*scope, "_kind"]).select("query_id", *scope, "document_id")  # each of these is a row of the result
+    return named.unionByName(alone).distinct()
+
+
+def match_documents(questions: DataFrame, documents: DataFrame, scope: list[str], index: DataFrame | None = None) -> DataFrame:
     """query_id, document_id, filename, score, match_class, is_best: each document in scope that a question may mean.
 
-    questions: query_id, question; documents: document_id, filename. Both are prepared once a row, before the join.
+    questions: query_id, question; documents: document_id, filename; index: name_index(documents, scope), if it is stored.
+    Both are prepared once a row, and only pairs that share a piece of a name, or that a kind alone brings together, are
+    looked at. query_id and document_id tell rows of a scope apart.
     """
     q = questions.select("query_id", *scope, plain(F.col("question")).alias("_said"), asked_kinds(F.col("question")).alias("_kinds"), asked_terms(F.col("question")).alias("_terms"))
     d = documents.select(*scope, "document_id", "filename", plain(F.col("filename")).alias("_name"), plain(files.base(F.col("filename"))).alias("_base"), files.kind(F.col("filename")).alias("_kind"))
     d = d.withColumn("_parts", F.array_distinct(F.concat(_words(F.col("_base")), _words(F.col("_name")))))
+    pairs = _candidates(questions, documents, scope, index)
     near = lambda a, b: (a == b) | ((F.length(a) >= 4) & F.contains(b, a)) | ((F.length(b) >= 4) & F.contains(a, b))
-    p = q.join(d, scope).select(
+    p = pairs.join(d, [*scope, "document_id"]).join(q, ["query_id", *scope]).select(
         "query_id", "document_id", "filename", "_terms", "_kinds",
         ((F.col("_name") != "") & F.contains("_said", "_name")).alias("_exact"),
         ((F.col("_base") != "") & F.contains("_said", "_base")).alias("_has_base"),
@@ -84,6 +138,11 @@ EXISTENCE = (
 )
 KIND_NAMES = {"csv": "CSV file", "docx": "DOCX file", "markdown": "Markdown `.md` file", "pdf": "PDF", "text": "text file", "xlsx": "spreadsheet"}
 NO_DOCUMENTS = "I do not see any uploaded documents in this workspace yet."
+FOUND, UPLOADED, IN_WORKSPACE, MORE = "I found ", " uploaded ", " in this workspace:\n\n", ("\n\nThere are ", " more documents in this workspace.")
+MATCHING, THAT_NAME, YES, END = " matching ", " matching that name", "Yes. I found ", "."
+SIMILAR_TITLE, BUT_NO, BUT_NONE = "I found a similar document title, ", ", but I do not see a ", ", but I do not see one"
+INCLUDING, SIMILAR, OF_THAT_NAME = "s in this workspace, including ", "I found a similar document, ", " matching that name."
+NOT_SEEN, NO_FILE, HERE = "I do not see a ", "matching file", " in this workspace."
 VISIBLE, VISIBLE_OF_KIND, NAMED_OF_KIND = 12, 8, 3
 
 
@@ -111,9 +170,9 @@ def inventory_answer(questions: DataFrame, documents: DataFrame, scope: list[str
     """query_id, answer for questions that ask which documents there are: the newest, so many lines, and how many more."""
     lines = _newest(documents, scope, visible)
     n = F.col("n")
-    more = F.when(n > visible, F.concat(F.lit("\n\nThere are "), (n - visible).cast("string"), F.lit(" more documents in this workspace."))).otherwise("")
+    more = F.when(n > visible, F.concat(F.lit(MORE[0]), (n - visible).cast("string"), F.lit(MORE[1]))).otherwise("")
     noun = F.when(n == 1, "document").otherwise("documents")
-    answer = F.when(n.isNull(), NO_DOCUMENTS).otherwise(F.concat(F.lit("I found "), n.cast("string"), F.lit(" uploaded "), noun, F.lit(" in this workspace:\n\n"), _list(F.col("names")), more))
+    answer = F.when(n.isNull(), NO_DOCUMENTS).otherwise(F.concat(F.lit(FOUND), n.cast("string"), F.lit(UPLOADED), noun, F.lit(IN_WORKSPACE), _list(F.col("names")), more))
     return questions.where(asks_inventory(F.col("question"))).join(lines, scope, "left").select("query_id", answer.alias("answer"))
 
 
@@ -135,17 +194,17 @@ def existence_answer(questions: DataFrame, documents: DataFrame, scope: list[str
     names = F.create_map(*[F.lit(x) for pair in KIND_NAMES.items() for x in pair])
     kind = F.when(F.array_sort("kinds") == F.array(F.lit("csv"), F.lit("xlsx")), "spreadsheet").otherwise(F.array_join(F.transform("kinds", lambda k: names[k]), " or "))
     target, has_terms, n = F.array_join("terms", " "), F.size("terms") > 0, F.coalesce("n", F.lit(0))
-    meant = F.when(has_terms, F.concat(F.lit(" matching '"), target, F.lit("'"))).otherwise(" matching that name")
+    meant = F.when(has_terms, F.concat(F.lit(f"{MATCHING}'"), target, F.lit("'"))).otherwise(THAT_NAME)
     tick = lambda x: F.concat(F.lit("`"), x, F.lit("`"))
-    found = F.concat(F.lit("I found "), n.cast("string"), F.lit(" matching "), F.when(n == 1, "file").otherwise("files"), F.lit(":\n\n"), _list(F.slice(F.coalesce("names", F.array().cast("array<string>")), 1, VISIBLE_OF_KIND)))
-    missing = F.trim(F.concat(F.when(F.size("kinds") == 1, F.replace(names[F.element_at("kinds", 1)], F.lit(" `.md`"), F.lit(""))).otherwise(""), F.when(has_terms, F.concat(F.lit(" matching "), tick(target))).otherwise("")))
+    found = F.concat(F.lit(FOUND), n.cast("string"), F.lit(MATCHING), F.when(n == 1, "file").otherwise("files"), F.lit(":\n\n"), _list(F.slice(F.coalesce("names", F.array().cast("array<string>")), 1, VISIBLE_OF_KIND)))
+    missing = F.trim(F.concat(F.when(F.size("kinds") == 1, F.replace(names[F.element_at("kinds", 1)], F.lit(" `.md`"), F.lit(""))).otherwise(""), F.when(has_terms, F.concat(F.lit(MATCHING), tick(target))).otherwise("")))
     answer = (
         F.when(F.col("has_documents").isNull(), NO_DOCUMENTS)
-        .when(F.coalesce("exact", "strong").isNotNull(), F.concat(F.lit("Yes. I found "), tick(F.coalesce("exact", "strong")), F.lit(".")))
+        .when(F.coalesce("exact", "strong").isNotNull(), F.concat(F.lit(YES), tick(F.coalesce("exact", "strong")), F.lit(END)))
         .when(~has_terms & (n > 0), found)
-        .when(F.col("wrong_extension").isNotNull() & (F.size("kinds") > 0), F.concat(F.lit("I found a similar document title, "), tick(F.col("wrong_extension")), F.lit(", but I do not see a "), kind, meant, F.lit(".")))
-        .when(n > 0, F.concat(F.lit("I found "), kind, F.lit("s in this workspace, including "), F.array_join(F.transform(F.slice("names", 1, NAMED_OF_KIND), tick), ", "), F.lit(", but I do not see one"), meant, F.lit(".")))
-        .when(F.col("near").isNotNull() & (F.size("kinds") > 0), F.concat(F.lit("I found a similar document, "), tick(F.col("near")), F.lit(", but I do not see a "), kind, F.lit(" matching that name.")))
-        .otherwise(F.concat(F.lit("I do not see a "), F.when(missing == "", "matching file").otherwise(missing), F.lit(" in this workspace.")))
+        .when(F.col("wrong_extension").isNotNull() & (F.size("kinds") > 0), F.concat(F.lit(SIMILAR_TITLE), tick(F.col("wrong_extension")), F.lit(BUT_NO), kind, meant, F.lit(END)))
+        .when(n > 0, F.concat(F.lit(FOUND), kind, F.lit(INCLUDING), F.array_join(F.transform(F.slice("names", 1, NAMED_OF_KIND), tick), ", "), F.lit(BUT_NONE), meant, F.lit(END)))
+        .when(F.col("near").isNotNull() & (F.size("kinds") > 0), F.concat(F.lit(SIMILAR), tick(F.col("near")), F.lit(BUT_NO), kind, F.lit(OF_THAT_NAME)))
+        .otherwise(F.concat(F.lit(NOT_SEEN), F.when(missing == "", NO_FILE).otherwise(missing), F.lit(HERE)))
     )
     return p.select("query_id", answer.alias("answer"))
