@@ -120,7 +120,7 @@ def _scored(pairs: DataFrame, questions: DataFrame, index: Blocks, scope: str, k
     splits = F.ceil(F.col("n") / split).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     by = [scope, "centroid", "_split", "_group"]
-    left = pairs.select("query_id", "centroid", "n", every(splits).alias("_split")).join(questions, "query_id")
+    left = pairs.select("query_id", scope, "centroid", "n", every(splits).alias("_split")).join(questions, ["query_id", scope])
     left = left.select(scope, "centroid", "_split", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("_group"), F.lit(0).alias("_kind"), F.col("query_id").alias("_id"), "embedding")
     wanted = pairs.select(scope, "centroid", "n").distinct()
     right = index.vectors.join(wanted, [scope, "centroid"])
@@ -176,7 +176,7 @@ def search_blocks(questions: DataFrame, vectors: DataFrame, k: int, scope: str,
 
 
 def search(questions: DataFrame, vectors: DataFrame, k: int = 20, scope: str | None = None, block: int = BLOCK) -> DataFrame:
-    """query_id, vec_id, similarity, rank: the k nearest vectors of each question, exactly.
+    """query_id, vec_id, similarity, rank: the k nearest vectors of each question, exactly. A question may stand in several scopes.
 
     questions: query_id, embedding (and scope); vectors: vec_id, embedding (and scope). With scope a question sees the
     vectors of its own scope only. Up to block questions without a scope go to every task as one matrix, a task keeps k

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import files
 from ..functions import query as q
 from ..functions import text as t
-from ..operators import chat, citations, context, evaluate, evidence, matching, reports, topk
+from ..operators import chat, citations, context, evaluate, evidence, jobs, matching, reports
 from .common import QUESTIONS, chunks, documents, questions, table
-from .evidence import _ANSWERS, _SUPPORT, EVAL_METRICS, _answers, _sources, eval_metrics
+from .evidence import _ANSWERS, _answers, _relevant, _retrieved, _retrieved_metrics, _sources, retrieved_metrics
 from .operations import _PAIRS
 
 
@@ -127,30 +127,27 @@ SELECT conv_id, '# Private' || chr(10) || chr(10) || string_agg('## Question ' |
 
 
 def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V5: the means of the ranking metrics against the gates."""
-    g = evaluate.gates(evaluate.mean(eval_metrics(spark, sf_dir)))
+    """V5: the means of the ranking metrics of what retrieve() finds, against the gates."""
+    g = evaluate.gates(evaluate.mean(retrieved_metrics(spark, sf_dir)))
     return g.select("metric", F.round("value", 5).alias("value"), "threshold", "passed")
 
 
 QUALITY_GATES = f"""
-WITH m AS ({EVAL_METRICS}), g AS (SELECT 'hit' AS metric, avg(hit) AS value, 1.0::DOUBLE AS threshold FROM m UNION ALL SELECT 'mrr', avg(mrr), 0.95 FROM m UNION ALL SELECT 'ndcg', avg(ndcg), 0.95 FROM m UNION ALL SELECT 'precision', avg(precision), 0.45 FROM m UNION ALL SELECT 'recall', avg(recall), 0.9 FROM m)
+WITH {_retrieved(False)}, {_relevant(5)}, {_retrieved_metrics("fused", 5, "own")},
+g AS (SELECT 'hit' AS metric, avg(hit) AS value, 1.0::DOUBLE AS threshold FROM own UNION ALL SELECT 'mrr', avg(mrr), 0.95 FROM own UNION ALL SELECT 'ndcg', avg(ndcg), 0.95 FROM own UNION ALL SELECT 'precision', avg(precision), 0.45 FROM own UNION ALL SELECT 'recall', avg(recall), 0.9 FROM own)
 SELECT metric, round(value, 5) AS value, threshold, coalesce(value >= threshold, false) AS passed FROM g
 """
 
 
 def fusion_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V6: hits among the first three, of chunks of each question ranked by overlap and against it. The golden set: chunks that hold 0.7 of an item."""
-    p = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "passage_id")
-    held = evaluate.passage_support(chunks(spark, sf_dir), p, 0.5).withColumnRenamed("passage_id", "query_id")
-    relevant = held.where("overlap >= 0.7").select("query_id", "chunk_id", F.lit(1).alias("grade"))
-    by = lambda *order: evaluate.grades(topk.per_group(held, ["query_id"], [*order, F.col("chunk_id")], 3), relevant)
-    return evaluate.compare_fusion({"forward": by(F.desc(F.round("overlap", 9))), "backward": by(F.asc(F.round("overlap", 9)))}, relevant).withColumn("hit", F.round("hit", 6))
+    """V6: hits among the first three of retrieve() by ranks and by scores, over the same two lanes."""
+    rows = [retrieved_metrics(spark, sf_dir, mode, 3).agg(F.round(F.avg("hit"), 6).alias("hit")).select(F.lit(mode).alias("mode"), "hit") for mode in jobs.FUSIONS]
+    return rows[0].unionByName(rows[1])
 
 
 FUSION_COMPARISON = f"""
-WITH {_SUPPORT.replace(">= 0.7)", ">= 0.5)")}, r AS (SELECT passage_id, chunk_id, o >= 0.7 AS good, row_number() OVER (PARTITION BY passage_id ORDER BY round(o, 9) DESC, chunk_id) AS a, row_number() OVER (PARTITION BY passage_id ORDER BY round(o, 9), chunk_id) AS b FROM sup),
-h AS (SELECT passage_id, bool_or(good AND a <= 3)::INTEGER AS a, bool_or(good AND b <= 3)::INTEGER AS b FROM r GROUP BY passage_id HAVING bool_or(good))
-SELECT 'forward' AS mode, round(avg(a), 6) AS hit FROM h UNION ALL SELECT 'backward', round(avg(b), 6) FROM h
+WITH {_retrieved(False)}, {_relevant(3)}, {_retrieved_metrics("fused", 3, "byrank")}, {_retrieved_metrics("byscore", 3, "bysum")}
+SELECT 'rrf' AS mode, round(avg(hit), 6) AS hit FROM byrank UNION ALL SELECT 'weighted', round(avg(hit), 6) FROM bysum
 """
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import files
 from ..functions import text as t
-from ..operators import charts, citations, context, embed, evaluate, evidence, jobs, markup, pii, reports, semantic, topk
+from ..operators import charts, citations, context, embed, evaluate, evidence, jobs, markup, pii, reports, topk
 from ..streaming import limits
 from . import retrieval
 from .common import CHUNKS, chunks, documents, questions, table, tokens
@@ -389,14 +389,112 @@ UNION ALL SELECT k, ['html', NULL, 'text', 'pdf', 'csv', 'markdown', 'markdown',
 """
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as rows of the model: all of one user, one in thirteen not ready, every other private."""
+    d = documents(spark, sf_dir).drop("text")
+    status = F.when(F.col("document_id") % 13 == 0, "processing").otherwise("ready")
+    return d.withColumn("user_id", F.lit("u1")).withColumn("status", status).withColumn("processing_mode", F.when(F.col("document_id") % 2 == 1, "privacy_minimised").otherwise("standard"))
+
+
 def retrieve_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R19 with vectors of a hashing embedder."""
-    asked = questions(spark, sf_dir)
-    c = embed.embed_column(chunks(spark, sf_dir), "content")
-    q = embed.embed_column(asked, "question", most=embed.QUESTION_CHARACTERS)
-    near = semantic.search(q.select("query_id", "embedding", "collection_id"), c.select(F.col("chunk_id").alias("vec_id"), "embedding", "collection_id"), 20, scope="collection_id")
-    lane = near.select("query_id", F.col("vec_id").alias("chunk_id"), F.round("similarity", 9).alias("semantic_similarity"))
-    return jobs.retrieve(asked, c.drop("embedding"), lane).select("query_id", "chunk_id", "final_rank", "reason")
+    """The whole job with vectors of a hashing embedder, private documents masked."""
+    c = pii.project_chunks(chunks(spark, sf_dir), _files(spark, sf_dir).drop("filename", "status"), SECRET)
+    c = embed.embed_column(c.drop("filename", "user_id", "processing_mode"), "embedding_text")
+    q = embed.embed_column(questions(spark, sf_dir).withColumn("user_id", F.lit("u1")), "question", most=embed.QUESTION_CHARACTERS)
+    found, _ = jobs.retrieve(q, c, _files(spark, sf_dir), SECRET)
+    return found.select("query_id", "chunk_id", "final_rank", "reason")
+
+
+def ranked_chunks(spark: SparkSession, sf_dir: str, mode: str = "rrf", required: bool = False) -> tuple[DataFrame, DataFrame]:
+    """R19 over given vectors: chunks and questions have those of the embeddings whose ids follow from theirs. No document is
+    private here, as SQL can't mask; every third question asks of two documents of its collection, if required."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("v"), "embedding")
+    n = v.count()
+    c = chunks(spark, sf_dir).drop("filename").withColumn("v", (F.col("document_id") * 7 + F.col("chunk_index")) % n).join(v, "v").drop("v").withColumn("provider_safe_content", F.lit(None).cast("string"))
+    q = questions(spark, sf_dir).withColumn("user_id", F.lit("u1")).withColumn("v", F.col("query_id") * 11 % n).join(v, "v").drop("v")
+    if required:
+        two = _files(spark, sf_dir).groupBy("collection_id").agg(F.array(F.min("document_id"), F.max("document_id")).alias("document_ids"))
+        q = q.join(two, "collection_id", "left").withColumn("document_ids", F.when(F.col("query_id") % 3 == 0, F.col("document_ids")))
+    return jobs.retrieve(q, c, _files(spark, sf_dir).withColumn("processing_mode", F.lit("standard")), SECRET, mode=mode)
+
+
+_READY = CHUNKS.replace("FROM documents\n", "FROM documents WHERE doc_id % 13 <> 0\n")
+#: SQL of both lanes over the vectors of ranked_chunks(), fused, as fused (by ranks) and ws (by scores); restricted: every third question to two documents.
+def _retrieved(restricted: bool) -> str:
+    from .common import QUESTIONS, norm, tokens as words, useful
+
+    two = "two AS (SELECT source AS collection_id, min(doc_id) AS a, max(doc_id) AS b FROM documents GROUP BY source), scoped AS (SELECT questions.*, two.a, two.b, query_id % 3 = 0 AND two.a IS NOT NULL AS few FROM questions LEFT JOIN two USING (collection_id))"
+    fits = "AND (NOT few OR document_id IN (a, b))" if restricted else ""
+    return f"""{_READY}, {QUESTIONS}, {two},
+pair AS (SELECT query_id, chunk_id, document_id, filename, chunk_index, few, a, b, {norm("content")} AS txt, {norm("question")} AS ask FROM scoped JOIN chunks USING (collection_id) WHERE true {fits}),
+post AS (SELECT chunk_id, 0 AS named, 0.2::DOUBLE AS w, unnest({words("content")}) AS term FROM chunks UNION ALL SELECT chunk_id, 1, 1.0, unnest({words("filename")}) FROM chunks),
+qt AS (SELECT query_id, unnest({useful(words('question[1:500]'))}) AS term FROM questions),
+lx AS (SELECT query_id, chunk_id, document_id, chunk_index, sum(w) AS r, max(named) AS named FROM qt JOIN pair USING (query_id) JOIN post USING (chunk_id, term) GROUP BY ALL),
+kw AS (SELECT query_id, chunk_id, keyword_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, document_id, chunk_index, chunk_id) AS k FROM (SELECT *, round(r / (r + 1) + 0.25 * named, 6) AS keyword_score FROM lx)) WHERE k <= 20),
+ev AS (SELECT vec_id, embedding::DOUBLE[] AS e, count(*) OVER () AS n FROM embeddings),
+sem AS (SELECT query_id, chunk_id, semantic_similarity FROM (SELECT query_id, chunk_id, round(c, 9) AS semantic_similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, chunk_id) AS k FROM
+  (SELECT query_id, chunk_id, list_cosine_similarity(x.e, y.e) AS c FROM pair JOIN ev x ON x.vec_id = query_id * 11 % x.n JOIN ev y ON y.vec_id = (document_id * 7 + chunk_index) % y.n)) WHERE k <= 20),
+{retrieval._FUSED[retrieval._FUSED.index("m AS (SELECT coalesce"):]},
+ws AS (SELECT *, ({retrieval._STRETCH.format(c="semantic_similarity")}) * 0.55::DOUBLE + ({retrieval._STRETCH.format(c="keyword_score")}) * 0.35::DOUBLE + boost * 0.1::DOUBLE AS ws FROM b WINDOW w AS (PARTITION BY query_id)),
+byscore AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(ws, 12) DESC, filename, chunk_index, chunk_id)::INTEGER AS rank FROM ws)"""
+
+
+def _chosen(ranking: str) -> str:
+    """SQL of what is left of a ranking: no repeats, enough text, two of each document first, five in all; as final."""
+    return f"""once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, CASE WHEN length(txt) >= 24 THEN txt[1:600] ELSE chunk_id::VARCHAR END ORDER BY rank) AS rep FROM {ranking} WHERE rank <= 15) WHERE rep = 1 AND length(txt) >= 24),
+late AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) > 2 AS late FROM once),
+final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, rank)::INTEGER AS final_rank FROM late)"""
+
+
+def retrieve_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job, in scope, by both lanes, fused by ranks."""
+    return ranked_chunks(spark, sf_dir)[0].select("query_id", "chunk_id", "document_id", "final_rank", "retrieval_mode", "reason")
+
+
+RETRIEVE_RANKED = f"""
+WITH {_retrieved(False)}, {_chosen("fused")}, l AS (SELECT query_id, bool_or(keyword_score IS NOT NULL) AS k, bool_or(semantic_similarity IS NOT NULL) AS s FROM once GROUP BY query_id)
+SELECT query_id, chunk_id, document_id, final_rank, retrieval_mode, CASE WHEN k AND s THEN 'hybrid_match' WHEN s THEN 'semantic_match' ELSE 'direct_keyword_match' END AS reason FROM final JOIN l USING (query_id) WHERE final_rank <= 5
+"""
+
+
+def retrieved_metrics(spark: SparkSession, sf_dir: str, mode: str = "rrf", k: int = 5) -> DataFrame:
+    """V3 of retrieve()'s own ranking: against the chunks of ready documents that hold 0.7 of a question, 0.9 counting double."""
+    p = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "passage_id")
+    held = evaluate.passage_support(chunks(spark, sf_dir).where("document_id % 13 <> 0"), p, 0.7).withColumnRenamed("passage_id", "query_id")
+    relevant = held.select("query_id", "chunk_id", F.when(F.col("overlap") > 0.9, 2).otherwise(1).alias("grade"))
+    found = ranked_chunks(spark, sf_dir, mode)[0].where("reason <> 'broad_context_fallback'").select("query_id", "chunk_id", F.col("final_rank").alias("rank"))
+    return evaluate.metrics(evaluate.grades(found, relevant), relevant, k)
+
+
+def _retrieved_metrics(ranking: str, k: int, name: str) -> str:
+    """SQL of retrieved_metrics() over a ranking, as name; after _retrieved() and _support."""
+    return f"""{_chosen(ranking).replace("once", f"once_{name}").replace("late AS", f"late_{name} AS").replace("FROM late)", f"FROM late_{name})").replace("final AS", f"final_{name} AS")},
+rk_{name} AS (SELECT query_id, chunk_id, final_rank AS rank FROM final_{name} WHERE final_rank <= {k}),
+g_{name} AS (SELECT rk_{name}.*, coalesce(grade, 0) AS grade FROM rk_{name} LEFT JOIN rel USING (query_id, chunk_id)),
+t_{name} AS (SELECT query_id, count(*) FILTER (grade > 0) AS f, min(rank) FILTER (grade > 0) AS first, sum((pow(2, grade) - 1) / log2(rank + 1)) AS gain FROM g_{name} GROUP BY query_id),
+{name} AS (SELECT query_id, coalesce((f > 0)::INTEGER::DOUBLE, 0) AS hit, coalesce(1.0::DOUBLE / first, 0) AS mrr, coalesce(f / n, 0) AS recall, coalesce(f / {k}, 0) AS precision, coalesce(gain / ideal, 0) AS ndcg FROM ideals LEFT JOIN t_{name} USING (query_id))"""
+
+
+def _relevant(k: int) -> str:
+    """SQL of the relevant chunks of ready documents, as rel and ideals."""
+    return f"""{_SUPPORT[len(CHUNKS) + 2:]}, rel AS (SELECT passage_id AS query_id, chunk_id, CASE WHEN o > 0.9 THEN 2 ELSE 1 END AS grade FROM sup),
+ir AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, chunk_id) AS r FROM rel), ideals AS (SELECT query_id, count(*) AS n, sum(CASE WHEN r <= {k} THEN (pow(2, grade) - 1) / log2(r + 1) ELSE 0 END) AS ideal FROM ir GROUP BY query_id)"""
+
+
+def retrieve_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third question asks of two documents; what documents its answer has, and which are missing."""
+    found, missing = ranked_chunks(spark, sf_dir, required=True)
+    some = found.where("query_id % 3 = 0 and reason <> 'broad_context_fallback'").groupBy("query_id", "document_id").agg(F.count("*").alias("n"), F.min("final_rank").alias("first"))
+    return some.unionByName(missing.select("query_id", "document_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("first")))
+
+
+RETRIEVE_REQUIRED = f"""
+WITH {_retrieved(True)}, {_chosen("fused")}, p AS (SELECT query_id, rank, chunk_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS place, row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) AS of_document FROM once WHERE query_id IN (SELECT query_id FROM scoped WHERE few)),
+d AS (SELECT query_id, count(DISTINCT document_id) AS n_docs, count(*) AS n_rows, max(place) FILTER (of_document = 1) AS second FROM p GROUP BY query_id),
+c AS (SELECT p.query_id, p.document_id, CASE WHEN n_docs = 2 AND second > 5 AND place = second THEN 5 ELSE place END AS place FROM p JOIN d USING (query_id) WHERE CASE WHEN n_docs = 2 AND second > 5 THEN place <= 4 OR place = second ELSE place <= 5 END)
+SELECT query_id, document_id, count(*) AS n, min(place)::INTEGER AS first FROM c GROUP BY ALL
+UNION ALL SELECT query_id, x, 0, NULL FROM (SELECT query_id, unnest(list_distinct([a, b])) AS x, a <> b AS differ FROM scoped WHERE few) q WHERE differ AND NOT EXISTS (SELECT 1 FROM c WHERE c.query_id = q.query_id AND c.document_id = q.x)
+"""
 
 
 def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,5 +532,5 @@ SELECT query_id, 'citation' AS kind, n FROM c WHERE n > 0 UNION ALL SELECT query
 
 QUERIES = {name: (globals()[name], globals().get(name.upper())) for name in (
     "pii_detect pii_mask pii_sequential pii_leaks luhn html_units file_kinds citations_validate citations_resolve claims risk_register obligations source_bundle risk_reports charts_parse evidence_gate prompt_chunks "
-    "passage_support eval_metrics refusals ingest_job ingest_job_chunks ingest_kinds retrieve_job sliding_counts daily_spend inline_tokens"
+    "passage_support eval_metrics refusals ingest_job ingest_job_chunks ingest_kinds retrieve_job retrieve_ranked retrieve_required sliding_counts daily_spend inline_tokens"
 ).split()}

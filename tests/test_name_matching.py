@@ -17,7 +17,7 @@ def test_equal_to_all_pairs(spark, monkeypatch):
     questions = spark.createDataFrame([(k, f"c{k % 3}", asks[k % len(asks)].format(name(), rnd.choice(words))) for k in range(60)], "query_id long, collection_id string, question string")
     found = sorted(map(tuple, matching.match_documents(questions, docs, ["collection_id"]).collect()))
     monkeypatch.setattr(matching, "_candidates", lambda q, d, scope, _: q.select("query_id", *scope).join(d.select(*scope, "document_id"), scope))
-    assert found == sorted(map(tuple, matching.match_documents(questions, docs, ["collection_id"]).collect())) and len(found) > 500
+    assert found == sorted(map(tuple, matching.match_documents(questions, docs, ["collection_id"]).collect())) and len(found) > 300
 
 
 def test_few_pairs_are_looked_at(spark):
