@@ -22,6 +22,8 @@ from .ngrams import hashed, parts
 BITS, SIZES, CENTROIDS = 11, (2, 3), 4
 #: Texts of each language that the centroids are fitted on, about; document frequencies are of all texts.
 SAMPLE = 500
+#: Languages that are learned, the most frequent.
+LANGUAGES = 500
 #: Steepness that turns cosines into a share of each language.
 SHARPNESS = 25.0
 UNKNOWN = "und"
@@ -81,14 +83,16 @@ def k_means(rows: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     return centres.astype(np.float32)
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
+def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES) -> Model | None:
     """labelled: id, text, lang. None if it holds no text with a letter.
 
     Document frequencies are counted over all of it, in tasks; about sample texts of each language, whole, become
-    vectors in tasks and are brought together, so that is bounded by the number of languages.
+    vectors and are gathered into centroids in tasks, a language each. The driver gets the centroids, and of each sampled
+    text one number, of the languages most frequent languages at most (of equal counts the first by name): others aren't learned.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    by_lang = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    most = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    by_lang = {r["lang"]: r["count"] for r in most.collect()}
     if not by_lang:
         return None
     df = labelled.select("text").mapInPandas(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas().set_index("bucket")["n"]
@@ -99,19 +103,21 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
         for frame in batches:
             yield pd.DataFrame({"lang": frame["lang"], "v": [x.tobytes() for x in vectors(frame["text"], idf)]})
 
+    def gather(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = np.array([np.frombuffer(v, np.float32) for v in sorted(frame["v"])])
+        own = k_means(rows, centroids)
+        return pd.DataFrame({"lang": [frame["lang"].iat[0]], "centres": [own.tobytes()], "near": [(rows @ own.T).max(axis=1).astype(np.float32).tobytes()]})
+
     # one pass for all languages: a row's hash against its language's share
     shares = labelled.sparkSession.createDataFrame([(lang, min(1_000_000, int(1_000_000 * sample / n) + 1)) for lang, n in by_lang.items()], "lang string, share int")
     chosen = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.col("share"))
     chosen = at_most(chosen, 2 * sample * len(by_lang))
-    rows: dict[str, list[np.ndarray]] = {}
-    for r in chosen.select("text", "lang").mapInPandas(vectorise, "lang string, v binary").collect():
-        rows.setdefault(r["lang"], []).append(np.frombuffer(r["v"], np.float32))
+    gathered = chosen.select("text", "lang").mapInPandas(vectorise, "lang string, v binary").groupBy("lang").applyInPandas(gather, "lang string, centres binary, near binary")
     centres, langs, nearest = [], [], []
-    for lang in sorted(rows):
-        own = k_means(np.array(rows[lang]), centroids)
-        centres.append(own)
-        langs += [lang] * len(own)
-        nearest.append((np.array(rows[lang]) @ own.T).max(axis=1))
+    for r in sorted(gathered.collect(), key=lambda r: r["lang"]):
+        centres.append(np.frombuffer(r["centres"], np.float32).reshape(-1, len(idf)))
+        langs += [r["lang"]] * len(centres[-1])
+        nearest.append(np.frombuffer(r["near"], np.float32))
     if not centres:
         return None
     least = 0.5 * float(np.quantile(np.concatenate(nearest), 0.001))

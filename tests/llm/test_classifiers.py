@@ -102,3 +102,12 @@ def test_toxic_word_in_a_long_text(spark):
     tests = spark.createDataFrame([(0, " ".join(word() for _ in range(3000)) + " GRUMBLEFITZ!!"), (1, " ".join(word() for _ in range(3000)))], "doc_id long, text string")
     found = {r["doc_id"]: r["predicted"] for r in toxicity.predict(tests, model).collect()}
     assert found == {0: 1, 1: 0}
+
+
+def test_languages_are_bounded(spark):
+    """Only the most frequent languages are learned, however many values a dirty column has."""
+    rows = [(k, f"some words of language {'abcdefgh'[k % 8] * 6} and more", f"l{k % 8}") for k in range(200)] + [(1000 + k, f"dirty words {k}", f"x{k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from lakescribe.llm import language_id
+
+    assert sorted(set(language_id.fit(df, languages=8).langs)) == [f"l{k}" for k in range(8)]
