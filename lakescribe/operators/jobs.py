@@ -62,65 +62,82 @@ FUSIONS = {"rrf": fusion.rrf, "weighted": fusion.weighted}
 PER_REQUIRED, BROAD = 3, 3
 
 
-def lexical_lane(questions: DataFrame, chunks: DataFrame, secret: str, most: int) -> DataFrame:
+#: Chunks that a batch's questions may be sent to every task for their texts; more meet their texts by a shuffle.
+SENT = 500_000
+
+
+def lexical_lane(questions: DataFrame, chunks: DataFrame, documents: DataFrame, secret: str, most: int) -> DataFrame:
     """query_id, chunk_id, keyword_score: the best most chunks of each question by words, each in its own user's collection.
 
-    Chunks of ready documents, with user_id, filename, processing_mode and provider_safe_content. Those of private documents
-    are found by their masked texts, without file names; a question that holds personal data is masked for each of them,
-    any other asks them as it stands.
+    Chunks of private documents are found by their masked texts, without file names; a question that holds personal data
+    is masked for each of them, any other asks them as it stands. A chunk's text is read where it lies: only its places of
+    the questions' terms meet the documents.
     """
     scope, keys = ["collection_id", "user_id"], ["chunk_id", "document_id", "chunk_index"]
-    private = F.col("processing_mode") == "privacy_minimised"
-    plain, masked = chunks.where(~private), chunks.where(private).withColumn("content", F.coalesce("provider_safe_content", F.lit("")))
+    own = documents.where("status = 'ready'").select("document_id", "collection_id", "user_id", "filename", (F.col("processing_mode") == "privacy_minimised").alias("_private"))
     tells = F.coalesce(F.col("question").rlike(pii.HINT), F.lit(False))
-    pairs = questions.where(tells).join(masked.select(*scope, "document_id").distinct(), scope)
+    pairs = questions.where(tells).join(own.where("_private").select(*scope, "document_id"), scope)
     of_document = pairs.withColumn("question", pii.mask(F.col("question"), pii.scope_id(F.col("user_id"), F.col("document_id")), secret))
     asked, told = lexical.question_clauses(questions, scope), lexical.question_clauses(of_document, [*scope, "document_id"])
     quiet = lexical.question_clauses(questions.where(~tells), scope)
     terms = lexical.wanted_terms(asked.select("term").unionByName(told.select("term")))
-    of = lambda rows, fields: lexical.build_postings(rows, [*keys, *scope], fields, terms)
-    found = lexical.search(asked, of(plain, {"filename": "filename", "content": "content"}), scope, keys)
-    hidden = of(masked, {"content": "content"})
-    found = found.unionByName(lexical.search(quiet, hidden, scope, keys)).unionByName(lexical.search(told, hidden, [*scope, "document_id"], ["chunk_id", "chunk_index"]).join(masked.select("chunk_id", "document_id"), "chunk_id").select("query_id", *keys, "rank"))
+    places = lambda column: lexical.build_postings(chunks, [*keys, "collection_id"], {"content": column}, terms).join(own.drop("filename"), ["document_id", "collection_id"])
+    named = lexical.build_postings(own.where("not _private"), ["document_id", "collection_id", "user_id"], {"filename": "filename"}, terms)
+    named = chunks.select(*keys, "collection_id").join(named, ["document_id", "collection_id"])
+    plain = places("content").where("not _private").drop("_private").unionByName(named)
+    hidden = places("provider_safe_content").where("_private").drop("_private")
+    found = lexical.search(asked, plain, scope, keys).unionByName(lexical.search(quiet, hidden, scope, keys))
+    found = found.unionByName(lexical.search(told, hidden, [*scope, "document_id"], keys))
     if "document_ids" in questions.columns:
         found = found.join(questions.select("query_id", "document_ids"), "query_id").where(F.coalesce(F.size("document_ids") <= 0, F.lit(True)) | F.array_contains("document_ids", F.col("document_id")))
     scored = found.select("query_id", *keys, F.round("rank", 6).alias("keyword_score"))
     return topk.per_group(scored, ["query_id"], [F.desc("keyword_score"), F.col("document_id"), F.col("chunk_index"), F.col("chunk_id")], most, "_r").select("query_id", "chunk_id", "keyword_score")
 
 
-def semantic_lane(questions: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
-    """query_id, chunk_id, semantic_similarity: the nearest most chunks with a vector, in the same scope: a question that names documents in each of these."""
+def semantic_lane(questions: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
+    """query_id, chunk_id, semantic_similarity: the nearest most chunks with a vector, in the same scope: a question that names documents in each of these.
+
+    vectors: chunk_id, document_id, collection_id, user_id, embedding."""
     place = lambda *parts: F.concat_ws("\x1f", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
     own = place("collection_id", "user_id")
-    v = chunks.select(F.col("chunk_id").alias("vec_id"), "embedding", own.alias("scope"))
+    v = vectors.select(F.col("chunk_id").alias("vec_id"), "embedding", own.alias("scope"))
     q = questions.select("query_id", "embedding", own.alias("scope"))
     if "document_ids" in questions.columns:
         some = F.coalesce(F.size("document_ids") > 0, F.lit(False))
         named = questions.where(some).select("query_id", "embedding", "collection_id", "user_id", F.explode(F.array_distinct("document_ids")).alias("document_id"))
         by_document = ("collection_id", "user_id", "document_id")
         wanted = named.select(*by_document).distinct()
-        v = v.unionByName(chunks.join(wanted, [*by_document], "left_semi").select(F.col("chunk_id").alias("vec_id"), "embedding", place(*by_document).alias("scope")))
+        v = v.unionByName(vectors.join(wanted, [*by_document], "left_semi").select(F.col("chunk_id").alias("vec_id"), "embedding", place(*by_document).alias("scope")))
         q = questions.where(~some).select("query_id", "embedding", own.alias("scope")).unionByName(named.select("query_id", "embedding", place(*by_document).alias("scope")))
     near = semantic.search(q, v, most, "scope")
     return near.select("query_id", F.col("vec_id").alias("chunk_id"), F.round("similarity", 9).alias("semantic_similarity"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, secret: str, limit: int = 5, lane: int = 20, mode: str = "rrf") -> tuple[DataFrame, DataFrame]:
+def _texts(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of chunks whose ids are wanted: these go to the texts where there are SENT or fewer, else both are shuffled."""
+    ids = wanted.select("chunk_id").distinct()
+    return chunks.join(F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids, "chunk_id", "left_semi")
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, secret: str, limit: int = 5, lane: int = 20, mode: str = "rrf", vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(query_id, chunk_id, document_id, final_rank, retrieval_mode, reason; query_id, document_id of required documents that are missing).
 
     questions: query_id, user_id, collection_id, question, embedding, and maybe document_ids, the documents that are asked of
     (two or more must all be in the answer, if they can). chunks: chunk_id, document_id, collection_id, chunk_index,
-    content, provider_safe_content, embedding. documents: document_id, collection_id, user_id, filename, status,
-    processing_mode. Of both lanes the best lane chunks are fused by mode, an identifier is rescued, repeats and chunks
+    content, provider_safe_content, and embedding, unless vectors (chunk_id, embedding) is given. documents: document_id,
+    collection_id, user_id, filename, status, processing_mode. Of both lanes the best lane chunks are fused by mode, an identifier is rescued, repeats and chunks
     without enough text go, and what is left is balanced over documents, or chosen so that required documents are there.
     Where a lane finds nothing the other stands alone; where both do, a question has the first chunks of its scope.
     """
-    ready = scope.join_documents(chunks, documents)
-    words, near = lexical_lane(questions, ready, secret, lane), semantic_lane(questions, ready.where("embedding is not null"), lane)
+    columns = ["chunk_id", "document_id", "collection_id", "chunk_index"]
+    ready = scope.join_documents(chunks.select(*columns), documents)  # ids alone
+    near = ready.join((chunks if vectors is None else vectors).where("embedding is not null").select("chunk_id", "embedding"), "chunk_id")
+    merged = kept(fusion.merge(lexical_lane(questions, chunks, documents, secret, lane), semantic_lane(questions, near, lane)))
     several = F.coalesce(F.size("document_ids"), F.lit(0)) if "document_ids" in questions.columns else F.lit(0)
     asked = questions.select("query_id", "collection_id", "user_id", "question", several.alias("_several"), *([F.col("document_ids")] if "document_ids" in questions.columns else []))
-    columns = ["chunk_id", "document_id", "chunk_index", "filename", "content", *[c for c in ("file_kind", "location_label", "page_number") if c in ready.columns]]
-    full = fusion.merge(words, near).join(ready.select(*columns), "chunk_id").join(asked.select("query_id", "question", "_several"), "query_id")
+    shown = ["content", *[c for c in ("file_kind", "location_label", "page_number") if c in chunks.columns]]
+    texts = scope.join_documents(_texts(chunks.select(*columns, *shown), merged), documents).select("chunk_id", "document_id", "chunk_index", "filename", *shown)
+    full = merged.join(texts, "chunk_id").join(asked.select("query_id", "question", "_several"), "query_id")
     wide = 3 * limit
     most = F.greatest(F.lit(wide), F.col("_several") * PER_REQUIRED)
     fused = FUSIONS[mode](fusion.with_boost(full), 2 * lane).where((F.col("rank") <= most) | F.col("bears_identifier"))
@@ -137,7 +154,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, secr
     reason = F.when(F.col("_s") & F.col("_k"), "hybrid_match").when(F.col("_s"), "semantic_match").otherwise("direct_keyword_match")
     found = balanced.join(clean.select("query_id", "chunk_id", "retrieval_mode"), ["query_id", "chunk_id"]).join(lanes, "query_id")
     found = found.select("query_id", "chunk_id", "document_id", "final_rank", "retrieval_mode", reason.alias("reason"))
-    empty = asked.join(clean.select("query_id").distinct(), "query_id", "left_anti").join(ready.select("collection_id", "user_id", *columns), ["collection_id", "user_id"])
+    empty = asked.join(clean.select("query_id").distinct(), "query_id", "left_anti").join(ready.select("user_id", *columns), ["collection_id", "user_id"])
     if "document_ids" in questions.columns:
         empty = empty.where((F.col("_several") == 0) | F.array_contains("document_ids", F.col("document_id")))
     broad = topk.per_group(empty, ["query_id"], [F.col("document_id"), F.col("chunk_index"), F.col("chunk_id")], min(BROAD, limit), "final_rank")

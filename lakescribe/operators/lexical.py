@@ -18,8 +18,7 @@ MOST_TERMS = 20_000
 def build_postings(chunks: DataFrame, keys: list[str], fields: dict[str, str], terms: list[str] | None = None) -> DataFrame:
     """keys, field, pos, term, weight: a row for each word of each part of each chunk. fields: part -> column; terms: only these.
 
-    One scan and no shuffle; with terms a chunk's other words never become rows. Written once, partitioned by term, it
-    serves many questions.
+    One scan and no shuffle; with terms a chunk's other words never become rows. lexical_index stores them for many questions.
     """
 
     def rows(field: str, column: str) -> Column:

@@ -410,12 +410,13 @@ def ranked_chunks(spark: SparkSession, sf_dir: str, mode: str = "rrf", required:
     private here, as SQL can't mask; every third question asks of two documents of its collection, if required."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("v"), "embedding")
     n = v.count()
-    c = chunks(spark, sf_dir).drop("filename").withColumn("v", (F.col("document_id") * 7 + F.col("chunk_index")) % n).join(v, "v").drop("v").withColumn("provider_safe_content", F.lit(None).cast("string"))
+    c = chunks(spark, sf_dir).drop("filename").withColumn("provider_safe_content", F.lit(None).cast("string"))
+    vectors = c.select("chunk_id", ((F.col("document_id") * 7 + F.col("chunk_index")) % n).alias("v")).join(v, "v").select("chunk_id", "embedding")
     q = questions(spark, sf_dir).withColumn("user_id", F.lit("u1")).withColumn("v", F.col("query_id") * 11 % n).join(v, "v").drop("v")
     if required:
         two = _files(spark, sf_dir).groupBy("collection_id").agg(F.array(F.min("document_id"), F.max("document_id")).alias("document_ids"))
         q = q.join(two, "collection_id", "left").withColumn("document_ids", F.when(F.col("query_id") % 3 == 0, F.col("document_ids")))
-    return jobs.retrieve(q, c, _files(spark, sf_dir).withColumn("processing_mode", F.lit("standard")), SECRET, mode=mode)
+    return jobs.retrieve(q, c, _files(spark, sf_dir).withColumn("processing_mode", F.lit("standard")), SECRET, mode=mode, vectors=vectors)
 
 
 _READY = CHUNKS.replace("FROM documents\n", "FROM documents WHERE doc_id % 13 <> 0\n")
