@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.shared import kept
 from .lexical import wanted_terms
 
 SUPPORT, LEAST_TERM, K = 0.7, 4, 5
@@ -23,23 +24,31 @@ def passage_support(chunks: DataFrame, passages: DataFrame, share: float = SUPPO
 
     chunks: chunk_id, content; passages: passage_id, text. A chunk with so many of n words has one of the passage's
     n - ceil(share n) + 1 rarest, so only chunks with one of these are looked at; no pair is lost and frequent words join nothing.
+    Chunks are cut into words once: what is kept of them are the numbers of the words that any passage has.
     """
     wants = passages.select("passage_id", F.explode(long_tokens(F.col("text"))).alias("term"))
     terms = wanted_terms(wants)
+    numbered = terms is not None and _apart(passages.sparkSession, terms)  # else words stand for themselves
+    name = (lambda t: F.xxhash64(t)) if numbered else (lambda t: t)
     words = F.array_distinct(F.filter(tokens(F.col("content")), lambda t: (F.length(t) >= LEAST_TERM) & (t.isin(terms) if terms is not None else F.lit(True))))
-    has = chunks.select("chunk_id", words.alias("_c"))
+    has = kept(chunks.select("chunk_id", F.transform(words, name).alias("_c")).where(F.size("_c") > 0))
     frequency = has.select(F.explode("_c").alias("term")).groupBy("term").agg(F.count("*").alias("_df"))
-    wants = wants.join(frequency, "term", "left").na.fill(0, ["_df"])
+    wants = wants.select("passage_id", F.col("term").alias("_word"), name(F.col("term")).alias("term")).join(frequency, "term", "left").na.fill(0, ["_df"])
     by = Window.partitionBy("passage_id")
-    wants = wants.withColumn("_n", F.count("*").over(by)).withColumn("_r", F.row_number().over(by.orderBy("_df", "term")))
+    wants = wants.withColumn("_n", F.count("*").over(by)).withColumn("_r", F.row_number().over(by.orderBy("_df", "_word")))
     rare = wants.where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(share)) + 1)
     # a chunk goes on with its words that any passage has
     pairs = rare.select("passage_id", "term").join(has.select("chunk_id", "_c", F.explode("_c").alias("term")), "term").dropDuplicates(["chunk_id", "passage_id"])
-    near = pairs.join(passages.select("passage_id", long_tokens(F.col("text")).alias("_p")), "passage_id")
+    near = pairs.join(passages.select("passage_id", F.transform(long_tokens(F.col("text")), name).alias("_p")), "passage_id")
     scored = near.select("chunk_id", "passage_id", (F.size(F.array_intersect("_c", "_p")) / F.size("_p")).alias("overlap"))
     return scored.where(F.col("overlap") >= share)
 
 
+def _apart(spark: SparkSession, terms: list[str]) -> bool:
+    """Whether the hashes of terms, of which there are few, all differ."""
+    return spark.createDataFrame([(t,) for t in terms], "term string").select(F.xxhash64("term")).distinct().count() == len(terms)
+
+
 def grades(results: DataFrame, support: DataFrame) -> DataFrame:
     """results (query_id, chunk_id, rank) with grade: the highest of a passage that the chunk supports, else 0. support: query_id, chunk_id, grade."""
     best = support.groupBy("query_id", "chunk_id").agg(F.max("grade").alias("grade"))
