@@ -10,7 +10,7 @@ from ..functions import text as t
 from ..operators import charts, citations, context, embed, evaluate, evidence, jobs, markup, pii, reports, topk
 from ..streaming import limits
 from . import retrieval
-from .common import CHUNKS, chunks, documents, questions, table, tokens
+from .common import CHUNKS, chunks, documents, questions, table, tokens, workspace
 from .operations import _EVENTS, _events
 
 SECRET = "a secret of thirty-two characters, for tests only"
@@ -399,7 +399,9 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieve_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job with vectors of a hashing embedder, private documents masked."""
     c = pii.project_chunks(chunks(spark, sf_dir), _files(spark, sf_dir).drop("filename", "status"), SECRET)
-    c = embed.embed_column(c.drop("filename", "user_id", "processing_mode"), "embedding_text")
+    path = f"{workspace(spark)}/chunks"
+    embed.embed_column(c.drop("filename", "user_id", "processing_mode"), "embedding_text").write.parquet(path)
+    c = spark.read.parquet(path)
     q = embed.embed_column(questions(spark, sf_dir).withColumn("user_id", F.lit("u1")), "question", most=embed.QUESTION_CHARACTERS)
     found, _ = jobs.retrieve(q, c, _files(spark, sf_dir), SECRET)
     return found.select("query_id", "chunk_id", "final_rank", "reason")
@@ -410,7 +412,9 @@ def ranked_chunks(spark: SparkSession, sf_dir: str, mode: str = "rrf", required:
     private here, as SQL can't mask; every third question asks of two documents of its collection, if required."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("v"), "embedding")
     n = v.count()
-    c = chunks(spark, sf_dir).drop("filename").withColumn("provider_safe_content", F.lit(None).cast("string"))
+    path = f"{workspace(spark)}/chunks"  # as a stored table, which retrieval reads by columns
+    chunks(spark, sf_dir).drop("filename").write.parquet(path)
+    c = spark.read.parquet(path).withColumn("provider_safe_content", F.lit(None).cast("string"))
     vectors = c.select("chunk_id", ((F.col("document_id") * 7 + F.col("chunk_index")) % n).alias("v")).join(v, "v").select("chunk_id", "embedding")
     q = questions(spark, sf_dir).withColumn("user_id", F.lit("u1")).withColumn("v", F.col("query_id") * 11 % n).join(v, "v").drop("v")
     if required:
