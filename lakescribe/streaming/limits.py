@@ -128,7 +128,8 @@ def chunk_schema(docs: DataFrame, secret: str | None = None) -> str:
 
 
 def ingest(docs: DataFrame, path: str, checkpoint: str, secret: str | None = None, buckets: int = 64, available_now: bool = False):
-    """A running query that keeps the chunks of arriving documents in a table at path (store.read), exactly once.
+    """A running query that keeps the chunks of arriving documents in a table at path, exactly once: store.read gives it as the
+    last commit left it, and path itself holds a plain copy by bucket.
 
     Of a document's versions the last counts: by event_order (long) where docs have it, in a batch and across batches;
     without it by batch, and in a batch by the text. A deleted one (boolean column deleted), and one without text, loses
@@ -141,7 +142,7 @@ def ingest(docs: DataFrame, path: str, checkpoint: str, secret: str | None = Non
             own = own.withColumn("event_order", F.lit(store.next_order(batch.sparkSession, path)))
         if "deleted" not in batch.columns:
             own = own.withColumn("deleted", F.lit(False))
-        store.replace(batch.sparkSession, path, own, lambda events: chunk_stream(events, secret), chunk_schema(docs, secret), checkpoint, batch_id, buckets)
+        store.replace(batch.sparkSession, path, own, lambda events: chunk_stream(events, secret), chunk_schema(docs, secret), checkpoint, batch_id, buckets, published=True)
 
     run = docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (run.trigger(availableNow=True) if available_now else run).start()

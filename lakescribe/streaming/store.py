@@ -5,6 +5,10 @@ folder that nobody reads, and then one small commit: from then on the newest ver
 that is run again finds its commit and does nothing, or finds none and writes the same folder anew; a job that dies
 between the two leaves the table as it was. Nothing is deleted but by clean().
 
+Folders of versions and commits have names that Spark's readers pass over, so that the table's own folder can hold a plain
+copy of the newest buckets for whoever reads without this module (publish): it is right once a batch has ended, and is made
+right again by the next or the same batch if one died before that.
+
 Of a document's events the one with the greatest order counts, whichever comes first: each document keeps the order of its
 last event, also one that is deleted or has no text, so that a late event doesn't bring it back. One query writes at a time.
 """
@@ -15,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COMMIT = "version long, source string, batch_id long, bucket int"
+COMMIT = "version long, source string, batch_id long, bucket int, buckets int"
 #: What each row has beside the chunk's own columns: chunk_index is null in the row that a document without chunks keeps.
 KEPT = ("document_id", "event_order", "deleted")
 
@@ -32,7 +36,7 @@ def _read(spark: SparkSession, schema: str, path: str) -> DataFrame | None:
 
 def commits(spark: SparkSession, path: str) -> DataFrame:
     """version, source, batch_id, bucket: a row for each bucket that a batch has replaced."""
-    found = _read(spark, COMMIT, f"{path}/commits")
+    found = _read(spark, COMMIT, f"{path}/_log/commits")
     return spark.createDataFrame([], COMMIT) if found is None else found
 
 
@@ -40,7 +44,7 @@ def _current(spark: SparkSession, path: str, schema: str, buckets: list[int] | N
     """All rows of the newest versions of buckets, tombstones with them; None where none has been written."""
     newest = commits(spark, path).where("bucket >= 0").groupBy("bucket").agg(F.max("version").alias("version"))
     newest = newest if buckets is None else newest.where(F.col("bucket").isin(buckets))
-    places = [f"{path}/data/version={r['version']}/bucket={r['bucket']}" for r in newest.collect()]  # buckets at most
+    places = [f"{path}/_data/version={r['version']}/bucket={r['bucket']}" for r in newest.collect()]  # buckets at most
     return spark.read.schema(schema).parquet(*places) if places else None
 
 
@@ -63,14 +67,16 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("document_id").agg(F.max(F.struct(*first)).alias("e")).select("document_id", *[F.col(f"e.{c}").alias(c) for c in rest])
 
 
-def replace(spark: SparkSession, path: str, events: DataFrame, chunked, schema: str, source: str, batch_id: int, buckets: int) -> bool:
-    """Puts a batch of events in the table; false if this batch of this source is in it already.
+def replace(spark: SparkSession, path: str, events: DataFrame, chunked, schema: str, source: str, batch_id: int, buckets: int, published: bool = False) -> bool:
+    """Puts a batch of events in the table; false if this batch of this source is in it already. published: also in the plain copy.
 
     events: document_id, event_order (long), deleted (boolean), text and what chunked needs; chunked(events) gives the
     chunks of their texts, with schema's columns. Events with null ids are left out; a null order is the least.
     """
-    done = commits(spark, path)
-    if done.where((F.col("source") == source) & (F.col("batch_id") == batch_id)).take(1):
+    again = [r["bucket"] for r in commits(spark, path).where((F.col("source") == source) & (F.col("batch_id") == batch_id)).collect()]  # buckets at most
+    if again:
+        if published:
+            publish(spark, path, schema, again)
         return False
     version = next_order(spark, path)
     place = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
@@ -90,14 +96,36 @@ def replace(spark: SparkSession, path: str, events: DataFrame, chunked, schema:
             rows = live.unionByName(bare, allowMissingColumns=True)
             if old is not None:
                 rows = old.join(new.select("document_id"), "document_id", "left_anti").unionByName(rows)
-            rows.withColumn("bucket", place).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/version={version}")
+            rows.withColumn("bucket", place).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/_data/version={version}")
         finally:
             new.unpersist()
-    log = spark.createDataFrame([(version, source, batch_id, b) for b in touched or [-1]], COMMIT)  # a batch of nothing has its commit too
-    log.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    log = spark.createDataFrame([(version, source, batch_id, b, buckets) for b in touched or [-1]], COMMIT)  # a batch of nothing has its commit too
+    log.coalesce(1).write.mode("append").parquet(f"{path}/_log/commits")
+    if published and touched:
+        publish(spark, path, schema, touched)
     return True
 
 
+def publish(spark: SparkSession, path: str, schema: str, buckets: list[int]) -> None:
+    """The plain copy of buckets, at path/bucket=...; a bucket without chunks has no folder."""
+    rows = _current(spark, path, _whole(schema), buckets)
+    if rows is None:
+        return
+    place = F.pmod(F.xxhash64("document_id"), F.lit(_buckets(spark, path))).cast("int")
+    live = rows.where("chunk_index is not null").drop("event_order", "deleted").withColumn("bucket", place)
+    full = {r["bucket"] for r in live.select("bucket").distinct().collect()}  # buckets at most
+    live.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for b in set(buckets) - full - {-1}:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def _buckets(spark: SparkSession, path: str) -> int:
+    """How many buckets the table has, as its first commit says."""
+    return commits(spark, path).agg(F.max("buckets")).first()[0]
+
+
 def next_order(spark: SparkSession, path: str) -> int:
     """An order for events that have none: that of the next version."""
     return (commits(spark, path).agg(F.max("version")).first()[0] or 0) + 1
@@ -111,6 +139,6 @@ def clean(spark: SparkSession, path: str, keep: int = 2) -> int:
     gone = commits(spark, path).where("bucket >= 0").select("version", "bucket").distinct().withColumn("_r", rank).where(F.col("_r") > keep).collect()  # files' names
     jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
     for r in gone:
-        place = jvm.org.apache.hadoop.fs.Path(f"{path}/data/version={r['version']}/bucket={r['bucket']}")
+        place = jvm.org.apache.hadoop.fs.Path(f"{path}/_data/version={r['version']}/bucket={r['bucket']}")
         n += bool(place.getFileSystem(conf).delete(place, True))
     return n

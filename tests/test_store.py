@@ -69,8 +69,8 @@ def test_killed_batch(spark, put, monkeypatch):
 
 def test_other_errors_are_errors(spark, put, tmp_path):
     """Only a table that isn't there counts as empty."""
-    (tmp_path / "chunks").mkdir()
-    (tmp_path / "chunks" / "commits").write_text("no folder of Parquet")
+    (tmp_path / "chunks" / "_log").mkdir(parents=True)
+    (tmp_path / "chunks" / "_log" / "commits").write_text("no folder of Parquet")
     with pytest.raises(Exception, match="commits"):
         put([(1, 1, "a")], 0)
 
@@ -92,3 +92,4 @@ def test_a_stream_started_anew(spark, tmp_path):
         spark.createDataFrame([(2, 3, ""), (3, 1, "c")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     limits.ingest(docs, f"{tmp_path}/t", f"{tmp_path}/c", None, 3, available_now=True).awaitTermination()
     assert sorted((r[0], r[2]) for r in store.read(spark, f"{tmp_path}/t", SCHEMA).collect()) == [(1, "a"), (3, "c")]
+    assert sorted((r[0], r[2]) for r in spark.read.schema(SCHEMA).parquet(f"{tmp_path}/t").collect()) == [(1, "a"), (3, "c")]  # the plain copy
