@@ -9,7 +9,7 @@ from ..functions import files
 from ..functions import query as q
 from ..functions import text as t
 from ..operators import chat, citations, context, evaluate, evidence, jobs, matching, reports
-from .common import QUESTIONS, chunks, documents, questions, table
+from .common import QUESTIONS, documents, questions, table
 from .evidence import _ANSWERS, _answers, _relevant, _retrieved, _retrieved_metrics, _sources, retrieved_metrics
 from .operations import _PAIRS
 

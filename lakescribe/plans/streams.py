@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import limits, store
-from .common import table, workspace
+from .common import workspace
 from .evidence import SECRET
 from .privacy import BARE
 
