@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import query as q
 from ..functions import text as t
 from ..operators import coverage, fusion, keyword, lexical, lexical_index, matching, semantic, topk
+from ..sources.shared import kept
 from .common import CHUNKS, QUESTIONS, chunks, documents, norm, questions, table, tokens, useful, workspace
 
 SCOPE, KEYS = ["collection_id"], ["chunk_id", "document_id", "filename", "chunk_index"]
@@ -106,7 +107,7 @@ SELECT query_id, chunk_id, round(r / (r + 1) + 0.25 * named, 6) AS rank_score FR
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.score(keyword.candidates(questions(spark, sf_dir), chunks(spark, sf_dir), SCOPE, ["chunk_id"]))
+    return keyword.search(questions(spark, sf_dir), chunks(spark, sf_dir), SCOPE, KEYS)
 
 
 def keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +141,7 @@ SELECT query_id, chunk_id, keyword_score, keyword_rank FROM r WHERE keyword_rank
 def keyword_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best chunks of each document, without the terms of its name."""
     asked = questions(spark, sf_dir).withColumn("question", F.concat_ws(" ", "collection_id", "question"))
-    pairs = keyword.candidates(asked, chunks(spark, sf_dir), SCOPE, ["chunk_id"])
-    return keyword.rank_scoped(pairs, 5, 10).select("query_id", "chunk_id", "keyword_score", "keyword_rank")
+    return keyword.rank_scoped(asked, chunks(spark, sf_dir), SCOPE, KEYS, 5, 10).select("query_id", "chunk_id", "keyword_score", "keyword_rank")
 
 
 _ASKED = "(SELECT query_id, collection_id, collection_id || ' ' || question AS question FROM questions)"
@@ -199,14 +199,13 @@ SELECT query_id, document_id, vec_id, document_rank, rank FROM (SELECT *, row_nu
 
 def _lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both lanes' best twenty, merged, with the chunks' columns and boosts. The semantic lane: cosine of the sets of terms."""
-    pairs = keyword.candidates(questions(spark, sf_dir), chunks(spark, sf_dir), SCOPE, ["chunk_id"])
-    own, asked = F.array_distinct(t.tokens(F.col("content"))), F.filter(q.search_terms(F.col("question")), lambda x: F.length(x) > 2)
-    sets = pairs.select("*", own.alias("_own"), asked.alias("_asked"))
-    cosine = F.round(F.size(F.array_intersect("_own", "_asked")) / F.sqrt(F.size("_own") * F.size("_asked")), 6)
-    similar = sets.withColumn("semantic_similarity", cosine).where("semantic_similarity > 0").drop("_own", "_asked")
+    scored = kept(_scored(spark, sf_dir).drop("collection_id"))  # read by both lanes; numbers and names alone
+    similar = scored.where("term_cosine > 0").withColumn("semantic_similarity", F.col("term_cosine"))
     lane = topk.per_group(similar, ["query_id"], [F.desc("semantic_similarity"), F.col("filename"), F.col("chunk_index"), F.col("chunk_id")], 20)
-    merged = fusion.merge(keyword.rank(keyword.score(pairs), 20), lane)
-    full = merged.join(chunks(spark, sf_dir), "chunk_id").join(questions(spark, sf_dir).select("query_id", "question"), "query_id")
+    merged = kept(fusion.merge(keyword.rank(scored, 20), lane))
+    few = merged.select(F.shiftright("chunk_id", 20).alias("document_id")).distinct()
+    own = chunks(spark, sf_dir, few)
+    full = merged.join(own, "chunk_id").join(questions(spark, sf_dir).select("query_id", "question"), "query_id")
     return fusion.with_boost(full)
 
 
