@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pii
-from .common import table
+from .common import spread, table
 from .evidence import SECRET
 
 #: A pseudonym without its two tags.
 BARE = r"_[0-9A-F]{10}_[0-9A-F]{10}\]"
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"))
+
+
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text about each customer, in one of nine scopes."""
     key = F.col("c_custkey").cast("string")
     number = F.lpad((F.col("c_custkey") % 250).cast("string"), 3, "0")
     text = F.concat(F.lit("Customer "), key, F.lit(" wrote from User"), number, F.lit("@Mail.example.org and user"), number, F.lit("@mail.example.org via 10.2."), (F.col("c_custkey") % 256).cast("string"), F.lit(".7; IFSC KKBK0RTGSMI."))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("s"), (F.col("c_custkey") % 9).cast("string")).alias("scope_id"), text.alias("text"))
+    return _customers(spark, sf_dir).select("c_custkey", F.concat(F.lit("s"), (F.col("c_custkey") % 9).cast("string")).alias("scope_id"), text.alias("text"))
 
 
 _LETTERS = "letters AS (SELECT c_custkey, 's' || (c_custkey % 9) AS scope_id, lpad((c_custkey % 250)::VARCHAR, 3, '0') AS n, '10.2.' || (c_custkey % 256) || '.7' AS ip FROM customer)"
@@ -131,7 +135,7 @@ def pii_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.concat(F.lit("98450"), F.lpad((F.col("c_custkey") % 100_000).cast("string"), 5, "0"))
     once = F.concat(F.lit("phone: "), number, F.lit(" is mine"))
     text = F.when(F.col("c_custkey") % 4 == 0, F.concat(once, F.lit("; call "), number)).otherwise(once)
-    d = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("scope_id"), text.alias("text"))
+    d = _customers(spark, sf_dir).select(F.col("c_custkey").cast("string").alias("scope_id"), text.alias("text"))
     given = d.select("scope_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\b98450\d{5}\b)"))).alias("value"))
     return pii.leaks(d.select("scope_id", pii.mask(F.col("text"), F.col("scope_id"), SECRET).alias("text")), given)
 
@@ -175,7 +179,7 @@ DOCUMENT_ALIASES = "SELECT query_id, document_id, 'Document ' || row_number() OV
 def custom_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Badges by a pattern of the caller's own, which goes before the rules."""
     text = F.concat(F.lit("badge B-"), F.col("c_custkey").cast("string"), F.lit(" of b-"), F.col("c_custkey").cast("string"), F.lit("@x.org"))
-    d = table(spark, sf_dir, "customer").select("c_custkey", F.explode(pii.detect(text, (("badge", r"B-\d+"),))).alias("x"))
+    d = _customers(spark, sf_dir).select("c_custkey", F.explode(pii.detect(text, (("badge", r"B-\d+"),))).alias("x"))
     return d.select("c_custkey", "x.rule_id", "x.value", "x.start")
 
 
@@ -185,9 +189,10 @@ CUSTOM_PATTERNS = "SELECT c_custkey, 'custom:badge' AS rule_id, 'B-' || c_custke
 def verhoeff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5: of the ten last digits after eleven made of a customer's key just one passes, and as the rules in Python say."""
     head = F.concat((F.col("c_custkey") % 8 + 2).cast("string"), F.lpad((F.col("c_custkey") * 7919 % 10_000_000_000).cast("string"), 10, "0"))
-    n = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(head, k.cast("string")))).alias("number"))
+    n = _customers(spark, sf_dir).select("c_custkey", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(head, k.cast("string")))).alias("number"))
     found = F.size(pii.detect(F.concat(F.lit("id "), F.col("number")))) > 0
-    return n.groupBy("c_custkey").agg(F.count_if(pii.is_valid_aadhaar(F.col("number"))).alias("n_valid"), F.count_if(pii.is_valid_aadhaar(F.col("number")) != found).alias("n_apart"))
+    judged = n.select("c_custkey", pii.is_valid_aadhaar(F.col("number")).alias("valid"), found.alias("found"))
+    return judged.groupBy("c_custkey").agg(F.count_if("valid").alias("n_valid"), F.count_if(F.col("valid") != F.col("found")).alias("n_apart"))
 
 
 VERHOEFF = "SELECT c_custkey, 1::BIGINT AS n_valid, 0::BIGINT AS n_apart FROM customer"

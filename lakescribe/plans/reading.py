@@ -9,7 +9,7 @@ from ..functions import files
 from ..functions import text as t
 from ..operators import coverage, embed, markup, quality, reconcile, scope, sinks
 from ..sources import io
-from .common import CHUNKS, chunks, documents, table, workspace
+from .common import CHUNKS, chunks, documents, spread, table, workspace
 from .evidence import HTML_UNITS as _HTML_UNITS
 from .operations import _STORED, _now, _stored
 
@@ -132,7 +132,8 @@ def _markdown():
 
 def markdown_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X4."""
-    u = markup.from_markdown(table(spark, sf_dir, "part").select("p_partkey", _markdown().alias("text")), ["p_partkey"])
+    own = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size"))
+    u = markup.from_markdown(own.select("p_partkey", _markdown().alias("text")), ["p_partkey"])
     return u.select("p_partkey", "unit_index", "block_type", "text", F.array_join("heading_path", " > ").alias("headings"), "source_location", "code_language", "table_context")
 
 
