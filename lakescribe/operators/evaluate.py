@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import normalize, tokens
 from ..sources.shared import kept
-from .lexical import wanted_terms
 
 SUPPORT, LEAST_TERM, K = 0.7, 4, 5
+#: Words of passages that may be sent to every task, in all.
+SENT = 1_000_000
 GATES = {"hit": 1.0, "mrr": 0.95, "ndcg": 0.95, "precision": 0.45, "recall": 0.9}
 
 
@@ -22,33 +26,56 @@ def long_tokens(text: Column) -> Column:
 def passage_support(chunks: DataFrame, passages: DataFrame, share: float = SUPPORT) -> DataFrame:
     """chunk_id, passage_id, overlap of pairs where a chunk has at least share of a passage's distinct long words.
 
-    chunks: chunk_id, content; passages: passage_id, text. A chunk with so many of n words has one of the passage's
-    n - ceil(share n) + 1 rarest, so only chunks with one of these are looked at; no pair is lost and frequent words join nothing.
-    Chunks are cut into words once: what is kept of them are the numbers of the words that any passage has.
+    chunks: chunk_id, content; passages: passage_id, text. Where the passages have SENT words or fewer in all, which is counted
+    first, these go to every task and a chunk is held against all passages where it is read, without a shuffle; more meet the
+    chunks by their rarest words.
     """
-    wants = passages.select("passage_id", F.explode(long_tokens(F.col("text"))).alias("term"))
-    terms = wanted_terms(wants)
-    numbered = terms is not None and _apart(passages.sparkSession, terms)  # else words stand for themselves
-    name = (lambda t: F.xxhash64(t)) if numbered else (lambda t: t)
-    words = F.array_distinct(F.filter(tokens(F.col("content")), lambda t: (F.length(t) >= LEAST_TERM) & (t.isin(terms) if terms is not None else F.lit(True))))
-    has = kept(chunks.select("chunk_id", F.transform(words, name).alias("_c")).where(F.size("_c") > 0))
+    own = passages.select("passage_id", long_tokens(F.col("text")).alias("_p")).where(F.size("_p") > 0)
+    few = (own.agg(F.sum(F.size("_p"))).first()[0] or 0) <= SENT
+    return _held(chunks, own, share) if few else _met(chunks, own, share)
+
+
+def _held(chunks: DataFrame, own: DataFrame, share: float) -> DataFrame:
+    """passage_support by an index of the passages in each task: its words' lists of passages, counted for each chunk."""
+    rows = own.collect()
+    ids, sizes = [r["passage_id"] for r in rows], np.array([len(r["_p"]) for r in rows])
+    lists: dict[str, list[int]] = {}
+    for k, r in enumerate(rows):
+        for word in r["_p"]:
+            lists.setdefault(word, []).append(k)
+    having = {word: np.array(places, np.int32) for word, places in lists.items()}
+
+    def overlaps(text: str) -> list[tuple]:
+        met = [having[w] for w in set(text.split(" ")) if w in having]
+        if not met:
+            return []
+        overlap = np.bincount(np.concatenate(met), minlength=len(ids)) / sizes
+        return [(ids[k], float(overlap[k])) for k in np.flatnonzero(overlap >= share)]
+
+    @F.pandas_udf(f"array<struct<passage_id:{dict(own.dtypes)['passage_id']},overlap:double>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([overlaps(x) for x in texts], dtype=object)
+
+    texts = chunks.where(F.col("content").isNotNull()).select("chunk_id", normalize(F.col("content")).alias("_text"))
+    return texts.select("chunk_id", F.inline(run("_text")))
+
+
+def _met(chunks: DataFrame, own: DataFrame, share: float) -> DataFrame:
+    """passage_support by joins: a chunk with so many of n words has one of the passage's n - ceil(share n) + 1 rarest, so only
+    chunks with one of these are looked at; no pair is lost and frequent words join nothing."""
+    has = kept(chunks.select("chunk_id", long_tokens(F.col("content")).alias("_c")).where(F.size("_c") > 0))
     frequency = has.select(F.explode("_c").alias("term")).groupBy("term").agg(F.count("*").alias("_df"))
-    wants = wants.select("passage_id", F.col("term").alias("_word"), name(F.col("term")).alias("term")).join(frequency, "term", "left").na.fill(0, ["_df"])
+    wants = own.select("passage_id", F.explode("_p").alias("term")).join(frequency, "term", "left").na.fill(0, ["_df"])
     by = Window.partitionBy("passage_id")
-    wants = wants.withColumn("_n", F.count("*").over(by)).withColumn("_r", F.row_number().over(by.orderBy("_df", "_word")))
+    wants = wants.withColumn("_n", F.count("*").over(by)).withColumn("_r", F.row_number().over(by.orderBy("_df", "term")))
     rare = wants.where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(share)) + 1)
-    # a chunk goes on with its words that any passage has
-    pairs = rare.select("passage_id", "term").join(has.select("chunk_id", "_c", F.explode("_c").alias("term")), "term").dropDuplicates(["chunk_id", "passage_id"])
-    near = pairs.join(passages.select("passage_id", F.transform(long_tokens(F.col("text")), name).alias("_p")), "passage_id")
+    met = rare.select("passage_id", "term").join(has.select("chunk_id", F.explode("_c").alias("term")), "term")
+    near = met.select("chunk_id", "passage_id").distinct().join(has, "chunk_id").join(own, "passage_id")
     scored = near.select("chunk_id", "passage_id", (F.size(F.array_intersect("_c", "_p")) / F.size("_p")).alias("overlap"))
     return scored.where(F.col("overlap") >= share)
 
 
-def _apart(spark: SparkSession, terms: list[str]) -> bool:
-    """Whether the hashes of terms, of which there are few, all differ."""
-    return spark.createDataFrame([(t,) for t in terms], "term string").select(F.xxhash64("term")).distinct().count() == len(terms)
-
-
 def grades(results: DataFrame, support: DataFrame) -> DataFrame:
     """results (query_id, chunk_id, rank) with grade: the highest of a passage that the chunk supports, else 0. support: query_id, chunk_id, grade."""
     best = support.groupBy("query_id", "chunk_id").agg(F.max("grade").alias("grade"))
