@@ -70,24 +70,30 @@ def lexical_lane(questions: DataFrame, chunks: DataFrame, documents: DataFrame,
     """query_id, chunk_id, keyword_score: the best most chunks of each question by words, each in its own user's collection.
 
     Chunks of private documents are found by their masked texts, without file names; a question that holds personal data
-    is masked for each of them, any other asks them as it stands. A chunk's text is read where it lies: only its places of
-    the questions' terms meet the documents.
+    is masked for each of them, any other asks them as it stands. A chunk's text is read where it lies: only its sums for
+    the questions meet the documents; texts of private documents are moved where questions are masked for these.
     """
     scope, keys = ["collection_id", "user_id"], ["chunk_id", "document_id", "chunk_index"]
     own = documents.where("status = 'ready'").select("document_id", "collection_id", "user_id", "filename", (F.col("processing_mode") == "privacy_minimised").alias("_private"))
     tells = F.coalesce(F.col("question").rlike(pii.HINT), F.lit(False))
     pairs = questions.where(tells).join(own.where("_private").select(*scope, "document_id"), scope)
     of_document = pairs.withColumn("question", pii.mask(F.col("question"), pii.scope_id(F.col("user_id"), F.col("document_id")), secret))
-    asked, told = lexical.question_clauses(questions, scope), lexical.question_clauses(of_document, [*scope, "document_id"])
-    quiet = lexical.question_clauses(questions.where(~tells), scope)
-    terms = lexical.wanted_terms(asked.select("term").unionByName(told.select("term")))
-    places = lambda column: lexical.build_postings(chunks, [*keys, "collection_id"], {"content": column}, terms).join(own.drop("filename"), ["document_id", "collection_id"])
-    named = lexical.build_postings(own.where("not _private"), ["document_id", "collection_id", "user_id"], {"filename": "filename"}, terms)
-    named = chunks.select(*keys, "collection_id").join(named, ["document_id", "collection_id"])
-    plain = places("content").where("not _private").drop("_private").unionByName(named)
-    hidden = places("provider_safe_content").where("_private").drop("_private")
-    found = lexical.search(asked, plain, scope, keys).unionByName(lexical.search(quiet, hidden, scope, keys))
-    found = found.unionByName(lexical.search(told, hidden, [*scope, "document_id"], keys))
+    told = kept(lexical.question_clauses(of_document, [*scope, "document_id"]))
+    asked, quiet = lexical.question_clauses(questions, scope), lexical.question_clauses(questions.where(~tells), scope)
+    texts = chunks.select(*keys, "collection_id", "content", "provider_safe_content")
+    # a collection's questions of all users are held against its chunks; whose a chunk is, is known by its document
+    users = questions.select("query_id", F.col("user_id").alias("_asks"))
+    here = lambda clauses, column: lexical.scan(clauses.drop("user_id"), texts.where(F.col(column).isNotNull()), ["collection_id"], [*keys, "collection_id"], {"content": column})
+    plain = here(asked, "content").withColumn("_masked", F.lit(False)).unionByName(here(quiet, "provider_safe_content").withColumn("_masked", F.lit(True)))
+    mine = plain.join(users, "query_id").join(own.drop("filename"), ["document_id", "collection_id"]).where((F.col("_masked") == F.col("_private")) & (F.col("_asks") == F.col("user_id")))
+    found = mine.select("query_id", *keys, "r", "named")
+    named = lexical.scan(asked, own.where("not _private"), scope, ["document_id", "collection_id"], {"filename": "filename"})
+    named = chunks.select(*keys, "collection_id").join(named, ["document_id", "collection_id"]).select("query_id", *keys, "r", "named")
+    found = found.unionByName(named).groupBy("query_id", *keys).agg(F.sum("r").alias("r"), F.max("named").alias("named"))
+    if not told.isEmpty():
+        hidden = texts.join(own.where("_private").drop("filename"), ["document_id", "collection_id"])
+        found = found.unionByName(lexical.scan(told, hidden, [*scope, "document_id"], keys, {"content": "provider_safe_content"}))
+    found = lexical.ranked(found)
     if "document_ids" in questions.columns:
         found = found.join(questions.select("query_id", "document_ids"), "query_id").where(F.coalesce(F.size("document_ids") <= 0, F.lit(True)) | F.array_contains("document_ids", F.col("document_id")))
     scored = found.select("query_id", *keys, F.round("rank", 6).alias("keyword_score"))

@@ -15,9 +15,7 @@ SCOPE, KEYS = ["collection_id"], ["chunk_id", "document_id", "filename", "chunk_
 
 
 def _lexical(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
-    clauses = lexical.question_clauses(asked, SCOPE)
-    rows = lexical.build_postings(chunks(spark, sf_dir), [*KEYS, *SCOPE], {"filename": "filename", "content": "content"}, lexical.wanted_terms(clauses))
-    return lexical.search(clauses, rows, SCOPE, KEYS)
+    return lexical.ranked(lexical.scan(lexical.question_clauses(asked, SCOPE), chunks(spark, sf_dir), SCOPE, KEYS, {"content": "content", "filename": "filename"}))
 
 
 def lexical_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
