@@ -33,3 +33,13 @@ def test_only_some_rules(spark):
     found = lambda **more: [x.rule_id for x in d.select(pii.detect(d.text, **more).alias("x")).first().x]
     assert found() == ["payment_card_luhn", "email"]
     assert found(only=("email", "ipv4")) == ["ipv4", "email"]
+
+
+def test_a_card_beside_other_digits(spark):
+    """With digits beside it a card is no candidate and isn't masked; where it also stands alone it is known, so it has leaked."""
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([("x", "4845168114407329 is mine, 4845168114407329 5 too"), ("y", "4845168114407329 is mine")], "scope_id string, text string")
+    masked = d.select("scope_id", pii.mask(d.text, d.scope_id, "a secret of thirty-two characters, for tests only").alias("text"))
+    known = d.select("scope_id", F.explode(pii.detect(d.text)).alias("x")).select("scope_id", "x.*")
+    assert list(map(tuple, pii.leaks(masked, known).collect())) == [("x", "4845168114407329")]
