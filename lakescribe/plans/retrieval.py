@@ -46,17 +46,17 @@ SELECT query_id, chunk_id, rank_score, rank::INTEGER AS rank FROM (SELECT *, row
 def lexical_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2 stored: an index of all chunks, a fifth of the documents with other texts; these come again as they are, the index is
     made one, and two batches of questions are asked of it. The five best chunks of each question, as lexical_topk."""
-    path, keys, fields = f"{workspace(spark)}/index", [*KEYS, *SCOPE], {"filename": "filename", "content": "content"}
+    path, keys, fields = f"{workspace(spark)}/index", ["chunk_id", "document_id", "chunk_index", *SCOPE], {"filename": "filename", "content": "content"}
     own = chunks(spark, sf_dir)
     stale = F.col("document_id") % 5 == 0
     old = own.withColumn("content", F.when(stale, F.lit("these words were here before")).otherwise(F.col("content")))
     ids = documents(spark, sf_dir).select("document_id")
-    lexical_index.add(lexical.build_postings(old, keys, fields), ids, path, 32)
-    lexical_index.add(lexical.build_postings(own.where(stale), keys, fields), ids.where(stale), path)
+    lexical_index.add_chunks(old, keys, fields, ids, path, 32)
+    lexical_index.add_chunks(own.where(stale), keys, fields, ids.where(stale), path)
     found = None
     for half in (0, 1):
         clauses = lexical.question_clauses(questions(spark, sf_dir).where(F.col("query_id") % 2 == half), SCOPE)
-        rows = lexical.search(clauses, lexical_index.read(spark, path, lexical.wanted_terms(clauses)), SCOPE, KEYS)
+        rows = lexical.search(clauses, lexical_index.read(spark, path, lexical.wanted_terms(clauses)), SCOPE, keys[:3])
         found = rows if found is None else found.unionByName(rows)
         lexical_index.compact(spark, path)
     best = topk.per_group(found.withColumn("rank_score", F.round("rank", 6)).drop("rank"), ["query_id"], [F.desc("rank_score"), F.col("document_id"), F.col("chunk_index")], 5)
