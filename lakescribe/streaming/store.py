@@ -22,6 +22,15 @@ from pyspark.sql import functions as F
 COMMIT = "version long, source string, batch_id long, bucket int, buckets int"
 #: What each row has beside the chunk's own columns: chunk_index is null in the row that a document without chunks keeps.
 KEPT = ("document_id", "event_order", "deleted")
+#: Rows of a bucket that one task writes, about, and characters of a text that make a row, for those that aren't cut yet.
+SHARE, ROW = 10_000, 2_000
+
+
+def _dealt(rows: DataFrame, n: int, buckets: int) -> DataFrame:
+    """About n rows dealt to tasks by bucket; of large buckets each is shared out by document, and has a file of each share."""
+    shares = max(1, -(-n // (buckets * SHARE)))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets * shares)
+    return rows.repartition(tasks, "bucket", F.pmod(F.xxhash64("document_id", F.lit("share")), F.lit(shares)))
 
 
 def _read(spark: SparkSession, schema: str, path: str) -> DataFrame | None:
@@ -94,9 +103,11 @@ def replace(spark: SparkSession, path: str, events: DataFrame, chunked, schema:
             live = chunked(new.where("not deleted and text is not null")).select(*columns).join(new.select(*KEPT), "document_id")
             bare = new.select(*KEPT).join(live.select("document_id").distinct(), "document_id", "left_anti")
             rows = live.unionByName(bare, allowMissingColumns=True)
+            n = new.agg(F.sum(F.ceil((F.coalesce(F.length("text"), F.lit(0)) + 1) / ROW))).first()[0] or 0
             if old is not None:
+                n += old.count()
                 rows = old.join(new.select("document_id"), "document_id", "left_anti").unionByName(rows)
-            rows.withColumn("bucket", place).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/_data/version={version}")
+            _dealt(rows.withColumn("bucket", place), n, len(touched)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/_data/version={version}")
         finally:
             new.unpersist()
     log = spark.createDataFrame([(version, source, batch_id, b, buckets) for b in touched or [-1]], COMMIT)  # a batch of nothing has its commit too
@@ -114,7 +125,7 @@ def publish(spark: SparkSession, path: str, schema: str, buckets: list[int]) ->
     place = F.pmod(F.xxhash64("document_id"), F.lit(_buckets(spark, path))).cast("int")
     live = rows.where("chunk_index is not null").drop("event_order", "deleted").withColumn("bucket", place)
     full = {r["bucket"] for r in live.select("bucket").distinct().collect()}  # buckets at most
-    live.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    _dealt(live, live.count(), len(buckets)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for b in set(buckets) - full - {-1}:
         folder = jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")

@@ -82,6 +82,24 @@ def test_clean(spark, put):
     assert store.clean(spark, put.path, 1) == 0
 
 
+def test_large_buckets_are_shared_out(spark, tmp_path, monkeypatch):
+    """A bucket of many rows is written by several tasks, in the table and in its plain copy, also where it is old rows that are many."""
+    monkeypatch.setattr(store, "SHARE", 10)
+    path = f"{tmp_path}/chunks"
+
+    def put(rows, batch):
+        events = spark.createDataFrame([(k, batch, text, False) for k, text in rows], "document_id long, event_order long, text string, deleted boolean")
+        store.replace(spark, path, events, limits.chunk_stream, SCHEMA, "s", batch, 2, published=True)
+
+    put([(k, f"first {k}") for k in range(100)], 0)
+    put([(k, f"second {k}") for k in range(0, 100, 10)], 1)
+    want = sorted((k, f"{'first' if k % 10 else 'second'} {k}") for k in range(100))
+    assert sorted((r[0], r[2]) for r in store.read(spark, path, SCHEMA).collect()) == want
+    assert sorted((r[0], r[2]) for r in spark.read.schema(SCHEMA).parquet(path).collect()) == want
+    for folder in ("_data/version=1/bucket=0", "_data/version=2/bucket=0", "bucket=0"):
+        assert len(list((tmp_path / "chunks" / folder).glob("*.parquet"))) > 1, folder
+
+
 def test_a_stream_started_anew(spark, tmp_path):
     """A running query that is stopped and started again goes on where it was."""
     schema = "document_id long, event_order long, text string"
