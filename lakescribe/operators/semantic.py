@@ -27,6 +27,8 @@ BLOCK = 2_000
 CENTROIDS, SAMPLE, SPLIT, GROUP = 64, 10_000, 50_000, 20_000
 #: Similarities this near may be equal, and how far a bound may be off by rounding.
 TIE, SLACK = 1e-11, 1e-7
+#: Similarities that are held at once, or those of one question, in each task.
+TILE = 4_000_000
 
 
 def _unit(rows) -> np.ndarray:
@@ -46,6 +48,15 @@ def _nearest(similar: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return rows[place < k], columns[place < k]
 
 
+def _best(matrix: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Questions, vectors and similarities of the k nearest of these vectors to each question, some questions at a time."""
+    step = max(1, TILE // max(1, len(x)))
+    for at in range(0, len(matrix), step):
+        similar = matrix[at : at + step] @ x.T
+        rows, columns = _nearest(similar, ids, k)
+        yield rows + at, columns, similar[rows, columns]
+
+
 def centroids(vectors: DataFrame, most: int = CENTROIDS, sample: int = SAMPLE) -> np.ndarray:
     """Unit directions that a bounded sample of the vectors gathers around; none if all are zero. Any directions give right results."""
     n = vectors.count()
@@ -150,10 +161,8 @@ def _scored(pairs: DataFrame, questions: DataFrame, index: Blocks, scope: str, k
                     continue
                 matrix = _unit(asked) if matrix is None else matrix
                 vec, names = rows["_id"].to_numpy(), np.array(ids)
-                similar = matrix @ _unit(rows["embedding"]).T
-                i, j = _nearest(similar, vec, k)
-                held.append(pd.DataFrame({"query_id": names[i], "vec_id": vec[j], "similarity": similar[i, j]}))
-                if sum(map(len, held)) > 50 * k * len(ids):
+                held += [pd.DataFrame({"query_id": names[i], "vec_id": vec[j], "similarity": s}) for i, j, s in _best(matrix, _unit(rows["embedding"]), vec, k)]
+                if sum(map(len, held)) > 2 * k * len(ids):
                     held = list(found())
         yield from found()
 
@@ -200,9 +209,8 @@ def search(questions: DataFrame, vectors: DataFrame, k: int = 20, scope: str | N
             if not len(frame):
                 continue
             vec = frame["vec_id"].to_numpy()
-            similar = matrix @ _unit(frame["embedding"]).T
-            rows, columns = _nearest(similar, vec, k)
-            yield pd.DataFrame({"query_id": ids[rows], "vec_id": vec[columns], "similarity": similar[rows, columns]})
+            for rows, columns, similarity in _best(matrix, _unit(frame["embedding"]), vec, k):
+                yield pd.DataFrame({"query_id": ids[rows], "vec_id": vec[columns], "similarity": similarity})
 
     return topk.per_group(vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, similarity double"), ["query_id"], order, k)
 

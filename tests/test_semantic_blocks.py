@@ -67,3 +67,19 @@ def test_many_questions_without_a_scope(spark):
     for block in (5, 2000):
         assert {(r["query_id"], r["vec_id"], r["rank"]) for r in semantic.search(q.drop("scope"), v.drop("scope"), 3, block=block).collect()} == want
     assert semantic.search(q.where("false"), v, 3, "scope").count() == 0 and semantic.search(q, v.where("false"), 3, "scope").count() == 0
+
+
+def test_memory_does_not_grow_with_questions():
+    """A batch of vectors meets many questions in tiles: the same neighbours, and not all similarities at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    matrix, x = semantic._unit(rng.normal(size=(6000, 8))), semantic._unit(rng.normal(size=(5000, 8)))
+    ids = np.arange(5000) * 3
+    tracemalloc.start()
+    parts = list(semantic._best(matrix, x, ids, 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6000 * 5000 * 8 / 2
+    rows, columns = semantic._nearest(matrix @ x.T, ids, 4)
+    assert (np.concatenate([p[0] for p in parts]) == rows).all() and (np.concatenate([p[1] for p in parts]) == columns).all()
