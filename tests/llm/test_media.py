@@ -119,3 +119,43 @@ def test_no_way_depends_on_the_size():
     own = media.image_of(samples)
     assert len(own) < len(webp.riff(webp.encode_shades(samples)))
     assert media.samples_of(list(media.read_media(own))) == samples.tobytes()
+
+
+def test_every_image_is_tried_in_each_way():
+    """The shortest of three whole files, whatever the number of shades; before, one of more than 20 was never tried with a cache."""
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, n)) for n in (3, 60, 900, 4000)] + ["".join(map(chr, rng.integers(32, 32 + n, 3000))) for n in (2, 15, 21, 90)]
+    won = Counter()
+    for text in texts:
+        samples = np.frombuffer(media.payload_of(text), np.uint8).reshape(-1, media.WIDTH)
+        pixels = np.stack([samples, samples, samples, np.full_like(samples, 255)], axis=-1)
+        shades = len(np.unique(samples))
+        ways = [webp.riff(webp.encode_shades(samples)), webp.riff(webp.encode_grey(samples)), webp.encode(pixels, (), shades.bit_length(), True)]
+        own = media.image_of(samples)
+        assert own == min(ways, key=len)
+        assert media.samples_of(list(media.read_media(own))) == samples.tobytes()
+        won[ways.index(own), shades > 20] += 1
+        for way, whole in zip((webp.shades_way(samples), webp.grey_way(samples), webp.cache_way(samples, shades.bit_length())), ways, strict=True):
+            assert way.least <= way.size and webp.file_size(way.size) == len(whole) == len(webp.riff(way.stream()))
+    assert won[2, True] and won[0, True], won
+
+
+@pytest.mark.parametrize("cache", [1, 3, 6, 11])
+@pytest.mark.parametrize("colours", [1, 3, 40, 400])
+def test_images_with_a_cache_read_as_pixel_by_pixel(monkeypatch, cache, colours):
+    rng = np.random.default_rng(colours + cache)
+    own = rng.integers(0, 256, (colours, 4)).astype(np.uint8)
+    own[0] = 0
+    for h, w in ((1, 200), (40, 31), (70, 90)):
+        pixels = own[rng.integers(0, colours, (h, w))]
+        pixels[h // 2 :, w // 2 :] = pixels[0, 0]
+        for references in (False, True):
+            whole = webp.encode(pixels, (), cache, references)
+            assert (webp.decode(whole) == pixels).all()
+            with monkeypatch.context() as m:
+                m.setattr(webp, "read_cached", lambda *_: None)
+                assert (webp.decode(whole) == pixels).all()
+            for cut in (60, len(whole) // 2):  # what is cut off is missed
+                with pytest.raises(webp.BrokenImage):
+                    webp.decode_stream(whole[20:][: len(whole) - 20 - cut])
