@@ -34,3 +34,11 @@ def test_no_shuffle_of_chunks_by_letters(spark):
     c = spark.createDataFrame([(1, "x", "f", 0, "the budget")], "chunk_id long, scope string, filename string, chunk_index int, content string")
     plan = keyword.search(q, c, ["scope"], ["chunk_id"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1
+
+
+def test_a_chunk_without_words_is_like_no_question(spark):
+    """Its cosine would be 0 / 0; the SQL of the fused queries has NaN for it there and ranks it first."""
+    questions = spark.createDataFrame([(1, "s", "steel bridge")], "query_id long, collection_id string, question string")
+    chunks = spark.createDataFrame([(1, "s", "éèç éèç éèç"), (2, "s", "a bridge of steel"), (3, "s", "")], "chunk_id long, collection_id string, content string")
+    found = keyword.search(questions, chunks, ["collection_id"], ["chunk_id"]).select("chunk_id", "term_cosine").collect()
+    assert [(r.chunk_id, r.term_cosine) for r in found] == [(2, 0.707107)]
